@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, word_count
+from .common import fold, read, word_count
 
 
 def op1_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,27 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.filter(fold(F.col("doc_id"), 5) != 0))
+    scored = score_toxicity(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_language_model, predict_language
+
+    docs = read(spark, sf_dir, "documents")
+    model = fit_language_model(docs.filter(fold(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang")
+    found = predict_language(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
+    "op9_language_id": op9_language_id,
     "op1_cross_polytope_search": op1_cross_polytope_search,
     "op2_mix_sources": op2_mix_sources,
     "op10_hamming_topk": op10_hamming_topk,
