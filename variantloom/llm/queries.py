@@ -93,6 +93,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    packed = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_language_model, predict_language
 
@@ -104,6 +113,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_toxicity": op4_toxicity,
+    "op6_pack_windows": op6_pack_windows,
     "op9_language_id": op9_language_id,
     "op1_cross_polytope_search": op1_cross_polytope_search,
     "op2_mix_sources": op2_mix_sources,
