@@ -28,7 +28,7 @@ def sign_code(embedding: str, bits: int = 64):
 
 def _segments(bits: int, rows: int) -> list[tuple[int, int]]:
     """(first bit, width) of each segment."""
-    m = max(1, round(bits / max(1.0, min(16.0, math.log2(max(2, rows))))))
+    m = max(1, math.ceil(bits / max(1.0, math.log2(max(2, rows)))))
     edge = [round(i * bits / m) for i in range(m + 1)]
     return [(edge[i], edge[i + 1] - edge[i]) for i in range(m)]
 
@@ -68,7 +68,7 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int =
         "mih-index",
     )
     need = min(k + 1, n_rows)
-    left = asked.select("qcode").distinct()
+    left = asked.select("qcode", F.lit(bits).alias("bound")).distinct()
     kept = spark.createDataFrame([], "qcode long, code long, distance int, n long")
     done = None
     widest = max(w for _, w in segs)
@@ -77,13 +77,14 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int =
         probed = [j for j, (_, w) in enumerate(segs) if r <= w]
         steps += [(probed, r)] if r < 3 else [([j], r) for j in probed]
     radius = [-1] * len(segs)
+    distance = F.bit_count(F.col("qcode").bitwiseXOR(F.col("code"))).cast("int")
     for probed, r in steps:
         probes = [F.struct(F.lit(j).alias("seg"), _around("qcode", *segs[j], r).alias("values")) for j in probed]
         hits = (
-            left.select("qcode", F.explode(F.array(*probes)).alias("p"))
-            .select("qcode", "p.seg", F.explode("p.values").alias("value"))
-            .join(index, ["seg", "value"])
-            .select("qcode", "code", F.bit_count(F.col("qcode").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), "n")
+            left.select("qcode", "bound", F.explode(F.array(*probes)).alias("p"))
+            .select("qcode", "bound", F.col("p.seg").alias("pseg"), F.explode("p.values").alias("pvalue"))
+            .join(index, (F.col("seg") == F.col("pseg")) & (F.col("value") == F.col("pvalue")) & (distance <= F.col("bound")))
+            .select("qcode", "code", distance.alias("distance"), "n")
         )
         for j in probed:
             radius[j] = r
@@ -95,7 +96,10 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int =
         finished = found.join(sure, "qcode", "left_semi")
         done = finished if done is None else done.unionByName(finished)
         kept = found.join(sure, "qcode", "left_anti")
-        left = materialize(left.join(sure, "qcode", "left_anti"), "mih-left")
+        # what is farther than the k-th verified distance so far need not be met any more
+        reached = kept.groupBy("qcode").agg(F.sum("n").alias("met"), F.max("distance").alias("farthest"))
+        rest = left.join(sure, "qcode", "left_anti").join(reached, "qcode", "left")
+        left = materialize(rest.select("qcode", F.when(F.col("met") >= need, F.col("farthest")).otherwise(F.col("bound")).alias("bound")), "mih-left")
         if left.isEmpty():
             break
     best = asked.join(done, "qcode").join(members, "code").filter(F.col("id") != F.col("query_id"))
