@@ -102,6 +102,12 @@ def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op8_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_read_back
+
+    return archive_and_read_back(read(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_language_model, predict_language
 
@@ -114,6 +120,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_pack_windows": op6_pack_windows,
+    "op8_capture_index": op8_capture_index,
     "op9_language_id": op9_language_id,
     "op1_cross_polytope_search": op1_cross_polytope_search,
     "op2_mix_sources": op2_mix_sources,
