@@ -84,6 +84,14 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 """
 
 
+def op3_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import score_texts
+
+    docs = read(spark, sf_dir, "documents")
+    scored = score_texts(docs, fold(F.col("doc_id"), 5) != 1)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -118,6 +126,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_context_tree_score": op3_context_tree_score,
     "op4_toxicity": op4_toxicity,
     "op6_pack_windows": op6_pack_windows,
     "op8_capture_index": op8_capture_index,
