@@ -101,6 +101,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parity_join import near_duplicates
+
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -128,6 +135,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_context_tree_score": op3_context_tree_score,
     "op4_toxicity": op4_toxicity,
+    "op5_parity_join": op5_parity_join,
     "op6_pack_windows": op6_pack_windows,
     "op8_capture_index": op8_capture_index,
     "op9_language_id": op9_language_id,
