@@ -121,14 +121,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """A model from at most about ``per_class`` labelled documents of each class with up to ``longest`` characters.
 
     An id labelled more than once counts as toxic if any label says so. Documents are drawn by
-    a hash of their id. With no rows of one class the untrained model is returned.
+    a hash of their id; the ids drawn, no more than about twice ``per_class``, are broadcast so
+    that texts are not shuffled. With no rows of one class the untrained model is returned.
     """
     y = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     counts = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
     unit = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     chance = F.when(F.col("y") == 1, min(1.0, per_class / counts.get(1, 1))).otherwise(min(1.0, per_class / counts.get(0, 1)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= longest))
-    picked = rows.join(y.filter(unit < chance), "id").select("id", "text", "y").collect()
+    picked = rows.join(F.broadcast(y.filter(unit < chance)), "id").select("id", "text", "y").collect()
     model = SubwordBag()
     model.fit([(r["text"], r["y"]) for r in sorted(picked, key=lambda r: (r["id"], r["text"]))])
     return model
