@@ -135,46 +135,63 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return model
 
 
-#: Of the words met last: (sum, count) by word, kept between the tasks of one Python worker.
-_met: dict[str, tuple[float, int]] = {}
-_met_of: list[int] = [0]
+class _Met:
+    """Words met by this Python worker: their number, and by number their sum and count of subwords."""
+
+    def __init__(self, model: int):
+        self.model, self.at = model, {}
+        self.sum, self.count = np.zeros(KNOWN_WORDS), np.zeros(KNOWN_WORDS)
+
+    def numbers(self, words: list[str], s: np.ndarray) -> np.ndarray:
+        at = self.at
+        new = [w for w in words if w not in at]
+        if len(at) + len(new) > len(self.sum):
+            at.clear()
+            new = words
+            if len(new) > len(self.sum):
+                self.sum, self.count = np.zeros(len(new)), np.zeros(len(new))
+        if new:
+            lists = [subwords(w) for w in new]
+            size = np.array([len(x) for x in lists], dtype=np.int64)
+            n = len(at)
+            flat = s[np.array([i for x in lists for i in x], dtype=np.int64)]
+            self.sum[n : n + len(new)] = _segment_sums(flat, np.concatenate([[0], np.cumsum(size)]))
+            self.count[n : n + len(new)] = size
+            at.update(zip(new, range(n, n + len(new))))
+        return np.array([at[w] for w in words], dtype=np.int64)
+
+
+_met = _Met(0)
 
 
 def _scorer(s: np.ndarray, b: float):
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     from .words import batch_words
 
     mark = zlib.crc32(s.tobytes())
 
-    def of(word: str) -> tuple[float, int]:
-        if word not in _met:
-            if len(_met) >= KNOWN_WORDS:
-                _met.clear()
-            ids = subwords(word)
-            _met[word] = (float(s[ids].sum()), len(ids))
-        return _met[word]
-
     def score(batches):
-        if _met_of[0] != mark:
-            _met.clear()
-            _met_of[0] = mark
+        global _met
+        if _met.model != mark:
+            _met = _Met(mark)
         for batch in batches:
             texts = batch.column(1)
             n = len(texts)
-            step = 1000
+            step = 4000
             best = np.full(n, -np.inf)
             for a in range(0, n, step):
-                numbers, offsets, words = batch_words(texts.slice(a, step))
-                pairs = np.array([of(w) for w in words], dtype=np.float64).reshape(-1, 2)[numbers]
+                numbers, offsets, words = batch_words(pc.utf8_lower(texts.slice(a, step)))
+                numbers = _met.numbers(words, s)[numbers]
                 length = np.diff(offsets)
                 pieces = -(-length // PASSAGE)
                 doc = np.repeat(np.arange(len(length)), pieces)
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 edges = np.append(offsets[:-1][doc] + nth * PASSAGE, offsets[-1]).astype(np.int64)
                 if len(doc):
-                    total = np.add.reduceat(pairs[:, 0], edges[:-1])
-                    count = np.add.reduceat(pairs[:, 1], edges[:-1])
+                    total = np.add.reduceat(_met.sum[numbers], edges[:-1])
+                    count = np.add.reduceat(_met.count[numbers], edges[:-1])
                     np.maximum.at(best, a + doc, total / np.maximum(1, count))
             p = 1 / (1 + np.exp(-np.clip(np.where(np.isfinite(best), best, 0.0) + b, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], ["id", "score", "predicted"])
