@@ -117,6 +117,12 @@ def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op8_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_and_read_back
 
@@ -137,6 +143,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_parity_join": op5_parity_join,
     "op6_pack_windows": op6_pack_windows,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_capture_index": op8_capture_index,
     "op9_language_id": op9_language_id,
     "op1_cross_polytope_search": op1_cross_polytope_search,
