@@ -130,18 +130,19 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def _scorer(model: ByteCNN | None):
+def _scorer(model: ByteCNN | None, whole: bool = False):
+    """Batches of (id, text, has a letter) to (id, lang_pred, score); or, ``whole``, batches that end in text and has a letter to all but those two and both results."""
     import pyarrow as pa
 
     def score(batches):
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(batch.num_columns - 2)
             if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type):
                 offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
             else:
                 offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
-            letters = batch.column(2).to_numpy(zero_copy_only=False)
+            letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             n = len(texts)
             lang, best = np.array([UNKNOWN] * n, dtype=object), np.zeros(n)
             if model and n:
@@ -162,7 +163,8 @@ def _scorer(model: ByteCNN | None):
                 share = total[seen] / size[seen, None]
                 lang[seen] = np.array(model.classes, dtype=object)[share.argmax(axis=1)]
                 best[seen] = np.clip(share.max(axis=1), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(best, pa.float64())], ["id", "lang_pred", "score"])
+            first = batch.num_columns - 2 if whole else 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:first], pa.array(lang, pa.string()), pa.array(best, pa.float64())], [*batch.schema.names[:first], "lang_pred", "lang_score" if whole else "score"])
 
     return score
 
@@ -175,3 +177,11 @@ def predict_language(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), has_letter(F.col(text_col)).alias("letters"))
     return rows.mapInArrow(_scorer(model), "id long, lang_pred string, score double")
+
+
+def language_of(docs: DataFrame, model: ByteCNN | None, text_col: str = "text") -> DataFrame:
+    """The input's rows with lang_pred and lang_score, see :func:`predict_language`; columns of those names are replaced."""
+    docs = docs.drop("lang_pred", "lang_score", "text_read", "text_letters")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("text_read"), has_letter(F.col(text_col)).alias("text_letters"))
+    return rows.mapInArrow(_scorer(model, True), f"{kept}, lang_pred string, lang_score double")
