@@ -220,7 +220,7 @@ def _piecewise(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_in: int = 16, most_common: int = 1 << 20, small: int = 64, piece: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_in: int = 16, most_common: int = 1 << 20, small: int = 64, piece: int = 512, broadcast_rows: int = 200_000) -> DataFrame:
     """(id, n_shingles, component_id, n_links) per row.
 
     A set holds the distinct ``words``-word shingles of the text in lower case (A-Z); a text
@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``common_in``: a block that so many distinct sets of one batch have counts as common and
     is used last; at most ``most_common`` are known to all tasks (8 MB), any choice of them
-    gives the same links.
+    gives the same links. Texts to verify are fetched by a broadcast of their ids if those
+    are counted and no more than ``broadcast_rows``, else by a shuffled join.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     both = materialize(rows.mapInArrow(_sets(words, percent, common_in), "id long, node long, size long, sketch binary, key long, hits long"), "parity-sets")
@@ -262,7 +263,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fit = pairs.join(one, "a").join(two, "b").filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
         fit = materialize(fit.mapInArrow(_near(percent), "a long, b long, size_a long, size_b long"), "parity-fit")
         wanted = fit.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
-        texts = rows.join(wanted.withColumnRenamed("id", "wanted_id"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("text")
+        wanted = materialize(wanted.withColumnRenamed("id", "wanted_id"), "parity-wanted")
+        if wanted.count() <= broadcast_rows:
+            wanted = F.broadcast(wanted)
+        texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).select("text")
         found = materialize(texts.mapInArrow(_hash_lists(words), "node long, hashes array<long>").dropDuplicates(["node"]), "parity-lists")
         pair = fit.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(found.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
         shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
