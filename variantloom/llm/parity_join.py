@@ -29,7 +29,7 @@ from .common import materialize
 from .graph import components
 from .textbytes import bytes_of, chunks, word_hashes
 
-SKETCH = 2048  # bits of the dense sketch
+SKETCH = 1024  # bits of the dense sketch
 TEXTS = 256  # texts that share one sort: their number takes the upper 8 bits
 SINGLE = 256  # up to this size each bit is a block
 KEY_BITS = 55
@@ -249,12 +249,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         entries.withColumn("before", F.lag("node").over(in_block))
         .withColumn("after", F.lead("node").over(in_block))
         .withColumn("head", F.first("node").over(in_block))
+        .withColumn("before_size", F.lag("size").over(in_block))
+        .withColumn("head_size", F.first("size").over(in_block))
         .filter("(before is not null and before <> node) or (after is not null and after <> node)")
         .filter("before is null or before <> node")
-        .select("key", "node", "size", "head", "before")
+        .select("key", "node", "size", "head", "before", "head_size", "before_size")
     )
     met = materialize(met, "parity-met")
-    first_pairs = met.filter("before is not null").select(F.explode(F.array("head", "before")).alias("x"), "node").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).filter("a <> b").distinct()
+    partner = F.explode(F.array(F.struct(F.col("head").alias("node"), F.col("head_size").alias("size")), F.struct(F.col("before").alias("node"), F.col("before_size").alias("size"))))
+    near = (F.col("x.node") != F.col("node")) & (100 * F.least("x.size", "size") >= percent * F.greatest("x.size", "size"))
+    first_pairs = met.filter("before is not null").select(partner.alias("x"), "node", "size").filter(near).select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b")).distinct()
+    first_pairs = materialize(first_pairs, "parity-pairs")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes those that link; the sketches thin them out first."""
@@ -274,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = verify(first_pairs)
     label = materialize(components(links), "parity-labels")
-    labelled = met.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("head", "before")
+    labelled = met.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("head", "before", "head_size", "before_size")
     spread = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi and members > 2").select("key", "members")
     open_ = materialize(labelled.join(spread, "key"), "parity-open")
     few = open_.filter(F.col("members") <= small)
