@@ -227,8 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with fewer words is one shingle, one without words (or null) has an empty set and is its
     own component. Sets link when 100 * intersection >= percent * union. ``component_id`` is
     the smallest id reachable by links; rows with equal sets are linked; a null id never
-    names a component unless no other does. ``n_links``: verified links of the row's set to
-    other sets found on the way (not all that exist). Shingles are told apart by 56-bit
+    names a component unless no other does. ``n_links``: links of the row's set that were
+    verified to connect its component (not all that exist). Shingles are told apart by 56-bit
     hashes within pairs that meet. An empty table gives an empty result.
 
     ``common_in``: a block that so many distinct sets of one batch have counts as common and
@@ -261,23 +261,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first_pairs = met.filter("before is not null").select(partner.alias("x"), "node", "size").filter(near).select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b")).distinct()
     first_pairs = materialize(first_pairs, "parity-pairs")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of nodes those that link; the sketches thin them out first."""
+    def verify(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """``known`` links and those of ``pairs`` (a, b) that are needed to connect what links connect.
+
+        Sketches thin the pairs out. Each round then verifies the nearest pair of every node
+        whose ends aren't connected yet, the last one all that are left, so that few pairs
+        fetch the sets themselves and no connection is lost.
+        """
         one = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
         two = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
-        fit = pairs.join(one, "a").join(two, "b").filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-        fit = materialize(fit.mapInArrow(_near(percent), "a long, b long, size_a long, size_b long"), "parity-fit")
+        fit = materialize(pairs.join(one, "a").join(two, "b").mapInArrow(_near(percent), "a long, b long, size_a long, size_b long, far long"), "parity-fit")
         wanted = fit.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
         wanted = materialize(wanted.withColumnRenamed("id", "wanted_id"), "parity-wanted")
         if wanted.count() <= broadcast_rows:
             wanted = F.broadcast(wanted)
         texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).select("text")
         found = materialize(texts.mapInArrow(_hash_lists(words), "node long, hashes array<long>").dropDuplicates(["node"]), "parity-lists")
-        pair = fit.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(found.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
-        shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
-        return materialize(pair.filter(100 * shared >= percent * (F.col("size_a") + F.col("size_b") - shared)).select("a", "b"), "parity-links")
-
-    links = verify(first_pairs)
+        links = known
+        for last in (False, False, True):
+            if links is not None:
+                label = materialize(components(links), "parity-labels")
+                own = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))  # noqa: B023, E731
+                fit = fit.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).drop("a_of", "b_of")
+                fit = materialize(fit, "parity-fit")
+            tried = fit
+            if not last:
+                nearest = fit.select(F.explode(F.array("a", "b")).alias("node"), F.struct("far", "a", "b", "size_a", "size_b").alias("pair")).groupBy("node").agg(F.min("pair").alias("pair"))
+                tried = materialize(nearest.select("pair.*").distinct(), "parity-tried")
+            pair = tried.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(found.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+            shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
+            linked = materialize(pair.filter(100 * shared >= percent * (F.col("size_a") + F.col("size_b") - shared)).select("a", "b"), "parity-links")
+            links = linked if links is None else links.unionByName(linked)
+            if not last:
+                fit = fit.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        return links
+
+    links = verify(first_pairs, None)
     label = materialize(components(links), "parity-labels")
     labelled = met.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("head", "before", "head_size", "before_size")
     spread = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi and members > 2").select("key", "members")
@@ -292,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("p", F.least("piece", "o")).withColumn("q", F.greatest("piece", "o"))
     more = each.select("key", "p", "q", "piece", "node", "size", "component", "sketch").groupBy("key", "p", "q").applyInPandas(_piecewise(percent), "a long, b long")
     second = pairs.unionByName(more).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(second))
+    links = verify(second, links)
     label = components(links)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -314,7 +333,8 @@ def _near(percent: int):
             bits = lambda x: np.frombuffer(b"".join(x.to_pylist()), dtype=np.uint64).reshape(len(x), -1)
             if batch.num_rows:
                 total = c["size_a"].to_numpy() + c["size_b"].to_numpy()
-                near = np.bitwise_count(bits(c["sketch_a"]) ^ bits(c["sketch_b"])).sum(axis=1) * (100 + percent) <= total * (100 - percent)
-                yield pa.RecordBatch.from_arrays([c[k].filter(pa.array(near)) for k in ("a", "b", "size_a", "size_b")], ["a", "b", "size_a", "size_b"])
+                far = np.bitwise_count(bits(c["sketch_a"]) ^ bits(c["sketch_b"])).sum(axis=1).astype(np.int64)
+                near = pa.array(far * (100 + percent) <= total * (100 - percent))
+                yield pa.RecordBatch.from_arrays([*[c[k].filter(near) for k in ("a", "b", "size_a", "size_b")], pa.array(far).filter(near)], ["a", "b", "size_a", "size_b", "far"])
 
     return run
