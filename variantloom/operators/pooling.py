@@ -45,61 +45,61 @@ def normalise(scores: DataFrame, call_rate: float = 0.95, hwe: float = 1e-5) ->
     return s.withColumn("fail", F.when(poor, QC).when(alleles, ALLELES_MISSING).cast("int"))
 
 
-def _fold(s: Column, r: Column) -> Column:
-    """State (a, b, seen, out) and the next study's record to the next state."""
-    a, b = s["a"], s["b"]
-    ref, alt = r["ref"], r["alt"]
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _match(s: Column, r: Column) -> Column:
+    """How a record fits the site: code 0 as it is, 1 turned, 2 not at all; the pair (a, b) it leaves; whether it is monomorphic."""
+    a, b, ref, alt = s["a"], s["b"], r["ref"], r["alt"]
     mono = (r["c2"] + r["c3"] == 0) | (r["c1"] + r["c2"] == 0)
-    blank = (a == ".") & (b == ".")
     one_sided = (ref == alt) | (ref == ".") | (alt == ".")
+    pair = lambda code, x, y: F.struct(F.lit(code).alias("code"), x.alias("a"), y.alias("b"))
     single = F.when(ref == ".", alt).when(alt == ".", ref).otherwise(alt)
-
-    # a record with one allele against the site's pair
-    match_1 = F.when(blank, 0).when((a == ".") | (b == "."), F.when((single == a) | (single == b), 0).otherwise(2)).when(b == single, 0).when(a == single, 1).otherwise(2)
-    # a record with two alleles
-    half = (b == ".") & (a != ".")
-    twin = a == b
-    match_2 = (
-        F.when(blank, 0)
-        .when(half, F.when((ref != a) & (alt != a), 2).otherwise(0))
-        .when((ref == a) & (alt == b), 0)
-        .when((ref == b) & (alt == a), 1)
-        .when(twin & (ref == a), 0)
-        .when(twin & (alt == a), 1)
-        .otherwise(2)
-    )
-    use_1 = mono & one_sided
-    match = F.when(use_1, match_1).otherwise(match_2)
-    # the pair a two-allele record leaves behind, as it is or as it was
-    takes = blank | (half & (match_2 == 0)) | (twin & ~blank & (ref == a))
-    turns = twin & ~blank & (ref != a) & (alt == a)
-    seen_a = F.when(use_1, F.when(blank, single).otherwise(a)).otherwise(F.when(takes, ref).when(turns, alt).otherwise(a))
-    seen_b = F.when(use_1, F.when(blank, single).otherwise(b)).otherwise(F.when(takes, alt).when(turns, ref).otherwise(b))
-    # a site's first record
+    no = pair(2, a, b)
+    blank, half, twin = (a == ".") & (b == "."), (b == ".") & (a != "."), a == b
+    # a site's first record; one that fell out leaves no alleles behind
     only_alt = r["c1"] + r["c2"] == 0
-    new_a = F.when(mono & one_sided, F.when(ref == ".", alt).otherwise(ref)).when(mono & only_alt, alt).otherwise(ref)
-    new_b = F.when(mono & one_sided, F.lit(".")).when(mono & only_alt, ref).otherwise(alt)
-
-    failed = r["fail"].isNotNull()
-    code = F.when(failed, 2).when(~s["seen"], 0).otherwise(match)
-    bad = code == 2
-    flip = code == 1
-    plain_ac, turned_ac = (2 * r["c3"] + r["c2"]).cast("long"), (2 * r["c1"] + r["c2"]).cast("long")
-    zero = F.lit(0).cast("long")
-    # a monomorphic record counts alleles only where it names two and the site is known
-    mono_ac = F.when(~s["seen"] | (ref == ".") | (alt == "."), zero).when(flip, turned_ac).otherwise(plain_ac)
-    ac = F.when(bad, zero).when(mono, mono_ac).when(flip, turned_ac).otherwise(plain_ac)
-    falls = F.when(flip, -r["effect"]).otherwise(r["effect"]) < 0
-    direction = F.when(bad, "!").when(mono, "?").when(falls, "-").otherwise("+")
-    reason = F.when(failed, r["fail"]).when(bad, ALLELES_MISMATCH)
-    missing = F.when(bad, r["samples"]).otherwise(r["samples"] - r["n"])
-    decision = F.struct(
-        r["study"].alias("study"), direction.alias("dir"), F.when(flip, -1).otherwise(1).alias("sign"), ac.alias("ac"),
-        F.when(bad, 0).otherwise(r["n"]).alias("n"), missing.alias("missing"), reason.cast("int").alias("reason"), (~bad & ~mono).alias("stat"),
-    ).cast(_DECISION)
-    keep_a = F.when(bad & s["seen"], a).when(bad, F.lit(".")).when(s["seen"], seen_a).otherwise(new_a)
-    keep_b = F.when(bad & s["seen"], b).when(bad, F.lit(".")).when(s["seen"], seen_b).otherwise(new_b)
-    return F.struct(keep_a.alias("a"), keep_b.alias("b"), F.lit(True).alias("seen"), F.concat(s["out"], F.array(decision)).alias("out"))
+    first = (
+        F.when(r["fail"].isNotNull(), pair(2, F.lit("."), F.lit(".")))
+        .when(mono & one_sided, pair(0, F.when(ref == ".", alt).otherwise(ref), F.lit(".")))
+        .when(mono & only_alt, pair(0, alt, ref))
+        .otherwise(pair(0, ref, alt))
+    )
+    # a record with one allele, then one with two, against the site's pair
+    one = F.when(blank, pair(0, single, single)).when((a == ".") | (b == "."), F.when((single == a) | (single == b), pair(0, a, b)).otherwise(no)).when(b == single, pair(0, a, b)).when(a == single, pair(1, a, b)).otherwise(no)
+    two = (
+        F.when(blank, pair(0, ref, alt))
+        .when(half, F.when((ref != a) & (alt != a), no).otherwise(pair(0, ref, alt)))
+        .when((ref == a) & (alt == b), pair(0, a, b))
+        .when((ref == b) & (alt == a), pair(1, a, b))
+        .when(twin & (ref == a), pair(0, ref, alt))
+        .when(twin & (alt == a), pair(1, alt, ref))
+        .otherwise(no)
+    )
+    found = F.when(~s["seen"], first).when(r["fail"].isNotNull(), no).when(mono & one_sided, one).otherwise(two)
+    return F.struct(found.alias("m"), mono.alias("mono"))
+
+
+def _fold(s: Column, r: Column) -> Column:
+    """State (a, b, seen, out) and the next study's record to the next state."""
+
+    def decide(x: Column) -> Column:
+        code, mono = x["m"]["code"], x["mono"]
+        bad, flip = code == 2, code == 1
+        zero = F.lit(0).cast("long")
+        # a monomorphic record counts alleles only where it names two and the site is known
+        silent = bad | (mono & (~s["seen"] | (r["ref"] == ".") | (r["alt"] == ".")))
+        ac = F.when(silent, zero).when(flip, (2 * r["c1"] + r["c2"]).cast("long")).otherwise((2 * r["c3"] + r["c2"]).cast("long"))
+        falls = F.when(flip, -r["effect"]).otherwise(r["effect"]) < 0
+        decision = F.struct(
+            r["study"].alias("study"), F.when(bad, "!").when(mono, "?").when(falls, "-").otherwise("+").alias("dir"), F.when(flip, -1).otherwise(1).alias("sign"), ac.alias("ac"), F.when(bad, 0).otherwise(r["n"]).alias("n"),
+            F.when(bad, r["samples"]).otherwise(r["samples"] - r["n"]).alias("missing"), F.when(bad, F.coalesce(r["fail"], F.lit(ALLELES_MISMATCH))).cast("int").alias("reason"), (~bad & ~mono).alias("stat"),
+        ).cast(_DECISION)
+        return F.struct(x["m"]["a"].alias("a"), x["m"]["b"].alias("b"), F.lit(True).alias("seen"), F.concat(s["out"], F.array(decision)).alias("out"))
+
+    return _let(_match(s, r), decide)
 
 
 def harmonise(records: DataFrame) -> DataFrame:
