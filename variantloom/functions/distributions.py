@@ -10,6 +10,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,8 +250,6 @@ def mvn_box(limit: np.ndarray, r: np.ndarray, points: int = 50_000, shifts: int
 
 def register(spark: SparkSession) -> None:
     """SQL functions chi2_p, chi2_underflow, normal_quantile, chi2_upper_quantile, hwe_exact, mixture_p, liu_p, odds_ratio_factor."""
-    import pandas as pd
-
     def udf(name: str, kind: str, f) -> None:
         spark.udf.register(name, F.pandas_udf(f, kind))
 
@@ -281,8 +280,6 @@ def register(spark: SparkSession) -> None:
 
 def chi2_p(x: Column) -> Column:
     """One degree of freedom, underflow rule applied, as a Column over Arrow batches; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(v: pd.Series) -> pd.Series:
         return pd.Series(chi2_tail_1_reported(v)[0])

@@ -7,6 +7,7 @@ stays in DataFrame aggregates; only VT and SKAT tails cross into Python, one gen
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,8 +194,6 @@ def vt_test(af: np.ndarray, u: np.ndarray, c: np.ndarray) -> tuple[float, float,
 
 def skat_vt(matrices: DataFrame, skat_method: str = "BBeta") -> DataFrame:
     """gene, q, p_davies, p_liu, shrunk, vt_effect, vt_cutoff, vt_p, vt_num_var in one pass over the gene rows."""
-    import pandas as pd
-
     def weights(af: np.ndarray) -> np.ndarray:
         return {"burden": np.ones_like(af), "MB": np.sqrt(af * (1 - af)), "MAB": af, "BBeta": (25 * (1 - af) ** 24) ** 2}[skat_method]
 
@@ -211,8 +210,6 @@ def skat_vt(matrices: DataFrame, skat_method: str = "BBeta") -> DataFrame:
 
 
 def burden_p(result: DataFrame) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(x: pd.Series) -> pd.Series:
         return pd.Series(chi2_tail_1_reported(x)[0])

@@ -6,6 +6,7 @@ sample is known: sums over centred genotypes follow from sums over the rows ther
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,6 @@ def variant_summary(genotypes: DataFrame, by: list[str] = (), founders: str | No
 
 def with_hwe(summary: DataFrame) -> DataFrame:
     """hwe_p by the exact test; null where no sample is called."""
-    import pandas as pd
-
     from ..functions.distributions import hwe_exact
 
     @F.pandas_udf("double")

@@ -9,14 +9,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def inverse_normal(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """rank_q: (mean rank from 0 + 0.5) / n, and z: its normal quantile; ties share their mean rank. Null values have neither."""
-    import pandas as pd
-
     from ..functions.distributions import normal_quantile
 
     @F.pandas_udf("double")
@@ -217,8 +216,6 @@ def related_scores(variants: DataFrame, model: dict, samples: list[str]) -> Data
 
     The rotation (n x n of one study) is broadcast with the task; variants stream through it.
     """
-    import pandas as pd
-
     rotation, weight, residual = model["rotation"], model["weight"], model["residual"]
 
     def run(batches):

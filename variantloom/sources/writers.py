@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def short_number(c: Column) -> Column:
     """C's ``%g``: six significant digits, no trailing zeros; null is ``NA``. Runs in Arrow batches, in sinks only."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def show(x: pd.Series) -> pd.Series:
         return x.map(lambda v: "NA" if pd.isna(v) else f"{v:g}")
