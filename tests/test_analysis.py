@@ -58,7 +58,7 @@ def test_kinship_from_carriers_matches_the_dense_product(spark):
     rng = np.random.default_rng(1)
     g = rng.binomial(2, 0.3, (8, 20)).astype(float)
     p = g.mean(axis=0) / 2
-    rows = [("1", j, f"s{i}", g[i, j]) for i in range(8) for j in range(20) if g[i, j]]
+    rows = [("1", j, f"s{i}", float(g[i, j])) for i in range(8) for j in range(20) if g[i, j]]
     markers = spark.createDataFrame([("1", j, float(p[j])) for j in range(20)], "chrom string, pos int, af double")
     k = kinship.grm(spark.createDataFrame(rows, "chrom string, pos int, sample string, dose double"), markers, spark.createDataFrame([(f"s{i}",) for i in range(8)], "sample string"))
     z = (g - 2 * p) / np.sqrt(2 * p * (1 - p))
