@@ -279,9 +279,13 @@ def register(spark: SparkSession) -> None:
 
 
 def chi2_p(x: Column) -> Column:
-    """One degree of freedom, underflow rule applied, as a Column over Arrow batches; null stays null."""
+    """One degree of freedom, underflow rule applied, as a Column over Arrow batches; null stays null.
+
+    Marked as not deterministic so that a filter on it stays above the projection that
+    computes it, where Spark can run it in Python.
+    """
     @F.pandas_udf("double")
     def tail(v: pd.Series) -> pd.Series:
         return pd.Series(chi2_tail_1_reported(v)[0])
 
-    return F.when(x.isNotNull(), tail(x))
+    return F.when(x.isNotNull(), tail.asNondeterministic()(x))
