@@ -29,7 +29,7 @@ from .common import materialize
 from .graph import components
 from .textbytes import bytes_of, chunks, word_hashes
 
-SKETCH = 1024  # bits of the dense sketch
+SKETCH = 1024  # least bits of the dense sketch; larger sets have the next power of two of their size
 TEXTS = 256  # texts that share one sort: their number takes the upper 8 bits
 SINGLE = 256  # up to this size each bit is a block
 KEY_BITS = 55
@@ -134,6 +134,35 @@ def _fresh(node: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
     return fresh
 
 
+def _sketches(h: np.ndarray, text: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A parity sketch per set, as wide as the set is large, so that long texts are told apart too."""
+    width = np.maximum(SKETCH, np.int64(1) << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    end = np.cumsum(width)
+    at = (end - width)[text] + (h & (width[text] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(end[-1]) if len(end) else 0) & 1).astype(np.uint8)).tobytes()
+    return [packed[(e - w) // 8 : e // 8] for e, w in zip(end.tolist(), width.tolist())]
+
+
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 64-bit words folded by XOR to ``width`` words: the sketch that the narrower width would have given."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Hamming distance of each pair of sketches, at the narrower width of the two."""
+    out, by_width = np.zeros(len(a), np.int64), {}
+    for i, (x, y) in enumerate(zip(a, b)):
+        by_width.setdefault((len(x), len(y)), []).append(i)
+    for (wa, wb), rows in by_width.items():
+        one, two = (np.frombuffer(b"".join(s[i] for i in rows), dtype=np.uint64).reshape(len(rows), -1) for s in (a, b))
+        least = min(wa, wb) // 8
+        out[rows] = np.bitwise_count(_fold(one, least) ^ _fold(two, least)).sum(axis=1)
+    return out
+
+
 def _sets(words: int, percent: int, common_in: int):
     """Per text (id, node, size, sketch); and, per batch, the block keys that many of its distinct sets have."""
     import pyarrow as pa
@@ -146,10 +175,8 @@ def _sets(words: int, percent: int, common_in: int):
             for a, n, h, text in shingle_sets(batch.column(1), words):
                 size = np.bincount(text, minlength=n)
                 node = _node_of(h, size)
-                flips = np.bincount(text * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), minlength=n * SKETCH) & 1
-                sketch = np.packbits(flips.astype(np.uint8).reshape(n, SKETCH), axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(node, mask=size == 0), pa.array(size), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema
+                    [batch.column(0).slice(a, n), pa.array(node, mask=size == 0), pa.array(size), pa.array(_sketches(h, text, size), pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema
                 )
                 fresh = _fresh(node, size, seen)
                 keys += [key[fresh[sets]] for sets, key, _ in _blocks(h, text, size, percent)]
@@ -208,13 +235,17 @@ def _piecewise(percent: int):
         one, two = pdf[pdf["piece"] == pdf["p"]], pdf[pdf["piece"] == pdf["q"]]
         found = []
         if len(one) and len(two):
-            bits = lambda df: np.frombuffer(b"".join(df["sketch"]), dtype=np.uint64).reshape(len(df), -1)
-            b, nb, cb, kb = bits(two), two["size"].to_numpy(), two["component"].to_numpy(), two["node"].to_numpy()
-            for row, s in zip(one.itertuples(), bits(one)):
-                total = nb + row.size
-                far = np.bitwise_count(b ^ s).sum(axis=1) * (100 + percent) > total * (100 - percent)
-                fit = ~far & (cb != row.component) & (100 * np.minimum(nb, row.size) >= percent * np.maximum(nb, row.size)) & (kb != row.node)
-                found += [(min(row.node, k), max(row.node, k)) for k in kb[fit]]
+            for w, part in two.groupby(two["sketch"].map(len)):
+                wide = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint64).reshape(len(part), -1)
+                nb, cb, kb = part["size"].to_numpy(), part["component"].to_numpy(), part["node"].to_numpy()
+                folded = {least: _fold(wide, least) for least in {min(w, len(s)) // 8 for s in one["sketch"]}}
+                for row in one.itertuples():
+                    n = row.size
+                    least = min(w, len(row.sketch)) // 8
+                    own = _fold(np.frombuffer(row.sketch, dtype=np.uint64)[None, :], least)
+                    far = np.bitwise_count(folded[least] ^ own).sum(axis=1).astype(np.int64) * (100 + percent) > (nb + n) * (100 - percent)
+                    fit = ~far & (cb != row.component) & (100 * np.minimum(nb, n) >= percent * np.maximum(nb, n)) & (kb != row.node)
+                    found += [(min(row.node, k), max(row.node, k)) for k in kb[fit]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
@@ -330,10 +361,9 @@ def _near(percent: int):
     def run(batches):
         for batch in batches:
             c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            bits = lambda x: np.frombuffer(b"".join(x.to_pylist()), dtype=np.uint64).reshape(len(x), -1)
             if batch.num_rows:
                 total = c["size_a"].to_numpy() + c["size_b"].to_numpy()
-                far = np.bitwise_count(bits(c["sketch_a"]) ^ bits(c["sketch_b"])).sum(axis=1).astype(np.int64)
+                far = _distances(c["sketch_a"].to_pylist(), c["sketch_b"].to_pylist())
                 near = pa.array(far * (100 + percent) <= total * (100 - percent))
                 yield pa.RecordBatch.from_arrays([*[c[k].filter(near) for k in ("a", "b", "size_a", "size_b")], pa.array(far).filter(near)], ["a", "b", "size_a", "size_b", "far"])
 
