@@ -55,7 +55,9 @@ class ByteCNN:
     def predict(self, x: np.ndarray, block: int = 32) -> np.ndarray:
         return np.concatenate([self._softmax(self._pooled(x[i : i + block])) for i in range(0, len(x), block)]) if len(x) else np.zeros((0, len(self.classes)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.004, seed: int = 5) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.004, seed: int = 5, least_steps: int = 600) -> None:
+        """Adam over shuffled batches: ``epochs`` passes, or as many as make ``least_steps`` steps where windows are few."""
+        epochs = max(epochs, -(-least_steps // max(1, -(-len(x) // batch))))
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
