@@ -139,6 +139,50 @@ def test_fuzzy_lines(spark, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_fuzzy_lines_against_brute_force(spark):
+    """Few words, one word of many, no blanks, characters beyond 16 bits, edits at the threshold: every pair is found."""
+    from variantloom.llm.line_dedup import dedup_lines
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(11)
+    alphabets = ["abcdefghij klmnop ", "国語中文日本字漢写真電車", "\U00020000\U00020001\U00020002\U00020003abc"]
+    lines = []
+    for n in (9, 10, 11, 19, 20, 27, 45, 60, 88, 90, 99, 100, 131, 240):
+        for letters in alphabets:
+            base = [rng.choice(letters) for _ in range(n)]
+            lines.append("".join(base))
+            for edits in (1, max(1, n // 20), n // 10, n // 10, n // 10 + 1):
+                own = list(base)
+                for _ in range(edits):
+                    at, kind = rng.randrange(len(own)), rng.randrange(3)
+                    own[at : at + (kind != 1)] = [] if kind == 0 else [rng.choice(letters)]
+                lines.append("".join(own))
+    lines = [" ".join(x.split()) for x in lines]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(lines):
+        for j in range(i):
+            most = max(len(a), len(lines[j]))
+            if abs(len(a) - len(lines[j])) <= most // 10 and find(i) != find(j) and distance(a, lines[j]) <= most // 10:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    got = {r["doc_id"]: r["n_kept"] for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {i: int(find(i) == i) for i in range(len(lines))}
+    assert 14 < sum(got.values()) < len(lines) - 60
+
+
 def test_packing_round_trip(docs, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
