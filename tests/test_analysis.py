@@ -17,6 +17,17 @@ def test_published_gene_values():
     assert abs(genes.vt_test(af, u, c)[2] - 0.709689) < 1e-3
 
 
+def test_threshold_test_takes_every_cutoff():
+    """Independent variants of one variance: the sums up to each cutoff are a random walk, which is easily drawn."""
+    for n, t in ((30, 2.3), (120, 2.5)):
+        af, u = np.linspace(0.001, 0.05, n), np.zeros(n)
+        u[0] = t
+        effect, cutoff, p, number = genes.vt_test(af, u, np.eye(n))
+        walk = np.random.default_rng(3).normal(size=(100_000, n)).cumsum(axis=1) / np.sqrt(np.arange(1, n + 1))
+        assert (cutoff, number) == (af[0], 1) and abs(effect - t) < 1e-12
+        assert abs(p - (np.abs(walk).max(axis=1) >= t).mean()) < 0.01
+
+
 def test_one_variant_burden_is_the_single_variant_test(spark):
     kept = spark.createDataFrame([("G", 0, "1", 5, "A", "C", 0.0151515, 5.937421, 26.998342, 0.2, 1.3, 1.0)], "gene string, ord int, chrom string, pos int, ref string, alt string, af double, u double, v double, effect double, chisq double, sign double")
     cov = spark.createDataFrame([("G", 0, 0, 26.998342)], "gene string, i int, j int, cov double")

@@ -219,7 +219,13 @@ def nearest_correlation(r: np.ndarray, trials: int = 100) -> np.ndarray:
     return r
 
 
-_PRIMES = [p for p in range(2, 550) if all(p % d for d in range(2, int(p**0.5) + 1))]
+def _primes(n: int) -> np.ndarray:
+    found, p = [], 2
+    while len(found) < n:
+        if all(p % d for d in found if d * d <= p):
+            found.append(p)
+        p += 1
+    return np.array(found, dtype=np.float64)
 
 
 def mvn_box(limit: np.ndarray, r: np.ndarray, points: int = 50_000, shifts: int = 10, seed: int = 1) -> float:
@@ -229,8 +235,8 @@ def mvn_box(limit: np.ndarray, r: np.ndarray, points: int = 50_000, shifts: int
     value, vector = np.linalg.eigh(r)
     root = np.linalg.qr(((vector * np.sqrt(np.maximum(value, 0))).T))[1].T
     cdf = np.frompyfunc(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), 1, 1)
-    m = max(100, points // shifts // max(1, n))
-    lattice = np.arange(1, m + 1)[:, None] * np.sqrt(np.array(_PRIMES[:n], dtype=np.float64))[None]
+    m = max(100, points // shifts // min(20, max(1, n)))
+    lattice = np.arange(1, m + 1)[:, None] * np.sqrt(_primes(n))[None]
     rng, means = np.random.default_rng(seed), []
     for _ in range(shifts):
         u = np.abs(2 * ((lattice + rng.random(n)) % 1) - 1)
