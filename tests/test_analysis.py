@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from variantloom.operators import annotate, bandjoin, conditional, genes, kinship, nullmodels
 
@@ -94,6 +95,27 @@ def test_mixed_models_and_logistic(spark):
     assert abs(beta[0] - np.log(0.3 / 0.7)) < 1e-2
 
 
+def test_logistic_fit_does_not_depend_on_the_number_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    from variantloom.plans import queries
+    from variantloom.plans.adapter import Cohort
+
+    sf_dir = "/root/testdata/sf0.001"
+    share = Cohort(spark, sf_dir).samples.agg(F.avg(F.col("is_case").cast("int"))).first()[0]
+    assert abs(queries.logistic_null_model(spark, sf_dir).first()["intercept"] - np.log(share / (1 - share))) < 1e-6
+    for n in (150, 150_000):
+        df = spark.range(n).select((F.col("id") % 5 == 0).cast("double").alias("y"))
+        assert abs(nullmodels.logistic(df, F.col("y"), [F.lit(1.0)])[0][0] - np.log(0.25)) < 1e-6
+    two = spark.range(1000).select((F.col("id") % 10).alias("r"), (F.col("id") % 2).alias("x")).select("x", F.when(F.col("x") == 1, F.col("r") < 3).otherwise(F.col("r") < 7).cast("double").alias("y"))
+    beta = nullmodels.logistic(two, F.col("y"), [F.lit(1.0), 1000 * F.col("x")])[0]  # odd r: 1 of 5; even r: 4 of 5
+    assert abs(beta[0] - np.log(4)) < 1e-6 and abs(1000 * beta[1] + 2 * np.log(4)) < 1e-6
+    with pytest.raises(ValueError, match="separate"):
+        nullmodels.logistic(spark.range(50).select(F.lit(1.0).alias("y")), F.col("y"), [F.lit(1.0)])
+    with pytest.raises(ValueError, match="converge"):
+        nullmodels.logistic(df, F.col("y"), [F.lit(1.0)], steps=1)
+
+
 def test_loci_move_with_their_best(spark):
     rows = [("1", 0, "A", "C", 0.01), ("1", 900_000, "A", "C", 0.001), ("1", 1_800_000, "A", "C", 0.01), ("1", 3_000_000, "A", "C", 0.01)]
     got = annotate.loci(spark.createDataFrame(rows, "chrom string, pos int, ref string, alt string, p double")).orderBy("locus").collect()

@@ -87,29 +87,49 @@ def binary_levels(df: DataFrame, y: str) -> tuple[float, float]:
     return levels[0], levels[1]
 
 
-def logistic(df: DataFrame, y: Column, xs: list[Column], steps: int = 2000, rate: float = 5e-5, tolerance: float = 1e-4) -> tuple[np.ndarray, int]:
-    """(beta, steps taken): gradient ascent on the log-likelihood of a 0/1 trait, until the gradient step's L1 norm is under ``tolerance``.
-
-    The rows are grouped once by equal covariates and trait, so that a step aggregates the
-    distinct covariate patterns; each step brings back one number per covariate.
+def logistic(df: DataFrame, y: Column, xs: list[Column], steps: int = 2000, rate: float | None = None, tolerance: float = 1e-4) -> tuple[np.ndarray, int]:
+    """(beta, steps taken): the most likely fit of a 0/1 trait, by steps until one's L1 norm is under ``tolerance``; raises if none is.
+
+    Newton's steps, halved while they lower the likelihood, which depend neither on the
+    number of rows nor on the covariates' scale; with ``rate`` gradient ascent at that rate, as
+    the reference does (5e-5). A trait that the covariates separate has no fit and raises. The
+    rows are grouped once by equal covariates and trait, so that a step aggregates the distinct
+    covariate patterns; each step brings back a few numbers per pair of covariates.
     """
     names = [f"x{i}" for i in range(len(xs))]
     d = df.select(y.cast("double").alias("y"), *[x.cast("double").alias(n) for x, n in zip(xs, names)]).dropna()
     patterns = d.groupBy(*names).agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n")).persist()
-    beta = np.zeros(len(xs))
+    k = len(xs)
+
+    def at(beta: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """Log-likelihood, largest |z|, gradient and information."""
+        z = F.lit(0.0)
+        for b, n in zip(beta, names):
+            z = z + F.lit(float(b)) * F.col(n)
+        p = 1 / (1 + F.exp(-z))
+        gap, spread = F.col("ones") - F.col("n") * p, F.col("n") * p * (1 - p)
+        told = F.col("ones") * z - F.col("n") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))))
+        row = [v or 0.0 for v in patterns.agg(F.sum(told), F.max(F.abs(z)), *[F.sum(gap * F.col(n)) for n in names], *[F.sum(spread * F.col(m) * F.col(n)) for m in names for n in names]).first()]
+        return row[0], row[1], np.array(row[2 : 2 + k]), np.array(row[2 + k :]).reshape(k, k)
+
+    beta = np.zeros(k)
     try:
+        value, far, g, information = at(beta)
         for step in range(1, steps + 1):
-            z = F.lit(0.0)
-            for b, n in zip(beta, names):
-                z = z + F.lit(float(b)) * F.col(n)
-            gap = F.col("ones") - F.col("n") / (1 + F.exp(-z))
-            g = np.array([v or 0.0 for v in patterns.agg(*[F.sum(gap * F.col(n)) for n in names]).first()])
-            beta = beta + rate * g
-            if np.abs(rate * g).sum() < tolerance:
-                break
+            move = rate * g if rate else np.linalg.pinv(information) @ g
+            found = at(beta + move)
+            while not rate and found[0] < value - 1e-9 * abs(value) and np.abs(move).sum() >= tolerance:
+                move = move / 2
+                found = at(beta + move)
+            beta = beta + move
+            value, far, g, information = found
+            if far > 30:
+                raise ValueError("the covariates separate the trait's values (or the rate is too high): there is no logistic fit")
+            if np.abs(move).sum() < tolerance:
+                return beta, step
     finally:
         patterns.unpersist()
-    return beta, step
+    raise ValueError(f"the logistic fit did not converge in {steps} steps")
 
 
 def minimise(f, low: float, high: float, tolerance: float = 1e-9) -> float:

@@ -344,7 +344,7 @@ def linear_null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("logistic_null_model")
 def logistic_null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beta, steps = nullmodels.logistic(Cohort(spark, sf_dir).samples, F.col("is_case").cast("double"), [F.lit(1.0)], steps=60, rate=5e-4)
+    beta, steps = nullmodels.logistic(Cohort(spark, sf_dir).samples, F.col("is_case").cast("double"), [F.lit(1.0)])
     return spark.createDataFrame([(float(beta[0]), steps)], "intercept double, steps int")
 
 
