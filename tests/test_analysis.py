@@ -79,6 +79,21 @@ def test_kinship_from_carriers_matches_the_dense_product(spark):
         assert abs(r["k"] - dense[int(r["a"][1:]), int(r["b"][1:])]) < 1e-9
 
 
+def test_kinship_has_every_pair_of_samples(spark):
+    """Rare carriers, most pairs without a common one, and a sample that carries nothing."""
+    g = np.zeros((7, 6))
+    for i, j, dose in ((0, 0, 1), (1, 0, 2), (1, 1, 1), (2, 2, 1), (3, 3, 1), (3, 4, 1), (4, 4, 1), (5, 5, 2)):
+        g[i, j] = dose
+    p = g.mean(axis=0) / 2
+    rows = [("1", j, f"s{i}", float(g[i, j])) for i in range(7) for j in range(6) if g[i, j]]
+    markers = spark.createDataFrame([("1", j, float(p[j])) for j in range(6)], "chrom string, pos int, af double")
+    got = {(r["a"], r["b"]): r["k"] for r in kinship.grm(spark.createDataFrame(rows, "chrom string, pos int, sample string, dose double"), markers, spark.createDataFrame([(f"s{i}",) for i in range(7)], "sample string")).collect()}
+    z = (g - 2 * p) / np.sqrt(2 * p * (1 - p))
+    dense = z @ z.T / 6
+    assert sorted(got) == [(f"s{i}", f"s{j}") for i in range(7) for j in range(i, 7)]
+    assert all(abs(k - dense[int(a[1:]), int(b[1:])]) < 1e-9 for (a, b), k in got.items())
+
+
 def test_mixed_models_and_logistic(spark):
     rng = np.random.default_rng(4)
     a = rng.normal(size=(80, 200))

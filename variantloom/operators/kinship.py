@@ -12,13 +12,15 @@ def kinship_markers(summary: DataFrame, least_maf: float = 0.05, most_missing: f
     return summary.filter((maf >= least_maf) & (1 - F.col("call_rate") <= most_missing)).select("chrom", "pos", F.col("all_af").alias("af"))
 
 
-def grm(nonzero: DataFrame, markers: DataFrame, samples: DataFrame, by_variance: bool = False) -> DataFrame:
-    """(a, b, k), a <= b: mean over markers of (x_a - 2p)(x_b - 2p) / (2p(1-p)); missing genotypes count as dose 0 rows are absent.
+def grm(nonzero: DataFrame, markers: DataFrame, samples: DataFrame, by_variance: bool = False, shared_only: bool = False) -> DataFrame:
+    """(a, b, k), a <= b, for every pair of ``samples``: mean over markers of (x_a - 2p)(x_b - 2p) / (2p(1-p)); missing genotypes count as dose 0 rows are absent.
 
     From carriers alone: with w = 1/(2p(1-p)), the sum is S_ab - L_a - L_b + C where S sums
     w x_a x_b over common carriers, L sums 2 p w x_a and C sums 4 p^2 w. Markers with many
     carriers make many sample pairs, which is what a kinship matrix is; rare ones make few.
     ``by_variance`` divides by the sample variance of the marker (X chromosome).
+    ``shared_only`` leaves out pairs without a common carrier, whose S is 0 but whose value is
+    (C - L_a - L_b) / markers, not 0.
     """
     p = F.col("af")
     var = F.col("variance") if by_variance else 2 * p * (1 - p)
@@ -29,7 +31,12 @@ def grm(nonzero: DataFrame, markers: DataFrame, samples: DataFrame, by_variance:
     own = samples.select("sample").distinct().join(own, "sample", "left").withColumn("l", F.coalesce("l", F.lit(0.0)))
     two = x.select("chrom", "pos", F.col("sample").alias("b"), F.col("dose").alias("dose_b"))
     s = x.withColumnRenamed("sample", "a").join(two, ["chrom", "pos"]).filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("dose") * F.col("dose_b")).alias("s"))
-    j = s.join(own.select(F.col("sample").alias("a"), F.col("l").alias("la")), "a").join(own.select(F.col("sample").alias("b"), F.col("l").alias("lb")), "b").join(F.broadcast(facts), F.lit(True))
+    la, lb = own.select(F.col("sample").alias("a"), F.col("l").alias("la")), own.select(F.col("sample").alias("b"), F.col("l").alias("lb"))
+    if shared_only:
+        j = s.join(la, "a").join(lb, "b")
+    else:
+        j = la.join(lb, F.col("a") <= F.col("b")).join(s, ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    j = j.join(F.broadcast(facts), F.lit(True))
     return j.select("a", "b", ((F.col("s") - F.col("la") - F.col("lb") + F.col("c")) / F.col("markers")).alias("k"))
 
 
