@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import annotate, genes, genotypes, kinship, nullmodels, pooling, populations
 from .adapter import Cohort
 
-#: Samples, genotypes and score records, as the adapter defines them.
+#: Samples, genotypes and score records, as the adapter defines them. A record with another
+#: allele falls out only where one was accepted before it; else it names the site's alleles.
 BASE = """
 WITH smp AS (
   SELECT n.n_regionkey::INTEGER AS study, c.c_custkey AS sample, c.c_acctbal / 1000 AS y, c.c_mktsegment = 'BUILDING' AS is_case, n.n_nationkey AS population
@@ -26,17 +27,19 @@ raw AS (
   SELECT g.study, g.part, g.chrom, g.pos, g.ref, g.alt, sum(dose) AS g, sum(dose * dose) AS gg, sum(dose * (s.y - f.m)) AS rg,
          count(*) FILTER (dose = 1) AS n_het, count(*) FILTER (dose = 2) AS n_alt, coalesce(sum(dose) FILTER (s.is_case), 0) AS case_g
   FROM gt g JOIN smp s ON s.sample = g.sample JOIN fct f ON f.study = g.study GROUP BY ALL),
+dis AS (SELECT raw.*, part % 97 = 0 AND study >= 3 AS other, part % 53 = 0 AND study % 2 = 0 AS poor FROM raw),
 sco AS (
-  SELECT raw.*, f.n, f.sigma2, f.m, rg / f.sigma2 AS u, (gg - g * g / f.n) / f.sigma2 AS v,
-         (part + raw.study) % 5 = 0 AND NOT (part % 97 = 0 AND raw.study >= 3) AS turned, part % 97 = 0 AND raw.study >= 3 AS bad, part % 53 = 0 AND raw.study % 2 = 0 AS poor
-  FROM raw JOIN fct f ON f.study = raw.study WHERE (gg - g * g / f.n) / f.sigma2 > 0),
+  SELECT r.* REPLACE (CASE WHEN other THEN substr(replace(replace('ACGT', ref, ''), alt, ''), 1, 1) ELSE alt END AS alt), f.n, f.sigma2, f.m, rg / f.sigma2 AS u, (gg - g * g / f.n) / f.sigma2 AS v,
+         (part + r.study) % 5 = 0 AND NOT other AS turned,
+         other AND coalesce(bool_or(NOT other AND NOT poor) OVER (PARTITION BY part), false) AS bad
+  FROM dis r JOIN fct f ON f.study = r.study WHERE (gg - g * g / f.n) / f.sigma2 > 0),
 fst AS (SELECT part, arg_min(turned, study) AS site_turned FROM sco WHERE NOT bad AND NOT poor GROUP BY part),
 acc AS (SELECT s.*, f.site_turned FROM sco s JOIN fst f USING (part) WHERE NOT bad AND NOT poor),
 exc AS (SELECT part, sum(n)::BIGINT AS gone FROM sco WHERE bad OR poor GROUP BY part),
 poo AS (
   SELECT a.part, a.chrom, a.pos, CASE WHEN site_turned THEN a.alt ELSE a.ref END AS ref, CASE WHEN site_turned THEN a.ref ELSE a.alt END AS alt,
          (SELECT n FROM tot) - coalesce(max(e.gone), 0) AS n, sum(CASE WHEN site_turned THEN 2 * a.n - g ELSE g END) AS ac,
-         CASE WHEN site_turned THEN -sum(u) ELSE sum(u) END AS u, sum(v) AS v, site_turned, sum(a.n) AS seen
+         CASE WHEN site_turned THEN -sum(u) ELSE sum(u) END AS u, sum(v) AS v, site_turned, sum(a.n) AS seen, bool_or(other) AS third
   FROM acc a LEFT JOIN exc e ON e.part = a.part GROUP BY a.part, a.chrom, a.pos, a.ref, a.alt, site_turned),
 dir AS (
   SELECT p.part, string_agg(CASE WHEN s.part IS NULL THEN '?' WHEN s.bad OR s.poor THEN '!' WHEN (CASE WHEN p.site_turned THEN -s.u ELSE s.u END) < 0 THEN '-' ELSE '+' END, '' ORDER BY k.study) AS direction
@@ -50,7 +53,7 @@ ord AS (SELECT gene, part, chrom, pos, row_number() OVER (PARTITION BY gene ORDE
 kep AS (
   SELECT o.gene, o.ord, o.chrom, o.pos, p.part, CASE WHEN p.site_turned THEN 1 - af ELSE af END AS af, CASE WHEN p.site_turned THEN -p.u ELSE p.u END AS u, p.v
   FROM ord o JOIN (SELECT *, ac / (2.0 * n) AS af FROM poo) p ON p.part = o.part
-  WHERE (CASE WHEN p.site_turned THEN 1 - af ELSE af END) BETWEEN 1e-300 AND 0.05),
+  WHERE NOT p.third AND (CASE WHEN p.site_turned THEN 1 - af ELSE af END) BETWEEN 1e-300 AND 0.05),
 pr AS (SELECT a.gene, a.ord AS i, b.ord AS j, a.part AS pa, b.part AS pb, a.af AS fa, b.af AS fb FROM kep a JOIN kep b ON a.gene = b.gene AND a.ord <= b.ord),
 gp AS (
   SELECT x.study, x.part AS pa, z.part AS pb, sum(x.dose * z.dose) AS gg FROM gt x JOIN gt z ON x.study = z.study AND x.sample = z.sample
@@ -155,7 +158,7 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("exclusion_log", BASE + """
-SELECT study, chrom, pos, CASE WHEN poor THEN 0 ELSE 2 END::INTEGER AS reason FROM sco WHERE poor OR (bad AND part IN (SELECT part FROM sco WHERE NOT bad AND NOT poor))""")
+SELECT study, chrom, pos, CASE WHEN poor THEN 0 ELSE 2 END::INTEGER AS reason FROM sco WHERE poor OR bad""")
 def exclusion_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooling.exclusions(Cohort(spark, sf_dir).sites).select("study", "chrom", "pos", "reason")
 
@@ -397,7 +400,7 @@ def _panel(c: Cohort) -> DataFrame:
 
 
 @query("panel_matches", BASE + PANEL + """
-SELECT s.study, s.chrom, s.pos, f0 IS NOT NULL AND NOT bad AS matched, round(CASE WHEN f0 IS NULL OR bad THEN 0.25 / s.n WHEN turned THEN 1 - f0 ELSE f0 END, 9) AS first_af FROM sco s LEFT JOIN pw USING (part)""")
+SELECT s.study, s.chrom, s.pos, f0 IS NOT NULL AND NOT other AS matched, round(CASE WHEN f0 IS NULL OR other THEN 0.25 / s.n WHEN turned THEN 1 - f0 ELSE f0 END, 9) AS first_af FROM sco s LEFT JOIN pw USING (part)""")
 def panel_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Cohort(spark, sf_dir)
     j = populations.with_panel(c.scores, _panel(c), 3)
