@@ -291,6 +291,28 @@ def test_archives_round_trip(spark):
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first == i else ("revisit", first))
 
 
+def test_index_lookups(spark):
+    """Blocks of two lines and segments of a few: hits, misses, a key over several blocks, repeated rows, null ids and URLs, clashing columns."""
+    from variantloom.llm.warc import archive_and_read_back, build_index, captures, lookup, write_archives
+
+    urls = [f"http://h{i % 7}.example/p{i % 11}" for i in range(60)] + ["http://hot.example/"] * 30 + [None, "http://odd.example/a b", "http://odd.example/a\x01b", "http://odd.example/a"]
+    rows = [(i if i % 13 else None, u, f"<p>{i % 50}</p>", "clash", 1) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string, key string, segment int")
+    import tempfile
+
+    root = tempfile.mkdtemp(prefix="warc-")
+    write_archives(pages, f"{root}/archives", file_bytes=4000)
+    build_index(captures(spark, f"{root}/archives"), f"{root}/index", block_lines=2, segment_lines=9)
+    assert spark.read.parquet(f"{root}/index").count() > 40
+    asked = spark.createDataFrame([("http://hot.example/",), ("https://HOT.example:443",), ("http://h3.example/p3",), ("http://nowhere.example/",), ("http://odd.example/a",), (None,)], "url string")
+    got = collections.Counter(r["url"] for r in lookup(spark, f"{root}/index", asked).collect())
+    want = collections.Counter((u or "") for _, u, *_ in rows + rows[:3] if u in ("http://hot.example/", "http://h3.example/p3", "http://odd.example/a", None))
+    assert got == want
+    back = archive_and_read_back(pages, block_lines=2, segment_lines=9).collect()
+    assert collections.Counter((r["page_id"], r["payload_bytes"]) for r in back) == collections.Counter((i, len(h)) for i, _, h, *_ in rows + rows[:3])
+    assert archive_and_read_back(pages.limit(0)).count() == 0
+
+
 def test_language_model_on_held_out_text(spark, empty):
     from variantloom.llm.common import fold, read
     from variantloom.llm.langid import fit_language_model, predict_language

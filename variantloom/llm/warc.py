@@ -101,49 +101,99 @@ def write_archives(
     joined.select(F.concat(head, block).alias("record")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", int(per_file)).text(path)
 
 
+def _headers(data: bytes, at: int) -> dict[str, str]:
+    lines = data.decode().split(CRLF)
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"no WARC record at byte {at}")
+    return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """(headers with lower-case names, block, length with the closing CRLFs) of the record at ``at``."""
     end = data.index(b"\r\n\r\n", at)
-    lines = data[at:end].decode().split(CRLF)
-    if not lines[0].startswith("WARC/"):
-        raise ValueError(f"no WARC record at byte {at}")
-    headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    headers = _headers(data[at:end], at)
     stop = end + 4 + int(headers["content-length"])
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError(f"the record at byte {at} doesn't end where its length says")
     return headers, data[end + 4 : stop], stop + 4 - at
 
 
+class RangeReader:
+    """Byte ranges of archive files, local or in any store that pyarrow knows; the last file stays open."""
+
+    def __init__(self):
+        self.name, self.file = None, None
+
+    def read(self, uri: str, offset: int, length: int) -> bytes:
+        if uri != self.name:
+            self.close()
+            parts = urlparse(uri)
+            if parts.scheme in ("", "file"):
+                self.file = open(unquote(parts.path), "rb")
+            else:
+                from pyarrow import fs
+
+                store, at = fs.FileSystem.from_uri(uri)
+                self.file = store.open_input_file(at)
+            self.name = uri
+        self.file.seek(offset)
+        return self.file.read(length)
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+        self.file = self.name = None
+
+
+def _walk(reader: RangeReader, file: str, length: int, head: int = 4096):
+    """Capture rows of one archive, record by record: only headers are read, whatever the size of the file."""
+    at = 0
+    while at < length:
+        size, data = head, b""
+        while b"\r\n\r\n" not in data and len(data) < length - at:
+            data = reader.read(file, at, min(size, length - at))
+            size *= 4
+        end = data.index(b"\r\n\r\n")
+        h = _headers(data[:end], at)
+        n = end + 4 + int(h["content-length"]) + 4
+        yield h["warc-target-uri"], h["warc-record-id"], h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), h["warc-date"], file, at, n
+        at += n
+
+
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """(url, id, kind, digest, file, offset, length): one row per record, found by walking every archive."""
+    """(url, record, kind, digest, date, file, offset, length): one row per record, found by walking every archive, one task a file."""
     import pandas as pd
 
     def walk(batches):
+        reader = RangeReader()
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"]):
-                found, at, content = [], 0, bytes(content)
-                while at < len(content):
-                    h, _, n = parse_record(content, at)
-                    found.append((h["warc-target-uri"], h["warc-record-id"], h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), h["warc-date"], file, at, n))
-                    at += n
-                yield pd.DataFrame(found, columns=["url", "record", "kind", "digest", "date", "file", "offset", "length"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("path", "content")
+            for file, length in zip(batch["path"], batch["length"]):
+                yield pd.DataFrame(list(_walk(reader, file, int(length))), columns=["url", "record", "kind", "digest", "date", "file", "offset", "length"])
+        reader.close()
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("path", "length")
     return files.mapInPandas(walk, "url string, record string, kind string, digest string, date string, file string, offset long, length long")
 
 
-def build_index(found: DataFrame, path: str, block_lines: int = 500) -> None:
-    """Write the captures of :func:`captures` as an index: Parquet rows (first_key, last_key, lines, data), sorted by key.
+def _key(url: Column) -> Column:
+    return F.regexp_replace(surt(url), r"\s", "%20")
+
 
-    ``data`` is a zlib-compressed block of at most ``block_lines`` lines ``key date json``.
+def build_index(found: DataFrame, path: str, block_lines: int = 500, segment_lines: int = 50_000) -> None:
+    """Write the captures of :func:`captures` as an index: Parquet rows (segment, first_key, last_key, lines, data), sorted by key.
+
+    ``data`` is a zlib-compressed block of at most ``block_lines`` lines ``key date json``. A
+    segment is one range of sorted lines, about ``segment_lines``; a key with many captures
+    may run over several blocks and segments. An empty table gives an empty index.
     """
     import pandas as pd
+    from pyspark import TaskContext
 
     def pack(batches):
-        keys, lines = [], []
+        keys, lines, segment = [], [], TaskContext.get().partitionId()
 
         def block(n):
-            return pd.DataFrame([(keys[0], keys[n - 1], n, zlib.compress("\n".join(lines[:n]).encode()))], columns=["first_key", "last_key", "lines", "data"])
+            return pd.DataFrame([(segment, keys[0], keys[n - 1], n, zlib.compress("\n".join(lines[:n]).encode()))], columns=["segment", "first_key", "last_key", "lines", "data"])
 
         for batch in batches:
             keys += batch["key"].tolist()
@@ -155,88 +205,67 @@ def build_index(found: DataFrame, path: str, block_lines: int = 500) -> None:
             yield block(len(keys))
 
     entry = F.to_json(F.struct("url", "record", "kind", "digest", "file", F.col("offset").cast("string").alias("offset"), F.col("length").cast("string").alias("length")))
-    key = F.regexp_replace(surt(F.col("url")), r"\s", "%20")
-    keyed = found.select(key.alias("key"), F.concat_ws(" ", key, F.col("date"), entry).alias("line"))
-    keyed.repartitionByRange("key", "line").sortWithinPartitions("key", "line").mapInPandas(pack, "first_key string, last_key string, lines int, data binary").write.parquet(path)
-
-
-def _entries(data: bytes) -> list[tuple[str, dict]]:
-    out = []
-    for line in zlib.decompress(data).decode().split("\n"):
-        key, _, rest = line.partition(" ")
-        out.append((key, json.loads(rest.partition(" ")[2])))
-    return out
+    # written first: the sort by ranges reads its input twice
+    keyed = materialize(found.select(_key(F.col("url")).alias("key"), "date", entry.alias("entry")), "warc-captures").select("key", F.concat_ws(" ", "key", "date", "entry").alias("line"))
+    segments = max(1, -(-keyed.count() // segment_lines))
+    keyed.repartitionByRange(segments, "key", "line").sortWithinPartitions("key", "line").mapInPandas(pack, "segment int, first_key string, last_key string, lines int, data binary").write.parquet(path)
 
 
 ENTRY = "key string, url string, record string, kind string, digest string, file string, offset long, length long"
 _FIELDS = ["url", "record", "kind", "digest", "file", "offset", "length"]
 
 
-def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """Every capture of the index, block by block."""
-    import pandas as pd
-
-    def run(batches):
-        for batch in batches:
-            for data in batch["data"]:
-                rows = [(k, *[e.get(f, "") for f in _FIELDS]) for k, e in _entries(bytes(data))]
-                df = pd.DataFrame(rows, columns=["key", *_FIELDS])
-                yield df.astype({"offset": "int64", "length": "int64"})
-
-    return spark.read.parquet(path).select("data").mapInPandas(run, ENTRY)
-
-
-def lookup(spark: SparkSession, path: str, urls: list[str]) -> list[dict]:
-    """The captures of a few URLs: binary search in the directory, then in the blocks it names.
-
-    The directory is one short row per block (a row per 500 captures); a key that runs over
-    several blocks is followed through all of them.
-    """
-    keys = sorted({r["k"] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(F.regexp_replace(surt(F.col("u")), r"\s", "%20").alias("k")).collect()}) if urls else []
-    directory = sorted((r["first_key"], r["last_key"]) for r in spark.read.parquet(path).select("first_key", "last_key").collect())
-    firsts = [a for a, _ in directory]
-    wanted = set()
+def search_block(lines: list[str], keys: list[str]) -> list[str]:
+    """The lines of a sorted block whose key is one of the sorted ``keys``: two binary searches for each key."""
+    found, at, name = [], 0, lambda line: line.partition(" ")[0]
     for k in keys:
-        i = bisect_right(firsts, k) - 1
-        while i >= 0 and directory[i][1] >= k:
-            wanted.add(directory[i])
-            i -= 1
-    found = []
-    if wanted:
-        hit = F.col("first_key").isin([a for a, _ in wanted])
-        for r in spark.read.parquet(path).filter(hit).collect():
-            entries = _entries(bytes(r["data"]))
-            names = [k for k, _ in entries]
-            for k in keys:
-                found += [{"key": k, **e, "offset": int(e["offset"]), "length": int(e["length"])} for _, e in entries[bisect_left(names, k) : bisect_right(names, k)]]
+        at = bisect_left(lines, k, at, key=name)
+        end = bisect_right(lines, k, at, key=name)
+        found += lines[at:end]
+        at = end
     return found
 
 
-class RangeReader:
-    """Byte ranges of archive files, local or in any store that pyarrow knows; the last file stays open."""
+def lookup(spark: SparkSession, path: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """Every capture (see ``ENTRY``) of the URLs, in any order: their distinct keys meet the index through its two levels.
 
-    def __init__(self):
-        self.name, self.file = None, None
-
-    def read(self, uri: str, offset: int, length: int) -> bytes:
-        if uri != self.name:
-            self.close()
-            parts = urlparse(uri)
-            if parts.scheme in ("", "file"):
-                self.file = open(unquote(parts.path), "rb")
-            else:
-                from pyarrow import fs
+    A first directory has each segment's first and last key (a row per ``segment_lines``
+    captures reaches the driver); each key is sent to the segments that may hold it, found by
+    binary search. There the segment's own directory, the blocks' first and last keys, is
+    searched for each key, only the blocks named are unpacked, and their lines are searched
+    again. A key that isn't in the index gives no row; null URLs have the key of an empty URL.
+    """
+    import pandas as pd
 
-                store, at = fs.FileSystem.from_uri(uri)
-                self.file = store.open_input_file(at)
-            self.name = uri
-        self.file.seek(offset)
-        return self.file.read(length)
+    index = spark.read.schema("segment int, first_key string, last_key string, lines int, data binary").parquet(path)
+    top = sorted((r["lo"], r["hi"], r["segment"]) for r in index.groupBy("segment").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).collect())
+    lows, highs, numbers = [t[0] for t in top], [t[1] for t in top], [t[2] for t in top]
+    keys = urls.select(_key(F.col(url_col)).alias("key")).distinct()
 
-    def close(self) -> None:
-        if self.file:
-            self.file.close()
-        self.file = self.name = None
+    def route(batches):
+        for batch in batches:
+            out = []
+            for k in batch["key"]:
+                i = bisect_left(highs, k)  # segments are ranges: their last keys ascend too
+                while i < len(lows) and lows[i] <= k:
+                    out.append((numbers[i], k))
+                    i += 1
+            yield pd.DataFrame(out, columns=["segment", "key"]).astype({"segment": "int32"})
+
+    def search(wanted: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        names = sorted(wanted["key"])
+        for first, last, data in zip(blocks["first_key"], blocks["last_key"], blocks["data"]):
+            asked = names[bisect_left(names, first) : bisect_right(names, last)]
+            if asked:
+                for line in search_block(zlib.decompress(bytes(data)).decode().split("\n"), asked):
+                    key, _, rest = line.partition(" ")
+                    e = json.loads(rest.partition(" ")[2])
+                    found.append((key, *[e.get(f, "") for f in _FIELDS]))
+        return pd.DataFrame(found, columns=["key", *_FIELDS]).astype({"offset": "int64", "length": "int64"})
+
+    routed = keys.mapInPandas(route, "segment int, key string")
+    return routed.groupBy("segment").cogroup(index.select("segment", "first_key", "last_key", "data").groupBy("segment")).applyInPandas(search, ENTRY)
 
 
 def read_records(entries: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -269,16 +298,19 @@ def read_records(entries: DataFrame, with_payload: bool = False) -> DataFrame:
     return near.mapInPandas(run, schema)
 
 
-def archive_and_read_back(pages: DataFrame, **options) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: pages written, indexed, and read back by the index.
+def archive_and_read_back(pages: DataFrame, block_lines: int = 500, segment_lines: int = 50_000, **options) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: pages written, indexed, looked up by their URLs, and read back.
 
-    A revisit's size and digest are those of the response it refers to, met by a join.
+    A row per page: null ids, null URLs and repeated rows are records like any other, a null
+    payload is empty; other columns are passed over; an empty table gives an empty result. A
+    revisit's size and digest are those of the response it refers to, met by a join.
     """
     spark = pages.sparkSession
     root = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, f"{root}/archives", **options)
-    build_index(captures(spark, f"{root}/archives"), f"{root}/index")
-    records = materialize(read_records(scan_index(spark, f"{root}/index")).drop("payload"), "warc-records")
+    build_index(captures(spark, f"{root}/archives"), f"{root}/index", block_lines, segment_lines)
+    entries = lookup(spark, f"{root}/index", pages, options.get("url_col", "url"))
+    records = materialize(read_records(entries).drop("payload"), "warc-records")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
     number_or_null = lambda c: F.when(number(c) != "", number(c).cast("long"))
     responses = records.filter("kind = 'response'")
