@@ -265,7 +265,7 @@ def _score(depth: int, tokens: int, kinds: int, ends: int):
     return run
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, block_bytes: int = 24 << 20) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) per row.
 
     ``train`` says which rows are learned from (null: not); all rows are scored. A null text

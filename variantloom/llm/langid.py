@@ -9,6 +9,8 @@ scored, and a document gets the mean of its windows' probabilities, weighted by
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +109,9 @@ def windows_of(texts: list[bytes]) -> np.ndarray:
 def fit_language_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_windows: int = 12_000, per_doc: int = 3) -> ByteCNN | None:
     """A network trained on at most about ``max_windows`` windows of labelled text, shared evenly by the languages.
 
-    Documents are chosen by a hash of their id, windows by a hash too, so reruns agree.
+    Documents are chosen by a hash of their id and text, windows by a hash of the id, so
+    reruns agree; of rows that repeat so often that more than twice ``max_windows`` are drawn,
+    that many are used.
     Rows without text or language are passed over; None if nothing can be learned.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -116,9 +120,9 @@ def fit_language_model(docs: DataFrame, id_col: str, text_col: str, lang_col: st
         return None
     share = max(1, max_windows // per_doc // len(counts))
     chance = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, share / n)))])[F.col("lang")]
-    unit = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    unit = F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     start = [1 + F.pmod(F.xxhash64("id", F.lit(j)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) for j in range(per_doc)]
-    picked = rows.filter(unit < chance).select("lang", F.array(*[F.substring(F.col("text"), s.cast("int"), F.lit(WINDOW)) for s in start]).alias("parts")).collect()
+    picked = rows.filter(unit < chance).select("lang", F.array(*[F.substring(F.col("text"), s.cast("int"), F.lit(WINDOW)) for s in start]).alias("parts")).limit(2 * max_windows).collect()
     classes = sorted(counts)
     number = {k: i for i, k in enumerate(classes)}
     model = ByteCNN(classes)
@@ -132,43 +136,40 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def _scorer(model: ByteCNN | None, whole: bool = False):
-    """Batches of (id, text, has a letter) to (id, lang_pred, score); or, ``whole``, batches that end in text and has a letter to all but those two and both results."""
-    import pyarrow as pa
-
-    def score(batches):
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 2)
-            if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type):
-                offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-            else:
-                offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
-            letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            n = len(texts)
-            lang, best = np.array([UNKNOWN] * n, dtype=object), np.zeros(n)
-            if model and n:
-                size = np.where(letters, np.diff(offsets), 0)
-                pieces = -(-size // WINDOW)
-                doc = np.repeat(np.arange(n), pieces)
-                nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                begin = offsets[:-1][doc] + nth * WINDOW
-                used = np.minimum(size[doc] - nth * WINDOW, WINDOW)
-                total = np.zeros((n, len(model.classes)))
-                for a in range(0, len(doc), 4096):
-                    b = slice(a, a + 4096)
-                    at = begin[b, None] + np.arange(WINDOW)
-                    inside = np.arange(WINDOW) < used[b, None]
-                    x = np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
-                    np.add.at(total, doc[b], model.predict(x) * used[b, None])
-                seen = size > 0
-                share = total[seen] / size[seen, None]
-                lang[seen] = np.array(model.classes, dtype=object)[share.argmax(axis=1)]
-                best[seen] = np.clip(share.max(axis=1), 0.0, 1.0)
-            first = batch.num_columns - 2 if whole else 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:first], pa.array(lang, pa.string()), pa.array(best, pa.float64())], [*batch.schema.names[:first], "lang_pred", "lang_score" if whole else "score"])
-
-    return score
+def _predictor(model: ByteCNN | None):
+    """A column of (lang_pred, score) structs from a text column and whether the text has a letter; only these two reach Python."""
+
+    def score(texts: pa.Array, letters: pa.Array) -> pa.Array:
+        texts = pc.cast(texts, pa.large_string())
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if n and texts.buffers()[2] else np.zeros(0, np.uint8)
+        lang, best = np.array([UNKNOWN] * n, dtype=object), np.zeros(n)
+        if model and n:
+            size = np.where(letters.to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+            pieces = -(-size // WINDOW)
+            doc = np.repeat(np.arange(n), pieces)
+            nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            begin = offsets[:-1][doc] + nth * WINDOW
+            used = np.minimum(size[doc] - nth * WINDOW, WINDOW)
+            total = np.zeros((n, len(model.classes)))
+            for a in range(0, len(doc), 1024):
+                b = slice(a, a + 1024)
+                at = begin[b, None] + np.arange(WINDOW)
+                inside = np.arange(WINDOW) < used[b, None]
+                x = np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+                np.add.at(total, doc[b], model.predict(x) * used[b, None])
+            seen = size > 0
+            share = total[seen] / size[seen, None]
+            lang[seen] = np.array(model.classes, dtype=object)[share.argmax(axis=1)]
+            best[seen] = np.clip(share.max(axis=1), 0.0, 1.0)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(best, pa.float64())], ["lang_pred", "score"])
+
+    return F.arrow_udf(score, "struct<lang_pred: string, score: double>")
+
+
+def _predicted(model: ByteCNN | None, text: Column) -> Column:
+    return _predictor(model)(F.coalesce(text, F.lit("")), has_letter(text))
 
 
 def predict_language(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,13 +178,12 @@ def predict_language(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_
     All windows of all texts are read; repeated rows and null ids are scored like any other;
     an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), has_letter(F.col(text_col)).alias("letters"))
-    return rows.mapInArrow(_scorer(model), "id long, lang_pred string, score double")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), _predicted(model, F.col(text_col)).alias("found"))
+    return found.select("id", "found.lang_pred", "found.score")
 
 
 def language_of(docs: DataFrame, model: ByteCNN | None, text_col: str = "text") -> DataFrame:
     """The input's rows with lang_pred and lang_score, see :func:`predict_language`; columns of those names are replaced."""
-    docs = docs.drop("lang_pred", "lang_score", "text_read", "text_letters")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("text_read"), has_letter(F.col(text_col)).alias("text_letters"))
-    return rows.mapInArrow(_scorer(model, True), f"{kept}, lang_pred string, lang_score double")
+    docs = docs.drop("lang_pred", "lang_score", "lang_found")
+    found = docs.withColumn("lang_found", _predicted(model, F.col(text_col)))
+    return found.select(*docs.columns, F.col("lang_found.lang_pred").alias("lang_pred"), F.col("lang_found.score").alias("lang_score"))

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 PASSAGE = 6
 BUCKETS = 1 << 17
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -64,7 +65,7 @@ class SubwordBag:
         words, owner, label = [], [], []
         for text, y in docs:
             ids = []
-            for raw in text.split():
+            for raw in _WORD.findall(text):
                 if raw not in number:
                     number[raw] = len(lists)
                     lists.append(subwords(raw))
@@ -120,7 +121,8 @@ class SubwordBag:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, longest: int = 20_000) -> SubwordBag:
     """A model from at most about ``per_class`` labelled documents of each class with up to ``longest`` characters.
 
-    An id labelled more than once counts as toxic if any label says so. Documents are drawn by
+    An id labelled more than once counts as toxic if any label says so; of ids that repeat so
+    often that more than four times ``per_class`` rows are drawn, that many are used. Documents are drawn by
     a hash of their id; the ids drawn, no more than about twice ``per_class``, are broadcast so
     that texts are not shuffled. With no rows of one class the untrained model is returned.
     """
@@ -129,7 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     unit = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     chance = F.when(F.col("y") == 1, min(1.0, per_class / counts.get(1, 1))).otherwise(min(1.0, per_class / counts.get(0, 1)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= longest))
-    picked = rows.join(F.broadcast(y.filter(unit < chance)), "id").select("id", "text", "y").collect()
+    picked = rows.join(F.broadcast(y.filter(unit < chance)), "id").select("id", "text", "y").limit(4 * per_class).collect()
     model = SubwordBag()
     model.fit([(r["text"], r["y"]) for r in sorted(picked, key=lambda r: (r["id"], r["text"]))])
     return model
