@@ -16,7 +16,9 @@ small sets each bit is a block of its own.
 Equal sets are one node throughout, whatever the number of documents that have them. Nodes
 that meet in a block are linked to the block's first node and to the one before them; only
 blocks whose nodes then still lie in different components are compared in full, small ones
-by a join, large ones in pairs of bounded pieces.
+by a join, large ones in pairs of bounded pieces. Of large blocks the nearest pairs that would
+connect components come first, each node in one of its blocks at a time; all other pairs that
+sketches allow are looked at only where components are still apart after that.
 """
 
 from __future__ import annotations
@@ -227,31 +229,59 @@ def _hash_lists(words: int):
     return run
 
 
-def _piecewise(percent: int):
-    """Pairs of one block's pieces that lie in different components and may link by size and sketch."""
+def _piecewise(percent: int, forest: bool):
+    """Pairs of one block's pieces that lie in different components and may link by size and sketch.
+
+    ``forest``: of those only the nearest ones that would connect the pieces' components, at
+    most one less than there are nodes. Otherwise all, each in the smallest block (by key) that both nodes
+    are in, so that nodes with many blocks in common are paired once.
+    """
     import pandas as pd
 
+    def fits(one, two):
+        """(distance, row of ``one``, row of ``two``) of the pairs that pass."""
+        for w, part in two.groupby(two["sketch"].map(len)):
+            wide = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint64).reshape(len(part), -1)
+            nb, cb, kb, at = part["size"].to_numpy(), part["component"].to_numpy(), part["node"].to_numpy(), part["at"].to_numpy()
+            folded = {least: _fold(wide, least) for least in {min(w, len(s)) // 8 for s in one["sketch"]}}
+            for row in one.itertuples():
+                n = row.size
+                least = min(w, len(row.sketch)) // 8
+                own = _fold(np.frombuffer(row.sketch, dtype=np.uint64)[None, :], least)
+                far = np.bitwise_count(folded[least] ^ own).sum(axis=1).astype(np.int64)
+                fit = (far * (100 + percent) <= (nb + n) * (100 - percent)) & (cb != row.component) & (100 * np.minimum(nb, n) >= percent * np.maximum(nb, n)) & (kb != row.node)
+                yield from zip(far[fit].tolist(), [row.at] * int(fit.sum()), at[fit].tolist())
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(at=np.arange(len(pdf)))
         one, two = pdf[pdf["piece"] == pdf["p"]], pdf[pdf["piece"] == pdf["q"]]
         found = []
         if len(one) and len(two):
-            for w, part in two.groupby(two["sketch"].map(len)):
-                wide = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint64).reshape(len(part), -1)
-                nb, cb, kb = part["size"].to_numpy(), part["component"].to_numpy(), part["node"].to_numpy()
-                folded = {least: _fold(wide, least) for least in {min(w, len(s)) // 8 for s in one["sketch"]}}
-                for row in one.itertuples():
-                    n = row.size
-                    least = min(w, len(row.sketch)) // 8
-                    own = _fold(np.frombuffer(row.sketch, dtype=np.uint64)[None, :], least)
-                    far = np.bitwise_count(folded[least] ^ own).sum(axis=1).astype(np.int64) * (100 + percent) > (nb + n) * (100 - percent)
-                    fit = ~far & (cb != row.component) & (100 * np.minimum(nb, n) >= percent * np.maximum(nb, n)) & (kb != row.node)
-                    found += [(min(row.node, k), max(row.node, k)) for k in kb[fit]]
+            node, key = pdf["node"].tolist(), pdf["key"].iloc[0]
+            pairs = {(far, *sorted((i, j))) for far, i, j in fits(one, two)}
+            if forest:
+                root = {c: c for c in pdf["component"].tolist()}
+                of = pdf["component"].tolist()
+
+                def find(c):
+                    while root[c] != c:
+                        root[c] = c = root[root[c]]
+                    return c
+
+                for _, i, j in sorted(pairs):
+                    x, y = find(of[i]), find(of[j])
+                    if x != y:
+                        root[x] = y
+                        found.append((min(node[i], node[j]), max(node[i], node[j])))
+            else:
+                keys = {i: frozenset(k) for i, k in enumerate(pdf["keys"])}
+                found = [(min(node[i], node[j]), max(node[i], node[j])) for _, i, j in pairs if min(keys[i] & keys[j]) == key]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_in: int = 16, most_common: int = 1 << 20, small: int = 64, piece: int = 512, broadcast_rows: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_in: int = 16, most_common: int = 1 << 20, small: int = 64, piece: int = 512, forests: int = 1, broadcast_rows: int = 200_000) -> DataFrame:
     """(id, n_shingles, component_id, n_links) per row.
 
     A set holds the distinct ``words``-word shingles of the text in lower case (A-Z); a text
@@ -292,12 +322,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first_pairs = met.filter("before is not null").select(partner.alias("x"), "node", "size").filter(near).select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b")).distinct()
     first_pairs = materialize(first_pairs, "parity-pairs")
 
-    def verify(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """``known`` links and those of ``pairs`` (a, b) that are needed to connect what links connect.
+    def verify(pairs: DataFrame, links: DataFrame | None, label: DataFrame | None, nearest_first: int) -> tuple[DataFrame, DataFrame]:
+        """Links and labels (node, component) after those of ``pairs`` (a, b) that are needed to connect what links connect.
 
-        Sketches thin the pairs out. Each round then verifies the nearest pair of every node
-        whose ends aren't connected yet, the last one all that are left, so that few pairs
-        fetch the sets themselves and no connection is lost.
+        Sketches thin the pairs out. Before all that are left are verified, each of
+        ``nearest_first`` rounds takes the nearest pair of every node whose ends aren't
+        connected yet, so that few pairs fetch the sets themselves and no connection is lost.
         """
         one = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
         two = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
@@ -308,10 +338,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             wanted = F.broadcast(wanted)
         texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).select("text")
         found = materialize(texts.mapInArrow(_hash_lists(words), "node long, hashes array<long>").dropDuplicates(["node"]), "parity-lists")
-        links = known
-        for last in (False, False, True):
-            if links is not None:
-                label = materialize(components(links), "parity-labels")
+        for last in (*[False] * nearest_first, True):
+            if label is not None:
                 own = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))  # noqa: B023, E731
                 fit = fit.join(own("a"), "a", "left").join(own("b"), "b", "left").filter(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).drop("a_of", "b_of")
                 fit = materialize(fit, "parity-fit")
@@ -325,25 +353,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = linked if links is None else links.unionByName(linked)
             if not last:
                 fit = fit.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        return links
-
-    links = verify(first_pairs, None)
-    label = materialize(components(links), "parity-labels")
-    labelled = met.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("head", "before", "head_size", "before_size")
-    spread = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi and members > 2").select("key", "members")
-    open_ = materialize(labelled.join(spread, "key"), "parity-open")
+            edges = linked if label is None else linked.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            label = materialize(components(edges), "parity-labels")
+        return links, label
+
+    links, label = verify(first_pairs, None, None, 1)
+    tried = first_pairs
+
+    def still_open() -> DataFrame:
+        """Rows of the blocks whose nodes lie in different components."""
+        labelled = met.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("head", "before", "head_size", "before_size")
+        spread = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi and members > 2").select("key", "members")
+        return materialize(labelled.join(spread, "key"), "parity-open")
+
+    def in_pieces(many: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of the large blocks, compared piece by piece."""
+        count = F.count(F.lit(1)).over(Window.partitionBy("key"))
+        many = many.withColumn("members", count).withColumn("piece", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1) / piece).cast("int"))
+        many = many.withColumn("pieces", F.ceil(F.col("members") / piece).cast("int")).join(nodes.select("node", "sketch"), "node")
+        each = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("p", F.least("piece", "o")).withColumn("q", F.greatest("piece", "o"))
+        return each.select("key", "p", "q", "piece", "node", "size", "component", "sketch", "keys").groupBy("key", "p", "q").applyInPandas(_piecewise(percent, forest), "a long, b long")
+
+    open_ = still_open()
     few = open_.filter(F.col("members") <= small)
     other = few.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
     fits = (F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
     mine = few.withColumnRenamed("key", "own_key")
     pairs = mine.join(other, (F.col("own_key") == F.col("key")) & fits).select(F.col("node").alias("a"), "b")
-    many = open_.filter(F.col("members") > small).withColumn("piece", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1) / piece).cast("int"))
-    many = many.withColumn("pieces", F.ceil(F.col("members") / piece).cast("int")).join(nodes.select("node", "sketch"), "node")
-    each = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("p", F.least("piece", "o")).withColumn("q", F.greatest("piece", "o"))
-    more = each.select("key", "p", "q", "piece", "node", "size", "component", "sketch").groupBy("key", "p", "q").applyInPandas(_piecewise(percent), "a long, b long")
-    second = pairs.unionByName(more).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    links = verify(second, links)
-    label = components(links)
+    for forest in (*range(forests), None):
+        many = open_.filter(F.col("members") > small).select("key", "node", "size", "component")
+        if forest is None:
+            own = many.groupBy("node").agg(F.collect_list("key").alias("keys"))
+            more = in_pieces(many.join(own, "node"), False)
+        else:  # every node in one of its blocks
+            turn = F.xxhash64("key", F.lit(forest))
+            more = in_pieces(many.withColumn("first", F.min(turn).over(Window.partitionBy("node"))).filter(F.col("first") == turn).select("key", "node", "size", "component", F.lit(None).cast("array<bigint>").alias("keys")), True)
+        pairs = more if pairs is None else pairs.unionByName(more)
+        pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "parity-pairs")
+        if not pairs.isEmpty():
+            tried = tried.unionByName(pairs)
+            links, label = verify(pairs, links, label, 0)
+        if forest is not None:
+            open_ = still_open()
+        pairs = None
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", F.col("id").alias("least_id")).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
