@@ -42,3 +42,13 @@ def test_sql_functions(spark):
     d.register(spark)
     row = spark.sql("SELECT chi2_p(3.841458820694124D) AS p, normal_quantile(0.975D) AS q, hwe_exact(57, 14, 50) AS h, mixture_p(10D, array(1D, 1D, 1D)) AS m").first()
     assert abs(row["p"] - 0.05) < 1e-9 and abs(row["q"] - 1.959964) < 1e-5 and abs(row["h"] - 0.842) < 1e-2 and abs(row["m"] - d.chi2_tail(10, 3)) < 1e-5
+
+
+def test_tabulated_normal():
+    x = np.concatenate([np.linspace(-9, 9, 4001), [-40.0, 40.0]])
+    want = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
+    assert np.abs(d.normal_cdf(x) - want).max() < 1e-11
+    p = np.concatenate([np.logspace(-15, -0.4, 300), 1 - np.logspace(-11, -0.4, 300)])
+    assert np.abs(d.normal_quantile_fast(p) - d.normal_quantile(p)).max() < 1e-4
+    inner = (p > 1e-9) & (p < 1 - 1e-9)
+    assert np.abs(d.normal_quantile_fast(p) - d.normal_quantile(p))[inner].max() < 1e-6

@@ -43,13 +43,17 @@ def missing_variants(groups: DataFrame, kept: DataFrame) -> DataFrame:
     return groups.join(kept.select("gene", "ord"), ["gene", "ord"], "left_anti")
 
 
-def gene_covariance(kept: DataFrame, cov: DataFrame, decisions: DataFrame | None = None, sizes: dict[int, int] | None = None, region: tuple[str, int, int] | None = None) -> DataFrame:
+def gene_covariance(kept: DataFrame, cov: DataFrame, decisions: DataFrame | None = None, sizes: dict[int, int] | None = None, region: tuple[str, int, int] | None = None, exact: dict | None = None) -> DataFrame:
     """gene, i, j (ord, i <= j), cov: studies' covariances summed over each gene's variant pairs.
 
     ``cov``: study, chrom, pos, pos2, cov (per sample); the study's size multiplies it.
     ``decisions``: study, chrom, pos, sign of records that entered; a pair counts for a study
     only if both did, and signs multiply. Covariance rows are cut to the genes' positions by
-    a semi-join before they meet pairs. ``region`` bounds the rows read.
+    a semi-join before they meet pairs. ``region`` bounds the rows read. ``exact`` (af:
+    study, chrom, pos, n, af of every record; pooled: pooling.exact's result; variance by
+    study) adjusts each pair as pooling.exact does the variances: r sum over the studies that
+    have both of C sigma2 + 4 n f g - 4 n F G, with F and G the pooled frequencies and r and n
+    those of the first variant.
     """
     c = cov
     if region:
@@ -63,6 +67,8 @@ def gene_covariance(kept: DataFrame, cov: DataFrame, decisions: DataFrame | None
         a = decisions.select("study", "chrom", "pos", F.col("sign").alias("sign_a"))
         b = decisions.select("study", "chrom", F.col("pos").alias("pos2"), F.col("sign").alias("sign_b"))
         c = c.join(a, ["study", "chrom", "pos"]).join(b, ["study", "chrom", "pos2"]).withColumn("cov", F.col("cov") * F.col("sign_a") * F.col("sign_b"))
+    if exact:
+        c = _exact_adjusted(c, exact, decisions)
     c = c.groupBy("chrom", "pos", "pos2").agg(F.sum("cov").alias("cov"))
     one = kept.select("gene", "chrom", "pos", F.col("ord").alias("i"), F.col("sign").alias("sign_i"))
     two = kept.select("gene", "chrom", F.col("pos").alias("pos2"), F.col("ord").alias("j"), F.col("sign").alias("sign_j"))
@@ -70,6 +76,20 @@ def gene_covariance(kept: DataFrame, cov: DataFrame, decisions: DataFrame | None
     return pairs.join(c, ["chrom", "pos", "pos2"]).select("gene", "i", "j", (F.col("cov") * F.col("sign_i") * F.col("sign_j")).alias("cov"))
 
 
+def _exact_adjusted(c: DataFrame, exact: dict, decisions: DataFrame | None) -> DataFrame:
+    """Studies' covariances (study, chrom, pos, pos2, cov) with their share of the adjustment; frequencies turn with a record's sign."""
+    f = exact["af"]
+    if decisions is not None:
+        f = f.join(decisions, ["study", "chrom", "pos"], "left").withColumn("af", F.when(F.col("sign") < 0, 1 - F.col("af")).otherwise(F.col("af"))).drop("sign")
+    m = exact["pooled"].select("chrom", "pos", F.col("af").alias("mean"), "scale")
+    first = f.select("study", "chrom", "pos", "n", "af")
+    second = f.select("study", "chrom", F.col("pos").alias("pos2"), F.col("af").alias("af2"))
+    j = c.join(first, ["study", "chrom", "pos"]).join(second, ["study", "chrom", "pos2"]).join(m, ["chrom", "pos"]).join(m.select("chrom", F.col("pos").alias("pos2"), F.col("mean").alias("mean2")), ["chrom", "pos2"])
+    sigma2 = F.get(F.array(*[F.lit(float(v)) for v in exact["variance"]]), F.col("study"))
+    own = F.col("cov") * sigma2 + 4 * F.col("n") * (F.col("af") * F.col("af2") - F.col("mean") * F.col("mean2"))
+    return j.select("study", "chrom", "pos", "pos2", (F.col("scale") * own).alias("cov"))
+
+
 def weight(method: str, af: Column | str = "af") -> Column:
     """burden 1, MB sqrt(f(1-f)), MAB f, BBeta the squared Beta(1, 25) density. Burden tests divide by it, SKAT multiplies."""
     f = F.col(af) if isinstance(af, str) else af
@@ -205,7 +225,9 @@ def skat_vt(matrices: DataFrame, skat_method: str = "BBeta") -> DataFrame:
                 rows.append((r.gene, *skat_tails(u, weights(af), c), *vt_test(af, u, c)))
             yield pd.DataFrame(rows, columns=["gene", "q", "p_davies", "p_liu", "shrunk", "vt_effect", "vt_cutoff", "vt_p", "vt_num_var"])
 
-    return matrices.mapInPandas(run, "gene string, q double, p_davies double, p_liu double, shrunk boolean, vt_effect double, vt_cutoff double, vt_p double, vt_num_var int")
+    # genes are few and each takes long: dealt out evenly rather than by bytes
+    dealt = matrices.repartition(matrices.sparkSession.sparkContext.defaultParallelism * 2, "gene")
+    return dealt.mapInPandas(run, "gene string, q double, p_davies double, p_liu double, shrunk boolean, vt_effect double, vt_cutoff double, vt_p double, vt_num_var int")
 
 
 def burden_p(result: DataFrame) -> DataFrame:

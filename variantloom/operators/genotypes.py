@@ -20,9 +20,9 @@ def in_nonpar_x(label: str = "X", start: int = X_START, end: int = X_END) -> Col
     return (F.col("chrom") == label) & F.col("pos").between(start, end)
 
 
-def mask_male_hets(genotypes: DataFrame, label: str = "X", male: int = 1) -> DataFrame:
+def mask_male_hets(genotypes: DataFrame, label: str = "X", male: int = 1, start: int = X_START, end: int = X_END) -> DataFrame:
     """Heterozygous males on the non-pseudo-autosomal X become missing; a haploid call of the alternative counts 2."""
-    on_x = in_nonpar_x(label) & (F.col("sex") == male)
+    on_x = in_nonpar_x(label, start, end) & (F.col("sex") == male)
     haploid = F.col("ploidy") == 1 if "ploidy" in genotypes.columns else F.lit(False)
     return genotypes.withColumn("dose", F.when(on_x & haploid, F.col("dose") * 2).when(on_x & (F.col("dose") == 1), None).otherwise(F.col("dose")))
 
@@ -64,20 +64,21 @@ def mean_af_suspicious(summary: DataFrame) -> DataFrame:
     return summary.agg(F.avg("all_af").alias("mean_af"), (F.avg("all_af") > 0.5).alias("suspicious"))
 
 
-def sparse_scores(nonzero: DataFrame, residuals: DataFrame, by: list[str]) -> DataFrame:
+def sparse_scores(nonzero: DataFrame, residuals: DataFrame, by: list[str], case: str | None = None) -> DataFrame:
     """U and V of unrelated samples from rows of dose > 0 alone.
 
     ``nonzero``: by, site, sample, dose. ``residuals``: by, sample, r (residual of the null
     model, mean 0 per group) and sigma2. With n samples, u = sum(r g)/sigma2 as residuals sum to
-    zero up to their mean, v = (sum(g^2) - sum(g)^2 / n)/sigma2.
+    zero up to their mean, v = (sum(g^2) - sum(g)^2 / n)/sigma2. ``case`` names a boolean
+    column of ``residuals``; the result then has the cases' alternative alleles as case_ac.
     """
     facts = residuals.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("r_mean"), F.max("sigma2").alias("sigma2"))
-    x = nonzero.join(residuals.select(*by, "sample", "r"), [*by, "sample"])
-    sums = x.groupBy(*by, *SITE).agg(F.sum(F.col("r") * F.col("dose")).alias("rg"), F.sum("dose").alias("g"), F.sum(F.col("dose") * F.col("dose")).alias("gg"), F.count_if(F.col("dose") == 1).alias("n_het"), F.count_if(F.col("dose") == 2).alias("n_alt"))
+    x = nonzero.join(residuals.select(*by, "sample", "r", (F.col(case) if case else F.lit(False)).alias("case")), [*by, "sample"])
+    sums = x.groupBy(*by, *SITE).agg(F.sum(F.col("r") * F.col("dose")).alias("rg"), F.sum("dose").alias("g"), F.sum(F.col("dose") * F.col("dose")).alias("gg"), F.count_if(F.col("dose") == 1).alias("n_het"), F.count_if(F.col("dose") == 2).alias("n_alt"), F.sum(F.when(F.col("case"), F.col("dose")).otherwise(0.0)).alias("case_ac"))
     j = sums.join(facts, by)
     u = (F.col("rg") - F.col("r_mean") * F.col("g")) / F.col("sigma2")
     v = (F.col("gg") - F.col("g") * F.col("g") / F.col("n")) / F.col("sigma2")
-    return j.select(*by, *SITE, F.col("n").cast("int").alias("n"), F.col("n_het").cast("int").alias("n_het"), F.col("n_alt").cast("int").alias("n_alt"), F.col("g").alias("alt_ac"), u.alias("u"), v.alias("v"))
+    return j.select(*by, *SITE, F.col("n").cast("int").alias("n"), F.col("n_het").cast("int").alias("n_het"), F.col("n_alt").cast("int").alias("n_alt"), F.col("g").alias("alt_ac"), u.alias("u"), v.alias("v"), *([F.col("case_ac")] if case else []))
 
 
 def dense_scores(genotypes: DataFrame, residuals: DataFrame, by: list[str], model: str = "additive", dosage: bool = False) -> DataFrame:

@@ -18,7 +18,8 @@ _DECISION = "struct<study:int,dir:string,sign:int,ac:bigint,n:int,missing:int,re
 
 
 def first_records(scores: DataFrame, order_col: str | None = None) -> DataFrame:
-    """Of several records of a study at one site the first stays, by ``order_col`` or else by alleles."""
+    """Of several records of a study at one site the first stays: by ``order_col``, by ``line`` if the records come from files, or else by alleles."""
+    order_col = order_col or ("line" if "line" in scores.columns else None)
     order = [order_col] if order_col else ["ref", "alt"]
     nth = F.row_number().over(Window.partitionBy("study", "chrom", "pos").orderBy(*order))
     return scores.withColumn("nth", nth).filter("nth = 1").drop("nth")
@@ -158,7 +159,9 @@ def exact(pooled: DataFrame, trait_means: list[float], trait_variances: list[flo
 
     With n_k, f_k, sigma2_k of each study's record before QC, delta_k its trait mean less the
     pooled one, N = sum n_k and f = sum n_k f_k / N: U - 2 f sum(n delta) + 2 sum(n f delta), and
-    r (V + 4 sum n f^2 - 4 N f^2) with r = sum((n_k - 1) sigma2_k + n_k delta_k^2) / (N - 1).
+    r (V + 4 sum n f^2 - 4 N f^2) with r = sum((n_k - 1) sigma2_k + n_k delta_k^2) / (N - 1), where
+    U and V sum the studies' own on the trait's scale, u_k sigma2_k and v_k sigma2_k. The
+    result has r as ``scale``.
     """
     grand = sum(m * n for m, n in zip(trait_means, study_sizes)) / sum(study_sizes)
     at = lambda values, k: F.get(F.array(*[F.lit(float(v)) for v in values]), k)
@@ -173,12 +176,14 @@ def exact(pooled: DataFrame, trait_means: list[float], trait_variances: list[flo
         .withColumn("e_nfd", sum_(lambda x: x["r"]["n"] * f(x) * delta(x["r"])))
         .withColumn("e_nff", sum_(lambda x: x["r"]["n"] * f(x) * f(x)))
         .withColumn("e_r", sum_(lambda x: (x["r"]["n"] - 1) * at(trait_variances, x["r"]["study"]) + x["r"]["n"] * delta(x["r"]) * delta(x["r"])))
+        .withColumn("e_u", sum_(lambda x: F.when(x["d"]["stat"], x["d"]["sign"] * x["r"]["u"] * at(trait_variances, x["r"]["study"]))))
+        .withColumn("e_v", sum_(lambda x: F.when(x["d"]["stat"], x["r"]["v"] * x["r"]["v"] * at(trait_variances, x["r"]["study"]))))
         .withColumn("e_f", F.col("e_nf") / F.col("e_n"))
         .withColumn("scale", F.col("e_r") / (F.col("e_n") - 1))
     )
-    u = F.col("u") - 2 * F.col("e_f") * F.col("e_nd") + 2 * F.col("e_nfd")
-    v = F.col("scale") * (F.col("v") + 4 * F.col("e_nff") - 4 * F.col("e_n") * F.col("e_f") * F.col("e_f"))
-    return x.withColumn("u", u).withColumn("v", v).withColumn("af", F.col("e_f")).drop("e_n", "e_nf", "e_nd", "e_nfd", "e_nff", "e_r", "e_f")
+    u = F.col("e_u") - 2 * F.col("e_f") * F.col("e_nd") + 2 * F.col("e_nfd")
+    v = F.col("scale") * (F.col("e_v") + 4 * F.col("e_nff") - 4 * F.col("e_n") * F.col("e_f") * F.col("e_f"))
+    return x.withColumn("u", u).withColumn("v", v).withColumn("af", F.col("e_f")).drop("e_n", "e_nf", "e_nd", "e_nfd", "e_nff", "e_r", "e_f", "e_u", "e_v")
 
 
 def single_variant(pooled: DataFrame) -> DataFrame:
@@ -193,6 +198,11 @@ def single_variant(pooled: DataFrame) -> DataFrame:
     )
 
 
+def largest_n(stats: DataFrame) -> int:
+    """The most samples that any variant was tested in; 0 of an empty table."""
+    return int(stats.agg(F.max("n")).first()[0] or 0)
+
+
 def with_p(stats: DataFrame) -> DataFrame:
     from ..functions.distributions import chi2_p
 

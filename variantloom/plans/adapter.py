@@ -8,13 +8,19 @@ are turned, made to disagree, or given a low call rate by rules on their keys.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 STUDIES = 5
 
 
 class Cohort:
+    """Tables that several operators read (carriers, scores, pooled, covariance, kept) are written once per cohort."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self.sizes = self._sizes()
@@ -41,21 +47,22 @@ class Cohort:
         k = F.col("p_size") % 12
         return p.select(F.col("p_partkey").alias("part"), (1 + F.col("p_partkey") % 22).cast("string").alias("chrom"), (1000 * (1 + F.col("p_partkey"))).cast("int").alias("pos"), F.substring(F.lit("AAACCCGGGTTT"), k + 1, F.lit(1)).alias("ref"), F.substring(F.lit("CGTAGTACTACG"), k + 1, F.lit(1)).alias("alt"), F.concat_ws("_", "p_brand", (1 + F.col("p_partkey") % 22).cast("string")).alias("gene"))
 
-    @property
+    @cached_property
     def carriers(self) -> DataFrame:
         """study, sample, chrom, pos, ref, alt, part, dose (1 or 2): rows of dose 0 are left out."""
         o, l = self.table("orders").select("o_orderkey", "o_custkey"), self.table("lineitem").select("l_orderkey", "l_partkey")
         dose = l.join(o, l["l_orderkey"] == o["o_orderkey"]).groupBy("o_custkey", "l_partkey").agg(F.least(F.lit(2), F.count(F.lit(1))).cast("double").alias("dose"))
         s = self.samples.select("study", "sample")
         v = self.variants.select("part", "chrom", "pos", "ref", "alt")
-        return dose.join(s, F.col("o_custkey") == F.col("sample")).join(v, F.col("l_partkey") == F.col("part")).select("study", "sample", "chrom", "pos", "ref", "alt", "part", "dose")
+        rows = dose.join(s, F.col("o_custkey") == F.col("sample")).join(v, F.col("l_partkey") == F.col("part"))
+        return written(rows.select("study", "sample", "chrom", "pos", "ref", "alt", "part", "dose"), "carriers")
 
     @property
     def residuals(self) -> DataFrame:
-        """study, sample, r, sigma2 of the null model with an intercept only."""
+        """study, sample, r, sigma2, is_case of the null model with an intercept only."""
         s = self.samples
         facts = s.groupBy("study").agg(F.avg("y").alias("m"), F.var_pop("y").alias("sigma2"))
-        return s.join(F.broadcast(facts), "study").select("study", "sample", (F.col("y") - F.col("m")).alias("r"), "sigma2")
+        return s.join(F.broadcast(facts), "study").select("study", "sample", (F.col("y") - F.col("m")).alias("r"), "sigma2", "is_case")
 
     @staticmethod
     def turned() -> Column:
@@ -65,22 +72,20 @@ class Cohort:
     def disagrees() -> Column:
         return (F.col("part") % 97 == 0) & (F.col("study") >= 3)
 
-    @property
+    @cached_property
     def scores(self) -> DataFrame:
         """Score records as a study's file would hold them, alleles turned or changed by rule."""
         from ..operators.genotypes import score_table, sparse_scores
 
-        c = self.carriers
-        cases = c.join(self.samples.filter("is_case").select("sample"), "sample", "left_semi").groupBy("study", "chrom", "pos").agg(F.sum("dose").cast("int").alias("case_g"))
-        s = score_table(sparse_scores(c, self.residuals, ["study"])).filter("v > 0")
-        s = s.join(cases, ["study", "chrom", "pos"], "left").withColumn("part", (F.col("pos") / 1000 - 1).cast("long"))
+        s = score_table(sparse_scores(self.carriers, self.residuals, ["study"], "is_case")).filter("v > 0")
+        s = s.withColumn("case_g", F.col("case_ac").cast("int")).withColumn("part", (F.col("pos") / 1000 - 1).cast("long"))
         t, bad = self.turned() & ~self.disagrees(), self.disagrees()
         third = F.substring(F.regexp_replace(F.regexp_replace(F.lit("ACGT"), F.col("ref"), F.lit("")), F.col("alt"), F.lit("")), 1, 1)
         n_ref = F.col("n") - F.col("n_het") - F.col("n_alt")
         flip = lambda a, b: F.when(t, b).otherwise(a)
         case, control = F.coalesce("case_g", F.lit(0)), F.col("alt_ac").cast("int") - F.coalesce("case_g", F.lit(0))
         sizes = F.get(F.array(*[F.lit(n) for n in self.sizes]), F.col("study"))
-        return s.select(
+        out = s.select(
             "study", "chrom", "pos", "part", flip(F.col("ref"), F.col("alt")).alias("ref"), F.when(bad, third).otherwise(flip(F.col("alt"), F.col("ref"))).alias("alt"),
             F.col("n").alias("n_informative"), flip(F.col("alt_ac") / (2 * F.col("n")), 1 - F.col("alt_ac") / (2 * F.col("n"))).alias("all_af"),
             F.when((F.col("part") % 53 == 0) & (F.col("study") % 2 == 0), 0.9).otherwise(1.0).alias("call_rate"), F.lit(1.0).alias("hwe_p"),
@@ -88,32 +93,33 @@ class Cohort:
             flip(F.col("u"), -F.col("u")).alias("u"), "sqrt_v", flip(F.col("effect"), -F.col("effect")).alias("effect"), sizes.alias("samples"), F.lit(False).alias("use_dosage"),
             flip(case, 2 * F.col("n") - case).cast("int").alias("case_ac"), flip(control, 2 * F.col("n") - control).cast("int").alias("control_ac"),
         )
+        return written(out, "scores")
 
-    @property
+    @cached_property
     def sites(self) -> DataFrame:
         from ..operators.pooling import first_records, harmonise, normalise
 
-        return harmonise(normalise(first_records(self.scores)))
+        return written(harmonise(normalise(first_records(self.scores))), "sites")
 
-    @property
+    @cached_property
     def pooled(self) -> DataFrame:
         from ..operators.pooling import pool
 
-        return pool(self.sites, self.sizes)
+        return written(pool(self.sites, self.sizes), "pooled")
 
-    @property
+    @cached_property
     def groups(self) -> DataFrame:
         from ..sources.readers import order_groups
 
         return order_groups(self.variants.select("gene", F.col("part").alias("nth"), "chrom", "pos", "ref", "alt"))
 
-    @property
+    @cached_property
     def covariance(self) -> DataFrame:
         """study, chrom, pos, pos2, cov within 1 Mb, in the variants' own orientation."""
         from ..operators.genotypes import ld_covariance
 
         facts = self.residuals.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.max("sigma2").alias("sigma2"))
-        return ld_covariance(self.carriers.select("study", "sample", "chrom", "pos", "dose"), facts, ["study"])
+        return written(ld_covariance(self.carriers.select("study", "sample", "chrom", "pos", "dose"), facts, ["study"]), "covariance")
 
     @property
     def decisions(self) -> DataFrame:
@@ -121,21 +127,21 @@ class Cohort:
         d = self.sites.select("chrom", "pos", F.explode("decisions").alias("d")).filter("d.stat")
         return d.select("d.study", "chrom", "pos", F.col("d.sign").cast("double").alias("sign"))
 
-    @property
+    @cached_property
     def oriented(self) -> DataFrame:
         """study, chrom, pos, sign for covariances, which this cohort keeps in the variants' own orientation: the pooled alleles against those."""
         own = self.variants.select("chrom", "pos", F.col("ref").alias("own_ref"))
         site = self.pooled.select("chrom", "pos", "ref").join(own, ["chrom", "pos"]).select("chrom", "pos", F.when(F.col("ref") == F.col("own_ref"), 1.0).otherwise(-1.0).alias("sign"))
         return self.decisions.drop("sign").join(site, ["chrom", "pos"]).select("study", "chrom", "pos", "sign")
 
-    @property
+    @cached_property
     def kept(self) -> DataFrame:
         from ..operators.genes import gene_variants
 
-        return gene_variants(self.groups, self.pooled)
+        return written(gene_variants(self.groups, self.pooled), "kept")
 
-    @property
+    @cached_property
     def gene_cov(self) -> DataFrame:
         from ..operators.genes import gene_covariance
 
-        return gene_covariance(self.kept, self.covariance, self.oriented, dict(enumerate(self.sizes)))
+        return written(gene_covariance(self.kept, self.covariance, self.oriented, dict(enumerate(self.sizes))), "gene-cov")

@@ -102,16 +102,21 @@ def alt_maf_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pooling.pool(c.sites, c.sizes, alt_maf=True).filter("v > 0").select("chrom", "pos", "ref", "alt", "n", "af"))
 
 
-@query("exact_meta", BASE + """,
+EXACT = """,
 gm AS (SELECT sum(m * n) / sum(n) AS grand FROM fct),
+us AS (SELECT part, CASE WHEN any_value(site_turned) THEN -sum(u * sigma2) ELSE sum(u * sigma2) END AS us, sum(v * sigma2) AS vs FROM acc GROUP BY part),
 ex AS (
   SELECT s.part, sum(s.n) AS en, sum(s.n * f) AS nf, sum(s.n * (s.m - grand)) AS nd, sum(s.n * f * (s.m - grand)) AS nfd, sum(s.n * f * f) AS nff,
          sum((s.n - 1) * s.sigma2 + s.n * (s.m - grand) * (s.m - grand)) AS r
   FROM (SELECT s.*, grand, CASE WHEN f.site_turned THEN (CASE WHEN s.bad OR s.poor THEN (CASE WHEN s.turned THEN 1 - g / (2 * s.n) ELSE g / (2 * s.n) END) ELSE 1 - g / (2 * s.n) END)
                ELSE (CASE WHEN s.bad OR s.poor THEN (CASE WHEN s.turned THEN 1 - g / (2 * s.n) ELSE g / (2 * s.n) END) ELSE g / (2 * s.n) END) END AS f
         FROM sco s JOIN fst f USING (part) CROSS JOIN gm) s GROUP BY s.part)
-SELECT p.chrom, p.pos, round(p.u - 2 * (nf / en) * nd + 2 * nfd, 6) AS u, round(r / (en - 1) * (p.v + 4 * nff - 4 * en * (nf / en) * (nf / en)), 4) AS v
-FROM poo p JOIN ex USING (part)""")
+"""
+
+
+@query("exact_meta", BASE + EXACT + """
+SELECT p.chrom, p.pos, round(us - 2 * (nf / en) * nd + 2 * nfd, 6) AS u, round(r / (en - 1) * (vs + 4 * nff - 4 * en * (nf / en) * (nf / en)), 4) AS v
+FROM poo p JOIN ex USING (part) JOIN us USING (part)""")
 def exact_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Cohort(spark, sf_dir)
     facts = {r["study"]: r for r in c.samples.groupBy("study").agg(F.avg("y").alias("m"), F.var_pop("y").alias("s")).collect()}

@@ -22,6 +22,11 @@ def _text(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select("value", F.input_file_name().alias("file"))
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): lines with a struct that sorts as they stand in the file, whatever the splits it is read in."""
+    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("line"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(no, value) in file order; for short files."""
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("no", "value"))
@@ -58,26 +63,29 @@ def read_study_list(spark: SparkSession, score_list: str, cov_list: str | None =
     return spark.createDataFrame(rows, "study int, score_path string, cov_path string, use_dosage boolean")
 
 
-def sniff_layout(first_line: str) -> str:
-    return "native" if "RareMetalWorker" in first_line else "rvtests"
+def sniff_layout(header: str, row: str) -> str:
+    """native or rvtests: by the founders' frequency among the column names, else by the number of fields of a record."""
+    return "native" if "FOUNDER_AF" in header.upper() or len(row.split()) >= len(NATIVE_SCORE) else "rvtests"
 
 
 def score_header(spark: SparkSession, path: str) -> dict:
-    """layout, samples, trait_mean, trait_variance of one score file, from its ``##`` lines."""
-    first = spark.read.text(path).first()
-    head = [r["value"] for r in _text(spark, path).filter(F.col("value").startswith("#")).select("value").limit(500).collect()]
-    out = {"layout": sniff_layout(first["value"] if first else ""), "samples": None, "trait_mean": None, "trait_variance": None}
+    """layout, samples, trait_mean, trait_variance of one score file, from its ``#`` lines and first record."""
+    lines = _numbered(spark, path)
+    named = F.upper(F.col("value")).startswith("CHROM")
+    head = [r["value"] for r in lines.filter(F.col("value").startswith("#") | named).orderBy("line").select("value").collect()]
+    row = lines.filter(~F.col("value").startswith("#") & ~named).select("value").first()
+    names = next((x for x in head if x.lstrip("#").upper().startswith("CHROM")), "")
+    out = {"layout": sniff_layout(names, row["value"] if row else ""), "samples": None, "trait_mean": None, "trait_variance": None}
     for i, line in enumerate(head):
         if line.startswith("##AnalyzedSamples="):
             out["samples"] = int(line.split("=")[1])
-        if line.startswith("##TraitSummaries") and i + 1 < len(head):
-            follow = [x for x in head[i + 1 : i + 3] if len(x.split()) > 7]
-            for x in follow:
+        if line.startswith("##TraitSummaries"):
+            for x in head[i + 1 : i + 3]:
                 t = x.replace("#", "").split()
                 try:
                     out["trait_mean"], out["trait_variance"] = float(t[6]), float(t[7])
                     break
-                except ValueError:
+                except (ValueError, IndexError):
                     continue
     return out
 
@@ -99,19 +107,42 @@ def parse_scores(lines: DataFrame, layout: str) -> DataFrame:
 
 
 def read_scores(spark: SparkSession, studies: DataFrame) -> DataFrame:
-    """All studies' score records with study, samples and use_dosage; one file scan per study, united."""
+    """All studies' score records with study, samples, use_dosage and ``line`` (their order in the file); one file scan per study, united.
+
+    A file whose header doesn't tell its samples has as many as its largest record.
+    """
     out = None
     for s in studies.orderBy("study").collect():
         h = score_header(spark, s["score_path"])
-        part = parse_scores(spark.read.text(s["score_path"]), h["layout"])
+        part = parse_scores(_numbered(spark, s["score_path"]), h["layout"])
         if h["layout"] != "native":
             part = part.withColumn("founder_af", F.lit(None).cast("double"))
-        samples = F.lit(h["samples"]).cast("int") if h["samples"] else F.max("n_informative").over(Window.partitionBy())
-        part = part.withColumn("study", F.lit(s["study"])).withColumn("samples", samples).withColumn("use_dosage", F.lit(s["use_dosage"]))
+        if h["samples"]:
+            part = part.withColumn("samples", F.lit(h["samples"]).cast("int"))
+        else:
+            part = part.crossJoin(F.broadcast(part.agg(F.max("n_informative").alias("samples"))))
+        part = part.withColumn("study", F.lit(s["study"])).withColumn("use_dosage", F.lit(s["use_dosage"]))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def in_region(region: str | None) -> Column:
+    """``chr:start-end`` (or a chromosome alone) as a predicate on chrom and pos, pushed to where they are read; None holds everywhere."""
+    if not region:
+        return F.lit(True)
+    name, _, span = region.partition(":")
+    at = F.col("chrom") == name.removeprefix("chr")
+    if span:
+        low, _, high = span.partition("-")
+        at = at & F.col("pos").between(int(low), int(high or low))
+    return at
+
+
+def look_up(records: DataFrame, sites: DataFrame) -> DataFrame:
+    """The records at the sites (chrom, pos) asked for, once each; a site without record gives no row."""
+    return records.join(sites.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
+
+
 def parse_dense_cov(lines: DataFrame) -> DataFrame:
     """(chrom, pos, pos2, cov) of dense lines: chromosome, position, comma lists of partners and covariances at token 2 and 3 (native) or 4 and 5 (rvtests)."""
     t = lines.filter(~F.col("value").startswith("#") & ~F.upper("value").startswith("CHROM")).withColumn("t", tokens("value"))
@@ -149,6 +180,22 @@ def cov_layout(header: str) -> str:
     return "compact" if "EXP" in names else "dense"
 
 
+def read_cov(spark: SparkSession, studies: DataFrame, region: str | None = None) -> DataFrame:
+    """study, chrom, pos, pos2, cov of all studies' covariance files, each in the layout that its header names; ``region`` bounds both ends."""
+    out = None
+    for s in studies.filter("cov_path is not null").orderBy("study").collect():
+        lines = _numbered(spark, s["cov_path"])
+        head = lines.filter(F.upper(F.ltrim(F.regexp_replace("value", "^#", ""))).startswith("CHROM")).select("value").first()
+        layout = cov_layout(head["value"] if head else "")
+        part = parse_compact_cov(lines, "line") if layout == "compact" else parse_dense_cov(lines.drop("line"))
+        part = part.filter(in_region(region))
+        if region and ":" in region:
+            part = part.filter(F.col("pos2") <= int(region.rpartition("-")[2]))
+        part = part.select(F.lit(s["study"]).alias("study"), "chrom", "pos", "pos2", "cov")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "study int, chrom string, pos int, pos2 int, cov double")
+
+
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     """(gene, ord, chrom, pos, ref, alt) of a group file: gene and its variants on a line, separators ``:_/``; ordered by position, stably; repeats dropped."""
     t = spark.read.text(path).select(tokens("value").alias("t")).filter("size(t) > 1")
@@ -223,32 +270,41 @@ def read_dat(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 
 
 def read_pedigree(spark: SparkSession, ped: str, dat: str) -> DataFrame:
-    """(famid, pid, father, mother, sex, zygosity, traits map, covs map, markers map): the DAT file names the PED file's columns. Markers take two fields, or one ``a/b``."""
+    """(famid, pid, father, mother, sex, zygosity, traits map, covs map, markers map): the DAT file names the PED file's columns.
+
+    A marker takes two fields, or one ``a/b``; which of both a line uses is told by its
+    number of fields. Markers are given as ``a/b``.
+    """
     kinds = read_dat(spark, dat)
     t = spark.read.text(ped).select(tokens("value").alias("t")).filter("size(t) >= 5")
-    at, traits, covs, markers, zyg = 5, [], [], [], F.lit(None).cast("string")
+    wide = F.when(F.size("t") > 5 + len(kinds), 2).otherwise(1)
+    before, plain, traits, covs, markers, zyg = 0, 5, [], [], [], F.lit(None).cast("string")
     for kind, name in kinds:
+        at = plain + before * wide
+        if kind == "M":
+            markers += [F.lit(name), F.when(wide == 2, F.concat_ws("/", F.get("t", at), F.get("t", at + 1))).otherwise(F.get("t", at))]
+            before += 1
+            continue
         if kind == "T":
             traits += [F.lit(name), number(F.get("t", at), "double")]
         elif kind == "C":
             covs += [F.lit(name), number(F.get("t", at), "double")]
         elif kind == "Z":
             zyg = F.get("t", at)
-        elif kind == "M":
-            markers += [F.lit(name), F.get("t", at)]
-        at += 1
+        plain += 1
     maps = [F.create_map(*x).cast("map<string,double>") if x else F.create_map().cast("map<string,double>") for x in (traits, covs)]
     marker_map = F.create_map(*markers) if markers else F.create_map().cast("map<string,string>")
     return t.select(F.get("t", 0).alias("famid"), F.get("t", 1).alias("pid"), F.get("t", 2).alias("father"), F.get("t", 3).alias("mother"), number(F.get("t", 4), "int").alias("sex"), zyg.alias("zygosity"), maps[0].alias("traits"), maps[1].alias("covs"), marker_map.alias("markers"))
 
 
-def read_genotypes(spark: SparkSession, path: str, field: str = "GT") -> DataFrame:
+def read_genotypes(spark: SparkSession, path: str, field: str = "GT", region: str | None = None) -> DataFrame:
     """(chrom, pos, ref, alt, sample, dose) of a VCF, long: the count of alternative alleles, or the DS value; null if missing.
 
-    Of several alternative alleles the first counts.
+    Of several alternative alleles the first counts. ``region`` (``chr:start-end``) is applied
+    to lines before their calls are taken apart.
     """
     names = vcf_samples(spark, path)
-    v = read_vcf_lines(spark, path).withColumn("at", F.array_position(F.split("format", ":"), field).cast("int") - 1).filter("at >= 0")
+    v = read_vcf_lines(spark, path).filter(in_region(region)).withColumn("at", F.array_position(F.split("format", ":"), field).cast("int") - 1).filter("at >= 0")
     sample = F.array(*[F.lit(n) for n in names])
     calls = v.select("chrom", "pos", "ref", F.get("alts", 0).alias("alt"), "at", F.posexplode("calls").alias("i", "call")).withColumn("x", F.get(F.split("call", ":"), F.col("at")))
     if field == "GT":

@@ -7,23 +7,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def short_number(c: Column) -> Column:
-    """C's ``%g``: six significant digits, no trailing zeros; null is ``NA``. Runs in Arrow batches, in sinks only."""
+def short_number(c: Column, digits: int = 6) -> Column:
+    """C's ``%g``: six significant digits (or ``digits``), no trailing zeros; null is ``NA``. Runs in Arrow batches, in sinks only."""
     @F.pandas_udf("string")
     def show(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: "NA" if pd.isna(v) else f"{v:g}")
+        return x.map(lambda v: "NA" if pd.isna(v) else f"{v:.{digits}g}")
 
     return show(c.cast("double"))
 
 
-def text_rows(df: DataFrame, end: str = "") -> DataFrame:
-    """One tab-separated line per row: doubles as ``%g``, null as ``NA``, arrays joined by ``,``."""
+def short_list(c: Column, digits: int = 6) -> Column:
+    """A list of numbers as :func:`short_number` writes each, joined by ``,``."""
+    @F.pandas_udf("string")
+    def show(x: pd.Series) -> pd.Series:
+        return x.map(lambda vs: "NA" if vs is None else ",".join("NA" if pd.isna(v) else f"{v:.{digits}g}" for v in vs))
+
+    return show(c)
+
+
+def text_rows(df: DataFrame, end: str = "", digits: int = 6) -> DataFrame:
+    """One tab-separated line per row: doubles as ``%g``, null as ``NA``, arrays joined by ``,`` with their doubles as ``%g`` too."""
     cols = []
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
         c = F.col(f.name)
         if kind in ("double", "float"):
-            cols.append(short_number(c))
+            cols.append(short_number(c, digits))
+        elif kind == "array<double>":
+            cols.append(short_list(c, digits))
         elif kind.startswith("array"):
             cols.append(F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("NA")))
         else:
@@ -31,7 +42,7 @@ def text_rows(df: DataFrame, end: str = "") -> DataFrame:
     return df.select(F.concat(F.concat_ws("\t", *cols), F.lit(end)).alias("value"))
 
 
-def write_table(df: DataFrame, path: str, header: list[str] = (), footer: list[str] = (), names: list[str] | None = None, end: str = "", order: list[str] | None = None, single: bool = True) -> None:
+def write_table(df: DataFrame, path: str, header: list[str] = (), footer: list[str] = (), names: list[str] | None = None, end: str = "", order: list | None = None, single: bool = True, digits: int = 6) -> None:
     """A text table: ``##`` header lines, a ``#`` line of column names, the rows, ``#`` footer lines.
 
     ``single`` makes one file, which is what the tools that read these tables expect; without
@@ -39,7 +50,7 @@ def write_table(df: DataFrame, path: str, header: list[str] = (), footer: list[s
     """
     spark = df.sparkSession
     rows = df.orderBy(*order) if order else df
-    body = text_rows(rows, end)
+    body = text_rows(rows, end, digits)
     head = [f"##{x}" for x in header] + ["#" + "\t".join(names or df.columns) + end]
     tail = [f"#{x}" for x in footer]
     lines = lambda x: spark.createDataFrame([(v,) for v in x], "value string").coalesce(1)
@@ -69,6 +80,93 @@ def write_vcf(pooled: DataFrame, path: str) -> None:
     lines.union(rows.select(F.concat_ws("\t", *rows.columns).alias("value")).coalesce(1)).coalesce(1).write.text(path)
 
 
+SCORE_NAMES = ["CHROM", "POS", "REF", "ALT", "N_INFORMATIVE", "FOUNDER_AF", "ALL_AF", "INFORMATIVE_ALT_AC", "CALL_RATE", "HWE_PVALUE", "N_REF", "N_HET", "N_ALT", "U_STAT", "SQRT_V_STAT", "ALT_EFFSIZE", "PVALUE"]
+CASE_NAMES = ["caseAC", "controlAC"]
+
+
+def write_scores(scores: DataFrame, path: str, samples: int, trait: str, summary: dict, layout: str = "native", digits: int = 6) -> None:
+    """A study's score file: preface with the trait's five numbers, mean and variance, column names, records in chromosome order.
+
+    ``scores`` has the columns of the native layout (see readers.NATIVE_SCORE), and case_ac and
+    control_ac if they are known; the rvtests layout has no preface and one frequency.
+    """
+    from ..operators.pooling import chrom_order
+    from .readers import NATIVE_SCORE, RVTESTS_SCORE
+
+    columns, names = (NATIVE_SCORE, SCORE_NAMES) if layout == "native" else (RVTESTS_SCORE, [n for n in SCORE_NAMES if n not in ("FOUNDER_AF",)])
+    if "case_ac" in scores.columns and layout == "native":
+        columns, names = [*columns, "case_ac", "control_ac"], [*names, *CASE_NAMES]
+    keys = ("min", "q25", "median", "q75", "max", "mean", "variance")
+    row = "\t".join([trait, *(f"{summary[k]:.{digits}g}" for k in keys)])
+    head = [f"AnalyzedSamples={samples}", "TraitSummaries\tmin\t25th\tmedian\t75th\tmax\tmean\tvariance", row]
+    body = scores.select(*columns)
+    order = [*chrom_order(), "pos"]
+    if layout == "native":
+        write_table(body, path, head, names=names, order=order, digits=digits)
+    else:
+        lines = body.sparkSession.createDataFrame([("\t".join(names),)], "value string").coalesce(1)
+        lines.union(text_rows(body.orderBy(*order), digits=digits).coalesce(1)).coalesce(1).write.text(path)
+
+
+def write_cov(cov: DataFrame, path: str, layout: str = "dense") -> None:
+    """One study's covariances (chrom, pos, pos2, cov): ``dense``, ``compact`` or ``rvtests`` layout, in chromosome and position order."""
+    from ..operators.pooling import chrom_order
+
+    if layout == "compact":
+        rows, names = compact_cov_rows(cov, digits=12, floor=0.0), ["CHROM", "CURRENT_POS", "EXP", "COV_MATRICES"]
+    else:
+        rows, names = dense_cov_rows(cov), ["CHROM", "CURRENT_POS", "MARKERS_IN_WINDOW", "COV_MATRICES"]
+    if layout == "rvtests":
+        partners = F.split(F.rtrim(F.lit(","), F.col("markers_in_window")), ",")
+        rows = rows.select("chrom", "current_pos", F.element_at(partners, -1).alias("end"), F.size(partners).alias("n"), "markers_in_window", "cov_matrices")
+        names = ["CHROM", "START_POS", "END_POS", "NUM_MARKER", "MARKER_POS", "COV"]
+    write_table(rows, path, names=names, order=[*chrom_order(), "current_pos"])
+
+
+def write_genotypes(genotypes: DataFrame, samples: list[str], path: str) -> None:
+    """A VCF of GT calls from rows (chrom, pos, ref, alt, sample, dose): samples without a row are 0/0, null doses ./. ."""
+    from ..operators.pooling import chrom_order
+
+    call = F.when(F.col("dose").isNull(), "./.").when(F.col("dose") >= 2, "1/1").when(F.col("dose") >= 1, "0/1").otherwise("0/0")
+    rows = genotypes.groupBy("chrom", "pos", "ref", "alt").agg(F.map_from_entries(F.collect_list(F.struct("sample", call.alias("c")))).alias("calls"))
+    every = F.array_join(F.transform(F.array(*[F.lit(x) for x in samples]), lambda x: F.coalesce(F.element_at("calls", x), F.lit("0/0"))), "\t")
+    fixed = [F.col("chrom"), F.col("pos").cast("string"), F.lit("."), F.col("ref"), F.col("alt"), F.lit("."), F.lit("."), F.lit("."), F.lit("GT")]
+    body = rows.orderBy(*chrom_order(), "pos").select(F.concat_ws("\t", *fixed, every).alias("value"))
+    head = ["##fileformat=VCFv4.1", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+    genotypes.sparkSession.createDataFrame([(x,) for x in head], "value string").coalesce(1).union(body.coalesce(1)).coalesce(1).write.text(path)
+
+
+GENE_NAMES = ["GROUPNAME", "NUM_VAR", "VARs", "MAFs", "SINGLEVAR_EFFECTs", "SINGLEVAR_PVALUEs", "AVG_AF", "MIN_AF", "MAX_AF"]
+
+
+def gene_table(result: DataFrame, summary: DataFrame, method: str, long_output: bool = False) -> tuple[DataFrame, list[str], str]:
+    """(rows, column names, line end) of a gene test's result file.
+
+    ``summary`` is genes.gene_summary with the single variants' p-values as ``pvalues``. Short
+    files leave out the variants' frequencies, effects and p-values; VT lines end in a tab.
+    """
+    s = summary.select("gene", "num_var", "vars", "mafs", "effects", "pvalues", "avg_af", "min_af", "max_af")
+    r = result.withColumnRenamed("gene", "r_gene")
+    own = {"VT": [("vt_effect", "EFFECT_SIZE"), ("vt_cutoff", "MAF_CUTOFF"), ("vt_p", "PVALUE")], "SKAT": [("q", "STATISTICS"), ("p_davies", "PVALUE_DAVIES"), ("p_liu", "PVALUE_LIU")]}.get(method, [("effect", "EFFECT_SIZE"), ("p", "PVALUE")])
+    j = s.join(r.select("r_gene", *[c for c, _ in own]), F.col("gene") == F.col("r_gene"))
+    first = s.columns if long_output else [c for c in s.columns if c not in ("mafs", "effects", "pvalues")]
+    names = GENE_NAMES if long_output else [n for n in GENE_NAMES if n not in ("MAFs", "SINGLEVAR_EFFECTs", "SINGLEVAR_PVALUEs")]
+    return j.select(*first, *[c for c, _ in own]), [*names, *[n for _, n in own]], "\t" if method == "VT" else ""
+
+
+HIT_NAMES = ["GENE", "METHOD", "GENE_PVALUE", "MAF_CUTOFF", "ACTUAL_CUTOFF", "VARS", "MAFS", "EFFSIZES", "PVALUES"]
+
+
+def hit_table(result: DataFrame, summary: DataFrame, method: str, cutoff: float, maf: float) -> tuple[DataFrame, list[str]]:
+    """(rows, column names) of the table of genes whose p is under ``cutoff``, a row per variant; SKAT's has both p-values."""
+    p = {"VT": ["vt_p"], "SKAT": ["p_davies", "p_liu"]}.get(method, ["p"])
+    r = result.withColumnRenamed("gene", "r_gene").filter(F.col(p[0]) < cutoff)
+    actual = F.col("vt_cutoff") if method == "VT" else F.col("max_af")
+    j = summary.join(r, F.col("gene") == F.col("r_gene")).withColumn("v", F.explode(F.arrays_zip(F.split("vars", ";").alias("name"), F.col("mafs").alias("maf"), F.col("effects").alias("eff"), F.col("pvalues").alias("pv"))))
+    names = HIT_NAMES if len(p) == 1 else [*HIT_NAMES[:2], "GENE_PVALUE_DAVIES", "GENE_PVALUE_LIU", *HIT_NAMES[3:]]
+    return j.select("gene", F.lit(method).alias("method"), *p, F.lit(maf).alias("maf_cutoff"), actual.alias("actual"), F.col("v.name").alias("var"), F.col("v.maf").alias("maf"), F.col("v.eff").alias("eff"), F.col("v.pv").alias("pv")), names
+
+
 def dense_cov_rows(cov: DataFrame) -> DataFrame:
     """chrom, current_pos, markers_in_window, cov_matrices: comma lists with a trailing comma, partners ascending."""
     lists = cov.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("pos2", "cov"))).alias("x"))
