@@ -79,8 +79,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, but: list[str] = ()) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in but else F.col(c) for c, t in df.dtypes])
+
+
+def p_sql(chisq: str) -> str:
+    """SQL of the upper tail of chi-square with one degree of freedom, to nine digits: the series of the error function, whose terms are all positive."""
+    z = f"sqrt(({chisq}) / 2.0)"
+    terms = f"list_sum(list_transform(range(0, 250), lambda k: exp((2 * k + 1) * ln({z}) + 2 * k * ln(2.0) + lgamma(k + 1) - lgamma(2 * k + 2))))"
+    return f"CASE WHEN ({chisq}) IS NULL THEN NULL WHEN ({chisq}) <= 0 THEN 1.0 WHEN ({chisq}) > 100 THEN 0.0 ELSE round(1 - 2 / sqrt(pi()) * exp(-({chisq}) / 2.0) * {terms}, 9) END"
 
 
 @query("single_variant_meta", BASE + """
@@ -90,9 +97,10 @@ def single_variant_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pooling.single_variant(Cohort(spark, sf_dir).pooled))
 
 
-@query("single_variant_p")
+@query("single_variant_p", BASE + f"SELECT p.chrom, p.pos, p.ref, p.alt, round(u * u / v, 6) AS chisq, {p_sql('u * u / v')} AS p FROM poo p")
 def single_variant_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pooling.with_p(pooling.single_variant(Cohort(spark, sf_dir).pooled))
+    s = pooling.with_p(pooling.single_variant(Cohort(spark, sf_dir).pooled).select("chrom", "pos", "ref", "alt", "chisq"))
+    return s.select("chrom", "pos", "ref", "alt", F.round("chisq", 6).alias("chisq"), F.round("p", 9).alias("p"))
 
 
 @query("alt_maf_meta", BASE + """

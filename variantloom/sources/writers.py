@@ -113,11 +113,11 @@ def write_cov(cov: DataFrame, path: str, layout: str = "dense") -> None:
     from ..operators.pooling import chrom_order
 
     if layout == "compact":
-        rows, names = compact_cov_rows(cov, digits=12, floor=0.0), ["CHROM", "CURRENT_POS", "EXP", "COV_MATRICES"]
+        rows, names = compact_cov_rows(cov, digits=15, floor=0.0), ["CHROM", "CURRENT_POS", "EXP", "COV_MATRICES"]
     else:
         rows, names = dense_cov_rows(cov), ["CHROM", "CURRENT_POS", "MARKERS_IN_WINDOW", "COV_MATRICES"]
     if layout == "rvtests":
-        partners = F.split(F.rtrim(F.lit(","), F.col("markers_in_window")), ",")
+        partners = F.split(F.regexp_replace("markers_in_window", ",$", ""), ",")
         rows = rows.select("chrom", "current_pos", F.element_at(partners, -1).alias("end"), F.size(partners).alias("n"), "markers_in_window", "cov_matrices")
         names = ["CHROM", "START_POS", "END_POS", "NUM_MARKER", "MARKER_POS", "COV"]
     write_table(rows, path, names=names, order=[*chrom_order(), "current_pos"])
