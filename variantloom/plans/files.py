@@ -346,3 +346,40 @@ def gene_burden_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def largest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most samples of any variant."""
     return spark.createDataFrame([(pooling.largest_n(Cohort(spark, sf_dir).pooled.filter("v > 0")),)], "n long")
+
+
+@query("pooled_vcf", BASE + """
+SELECT p.chrom, p.pos, p.ref, p.alt, 'N=' || p.n || ';AF=' || printf('%g', (ac / (2.0 * p.n))::DOUBLE) || ';DIRECTION=' || d.direction AS info FROM poo p JOIN dir d USING (part)""")
+def pooled_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled variants' VCF, read back."""
+    c = Cohort(spark, sf_dir)
+    path = fresh_path(spark, "pooled-vcf")
+    writers.write_vcf(c.pooled.filter("v > 0"), path)
+    return readers.read_vcf_lines(spark, path).select("chrom", "pos", "ref", F.col("alts")[0].alias("alt"), "info")
+
+
+@query("result_files", BASE + "SELECT p.chrom, p.pos, p.ref, p.alt, p.n, d.direction, 11 AS fields FROM poo p JOIN dir d USING (part)")
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-variant result file of the program, its lines without header and footer."""
+    o = MetaOptions(**_lists(Cohort(spark, sf_dir)), prefix=fresh_path(spark, "meta"))
+    path = programs.write_meta(programs.meta_run(spark, o), o)[0]
+    t = spark.read.text(path).filter("not startswith(value, '#')").select(F.split("value", "\t").alias("t"))
+    return t.select(F.col("t")[0].alias("chrom"), F.col("t")[1].cast("int").alias("pos"), F.col("t")[2].alias("ref"), F.col("t")[3].alias("alt"), F.col("t")[4].cast("long").alias("n"), F.col("t")[6].alias("direction"), F.size("t").alias("fields"))
+
+
+@query("gene_result_files", GENES + """,
+k AS (SELECT gene, count(*) AS n, string_agg(kep.chrom || ':' || kep.pos || ':' || v.ref || ':' || v.alt, ';' ORDER BY ord) AS vars FROM kep JOIN var v USING (part, gene) GROUP BY gene),
+t AS (SELECT gene FROM cov GROUP BY gene)
+SELECT m.file, replace(gene, ' ', '~') AS gene, n::INTEGER AS num_var, vars, m.fields FROM k JOIN t USING (gene) CROSS JOIN (VALUES ('burden', 11), ('MB', 11), ('VT', 13), ('SKAT', 12)) AS m(file, fields)""")
+def gene_result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result files of four gene tests in the long layout: genes, variants, and the number of fields (VT lines end in a tab)."""
+    c = Cohort(spark, sf_dir)
+    o = MetaOptions(**_lists(c, True), group_file=_text(_group_lines(c), "groups"), burden=True, mb=True, vt=True, skat=True, long_output=True, tabulate_hits=True, prefix=fresh_path(spark, "meta"))
+    out = None
+    for path in programs.write_meta(programs.meta_run(spark, o), o):
+        name = path.rpartition(".meta.")[2].removesuffix(".results").removesuffix("_")
+        if name in ("burden", "MB", "VT", "SKAT"):
+            t = spark.read.text(path).filter("not startswith(value, '#')").select(F.split("value", "\t").alias("t"))
+            t = t.select(F.lit(name).alias("file"), F.col("t")[0].alias("gene"), F.col("t")[1].cast("int").alias("num_var"), F.col("t")[2].alias("vars"), F.size("t").alias("fields"))
+            out = t if out is None else out.unionByName(t)
+    return out

@@ -308,10 +308,18 @@ def variant_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.genes_of(c.variants.select("chrom", "pos", "ref", "alt"), _gene_map(c)).select("chrom", "pos", "gene")
 
 
-@query("hit_loci")
+@query("hit_loci", BASE.replace("WITH smp", "WITH RECURSIVE smp", 1) + f""",
+h AS (SELECT chrom, pos, ref, alt, chisq, row_number() OVER (PARTITION BY chrom ORDER BY pos, ref, alt) AS k FROM ({STATS}) WHERE chisq > 3.841458820694124),
+w AS (
+  SELECT chrom, k, 0 AS locus, pos, ref, alt, chisq FROM h WHERE k = 1 UNION ALL
+  SELECT h.chrom, h.k, CASE WHEN h.pos - w.pos < 1000000 THEN w.locus ELSE w.locus + 1 END, CASE WHEN h.pos - w.pos < 1000000 AND h.chisq <= w.chisq THEN w.pos ELSE h.pos END,
+         CASE WHEN h.pos - w.pos < 1000000 AND h.chisq <= w.chisq THEN w.ref ELSE h.ref END, CASE WHEN h.pos - w.pos < 1000000 AND h.chisq <= w.chisq THEN w.alt ELSE h.alt END,
+         CASE WHEN h.pos - w.pos < 1000000 AND h.chisq <= w.chisq THEN w.chisq ELSE h.chisq END FROM w JOIN h ON h.chrom = w.chrom AND h.k = w.k + 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY chrom, locus ORDER BY k DESC) AS last FROM w)
+SELECT chrom, locus::INTEGER AS locus, pos, ref, alt, {p_sql("chisq")} AS p FROM l WHERE last = 1""")
 def hit_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pooling.with_p(pooling.single_variant(Cohort(spark, sf_dir).pooled)).filter("p < 0.05")
-    return annotate.loci(p)
+    return rounded(annotate.loci(p), 9)
 
 
 @query("qq_points", BASE + f""",
@@ -337,9 +345,13 @@ def trait_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nullmodels.rank_quantile(Cohort(spark, sf_dir).samples, "y", ["study"]).select("study", "sample", F.round("rank_q", 9).alias("rank_q"))
 
 
-@query("inverse_normal_trait")
+@query("inverse_normal_trait", BASE + """,
+q AS (SELECT study, sample, ((rank() OVER (PARTITION BY study ORDER BY y) - 1) + (count(*) OVER (PARTITION BY study, y) - 1) / 2.0 + 0.5) / count(*) OVER (PARTITION BY study) AS p FROM smp)
+SELECT study, sample, round(list_reduce(list_concat([0.0::DOUBLE], list_transform(range(0, 60), lambda i: p::DOUBLE)), lambda x, y: x - (0.5 + exp(-x * x / 2) / sqrt(2 * pi()) *
+  list_sum(list_transform(range(0, 120), lambda k: pow(x, 2 * k + 1) * exp(k * ln(2.0) + lgamma(k + 1) - lgamma(2 * k + 2)))) - y) * sqrt(2 * pi()) * exp(x * x / 2)), 6) AS z FROM q""")
 def inverse_normal_trait(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nullmodels.inverse_normal(Cohort(spark, sf_dir).samples, "y", ["study"]).select("study", "sample", "z")
+    """The SQL finds the quantile by Newton's steps on the series of the normal distribution."""
+    return nullmodels.inverse_normal(Cohort(spark, sf_dir).samples, "y", ["study"]).select("study", "sample", F.round("z", 6).alias("z"))
 
 
 @query("trait_summary", BASE + """,
@@ -358,10 +370,19 @@ def linear_null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("study", "n", F.round(F.col("beta")[0], 6).alias("intercept"), F.round(F.col("beta")[1], 6).alias("slope"), F.round("sigma2", 6).alias("sigma2"))
 
 
-@query("logistic_null_model")
+@query("logistic_null_model", BASE + "SELECT round(ln(avg(is_case::INTEGER) / (1 - avg(is_case::INTEGER))), 6) AS intercept FROM smp")
 def logistic_null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beta, steps = nullmodels.logistic(Cohort(spark, sf_dir).samples, F.col("is_case").cast("double"), [F.lit(1.0)])
-    return spark.createDataFrame([(float(beta[0]), steps)], "intercept double, steps int")
+    beta, _ = nullmodels.logistic(Cohort(spark, sf_dir).samples, F.col("is_case").cast("double"), [F.lit(1.0)], tolerance=1e-8)
+    return spark.createDataFrame([(round(float(beta[0]), 6),)], "intercept double")
+
+
+@query("logistic_with_covariate", BASE + """,
+g AS (SELECT avg(is_case::INTEGER) FILTER (sample % 2 = 0) AS p, avg(is_case::INTEGER) FILTER (sample % 2 = 1) AS q FROM smp)
+SELECT round(ln(p / (1 - p)), 6) AS intercept, round(ln(q / (1 - q)) - ln(p / (1 - p)), 6) AS slope FROM g""")
+def logistic_with_covariate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 0/1 covariate, whose fit is the two groups' log odds."""
+    beta, _ = nullmodels.logistic(Cohort(spark, sf_dir).samples, F.col("is_case").cast("double"), [F.lit(1.0), (F.col("sample") % 2).cast("double")], tolerance=1e-8)
+    return spark.createDataFrame([(round(float(beta[0]), 6), round(float(beta[1]), 6))], "intercept double, slope double")
 
 
 @query("kinship_pairs", BASE + """,
@@ -420,10 +441,37 @@ def panel_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("study", "chrom", "pos", "matched", F.round(F.col("panel_af")[0], 9).alias("first_af"))
 
 
-@query("panel_coefficients")
+FIT = PANEL + """,
+m AS (SELECT s.study, s.part, s.chrom, s.pos, CASE WHEN turned THEN 1 - g / (2 * s.n) ELSE g / (2 * s.n) END AS y, CASE WHEN turned THEN 1 - f0 ELSE f0 END AS a, CASE WHEN turned THEN 1 - f1 ELSE f1 END AS b, CASE WHEN turned THEN 1 - f2 ELSE f2 END AS c
+      FROM sco s JOIN pw USING (part) WHERE NOT other),
+e AS (SELECT study, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * y) AS ay, sum(b * y) AS b_y, sum(c * y) AS cy FROM m GROUP BY study),
+dt AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS d FROM e),
+co AS (
+  SELECT study, (ay * (bb * cc - bc * bc) - ab * (b_y * cc - bc * cy) + ac * (b_y * bc - bb * cy)) / d AS g0, (aa * (b_y * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - b_y * ac)) / d AS g1,
+         (aa * (bb * cy - b_y * bc) - ab * (ab * cy - b_y * ac) + ay * (ab * bc - bb * ac)) / d AS g2 FROM dt)
+"""
+
+
+@query("panel_coefficients", BASE + FIT + "SELECT study, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2 FROM co")
 def panel_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Cohort(spark, sf_dir)
-    return populations.panel_coefficients(populations.with_panel(c.scores, _panel(c), 3, matched_only=True), 3)
+    p = populations.panel_coefficients(populations.with_panel(c.scores, _panel(c), 3, matched_only=True), 3)
+    return p.select("study", *[F.round(F.col("gamma")[i], 6).alias(f"g{i}") for i in range(3)])
+
+
+@query("corrected_frequencies", BASE + FIT + "SELECT m.study, chrom, pos, round(y - g0 * a - g1 * b - g2 * c, 6) AS af FROM m JOIN co USING (study)")
+def corrected_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies less what the panel explains, of the sites that the panel has."""
+    c = Cohort(spark, sf_dir)
+    j = populations.with_panel(c.scores, _panel(c), 3, matched_only=True)
+    return populations.corrected_af(j, populations.panel_coefficients(j, 3)).select("study", "chrom", "pos", F.round("af_corrected", 6).alias("af"))
+
+
+@query("matched_by_distance", BASE + FIT + "SELECT study, chrom, pos FROM m WHERE abs(y - (a + b + c) / 3) <= 0.004 AND least(y, 1 - y) BETWEEN 0.005 AND 0.5")
+def matched_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites whose frequency lies near the panel's mean, within bounds of their own."""
+    c = Cohort(spark, sf_dir)
+    return populations.with_panel(c.scores, _panel(c), 3, True, 0.004, True, 0.005, 0.5).select("study", "chrom", "pos")
 
 
 @query("conditional_meta", BASE + """,
@@ -450,9 +498,82 @@ def conditional_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chrom", "pos", F.round("effect_cond", 6).alias("effect_cond"))
 
 
-@query("hardy_weinberg")
+@query("hardy_weinberg", BASE + """,
+c AS (SELECT study, chrom, pos, f.n, f.n - count(*) AS n_ref, count(*) FILTER (dose = 1) AS n_het, count(*) FILTER (dose = 2) AS n_alt FROM gt JOIN fct f USING (study) GROUP BY study, chrom, pos, f.n),
+r AS (SELECT *, 2 * least(n_ref, n_alt) + n_het AS rare FROM c),
+w AS (
+  SELECT *, list_transform(range(rare % 2, rare + 1, 2), lambda x: x * ln(2.0) - lgamma((rare - x) // 2 + 1) - lgamma(x + 1) - lgamma(n - x - (rare - x) // 2 + 1)) AS l,
+         n_het * ln(2.0) - lgamma((rare - n_het) // 2 + 1) - lgamma(n_het + 1) - lgamma(n - n_het - (rare - n_het) // 2 + 1) AS own FROM r)
+SELECT study, chrom, pos, n_ref::BIGINT AS n_ref, n_het::BIGINT AS n_het, n_alt::BIGINT AS n_alt,
+       round(least(1.0, list_sum(list_transform(list_filter(l, lambda v: v <= own + 1e-9), lambda v: exp(v - own))) / list_sum(list_transform(l, lambda v: exp(v - own)))), 8) AS hwe_p FROM w""")
 def hardy_weinberg(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Cohort(spark, sf_dir)
     s = genotypes.variant_summary(c.carriers, ["study"]).select("study", "chrom", "pos", "ref", "alt", "n_het", "n_alt")
     n = F.get(F.array(*[F.lit(x).cast("long") for x in c.sizes]), F.col("study"))
-    return genotypes.with_hwe(s.withColumn("n", n).withColumn("n_ref", n - F.col("n_het") - F.col("n_alt"))).select("study", "chrom", "pos", "n_ref", "n_het", "n_alt", "hwe_p")
+    return genotypes.with_hwe(s.withColumn("n", n).withColumn("n_ref", n - F.col("n_het") - F.col("n_alt"))).select("study", "chrom", "pos", "n_ref", "n_het", "n_alt", F.round("hwe_p", 8).alias("hwe_p"))
+
+
+@query("gene_vt_best", GENES + """,
+c AS (SELECT a.gene, a.cutoff, count(*) AS num_var, sum(u) AS s FROM (SELECT DISTINCT gene, af AS cutoff FROM kep) a JOIN kep k ON k.gene = a.gene AND k.af <= a.cutoff GROUP BY ALL),
+v AS (SELECT a.gene, a.cutoff, sum(CASE WHEN i = j THEN 1 ELSE 2 END * cov) AS var FROM (SELECT DISTINCT gene, af AS cutoff FROM kep) a JOIN cov k ON k.gene = a.gene AND greatest(fa, fb) <= a.cutoff GROUP BY ALL),
+b AS (SELECT c.gene, c.cutoff, num_var, s, var, row_number() OVER (PARTITION BY c.gene ORDER BY round(abs(s) / sqrt(var), 9) DESC, c.cutoff) AS k FROM c JOIN v ON c.gene = v.gene AND c.cutoff = v.cutoff WHERE var > 0)
+SELECT gene, round(s / var, 6) AS vt_effect, round(cutoff, 9) AS vt_cutoff, num_var::INTEGER AS vt_num_var, (SELECT round(sum(pow(25 * pow(1 - af, 24), 2) * u * u), 3) FROM kep WHERE kep.gene = b.gene) AS q FROM b WHERE k = 1""")
+def gene_vt_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequency cutoff that the threshold test picks, its effect and variants, and SKAT's Q, as the gene rows give them."""
+    c = Cohort(spark, sf_dir)
+    x = genes.skat_vt(genes.gene_matrices(c.kept, c.gene_cov))
+    return x.select("gene", F.round("vt_effect", 6).alias("vt_effect"), F.round("vt_cutoff", 9).alias("vt_cutoff"), "vt_num_var", F.round("q", 3).alias("q"))
+
+
+@query("gc_corrected_stats", BASE + f""",
+s AS ({STATS}), k AS (SELECT chisq, row_number() OVER (ORDER BY chisq DESC) AS k, count(*) OVER () AS n FROM s)
+SELECT chrom, pos, round(s.chisq / ((SELECT chisq FROM k WHERE k = n // 2 + 1) / 0.456), 6) AS chisq_gc FROM s""")
+def gc_corrected_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = pooling.single_variant(Cohort(spark, sf_dir).pooled).filter("chisq is not null")
+    row = pooling.pooled_genomic_control(s).filter("stratum = 'all'").first()
+    return pooling.gc_corrected(s, row["gc"] if row else 1.0).select("chrom", "pos", F.round("chisq_gc", 6).alias("chisq_gc"))
+
+
+#: Genotypes on an X: the second chromosome's name stands for it, odd samples are male, one call in thirteen is missing.
+XGT = """,
+xg AS (SELECT study, sample, part, pos, ref, alt, CASE WHEN (sample + part) % 13 = 0 THEN NULL WHEN pos BETWEEN 200000 AND 1500000 AND sample % 2 = 1 AND dose = 1 THEN NULL ELSE dose END AS dose FROM gt WHERE chrom = '2')
+"""
+
+
+def _on_x(c: Cohort) -> DataFrame:
+    g = c.carriers.filter("chrom = '2'").withColumn("sex", F.when(F.col("sample") % 2 == 1, 1).otherwise(2))
+    g = genotypes.mask_male_hets(g, "2", 1, 200_000, 1_500_000)
+    return g.withColumn("dose", F.when((F.col("sample") + F.col("part")) % 13 == 0, None).otherwise(F.col("dose")))
+
+
+@query("male_hets", BASE + XGT + "SELECT study, sample, pos, dose FROM xg")
+def male_hets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _on_x(Cohort(spark, sf_dir)).select("study", "sample", "pos", "dose")
+
+
+@query("called_scores", BASE + XGT + """,
+z AS (SELECT x.*, s.y - f.m AS r, f.sigma2 FROM xg x JOIN smp s USING (sample) JOIN fct f ON f.study = x.study),
+e AS (SELECT study, pos, avg(dose) AS m, sum(dose * r) AS rg, sum(r) FILTER (dose IS NOT NULL) AS rs, sum(dose * dose) AS gg, count(dose) AS n, any_value(sigma2) AS sigma2 FROM z GROUP BY study, pos)
+SELECT study, pos, n::INTEGER AS n, round((rg - m * rs) / sigma2, 6) AS u, round((gg - n * m * m) / sigma2, 6) AS v FROM e""")
+def called_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from the rows of called genotypes alone, carriers here, centred by their own mean; missing ones count as the mean."""
+    c = Cohort(spark, sf_dir)
+    d = genotypes.dense_scores(_on_x(c).select("study", "chrom", "pos", "ref", "alt", "sample", "dose"), c.residuals, ["study"])
+    return rounded(d.select("study", "pos", "n", "u", "v"))
+
+
+@query("allele_swap_warning", BASE + "SELECT study, round(avg(CASE WHEN turned THEN 1 - g / (2 * n) ELSE g / (2 * n) END), 9) AS mean_af, avg(CASE WHEN turned THEN 1 - g / (2 * n) ELSE g / (2 * n) END) > 0.5 AS suspicious FROM sco GROUP BY study")
+def allele_swap_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each study's mean frequency, and whether its alleles look swapped."""
+    c, out = Cohort(spark, sf_dir), None
+    for k in range(5):
+        if c.sizes[k]:
+            w = genotypes.mean_af_suspicious(c.scores.filter(F.col("study") == k)).select(F.lit(k).alias("study"), F.round("mean_af", 9).alias("mean_af"), "suspicious")
+            out = w if out is None else out.unionByName(w)
+    return out
+
+
+@query("thinned_points", BASE + f", s AS ({STATS}) SELECT round(af, 2) AS x, round(round(chisq, 1), 2) AS y, count(*) AS n FROM s GROUP BY 1, 2")
+def thinned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = pooling.single_variant(Cohort(spark, sf_dir).pooled).filter("chisq is not null")
+    return annotate.thin_points(s.select(F.col("af").alias("x"), F.round("chisq", 1).alias("y")), "x", "y")
