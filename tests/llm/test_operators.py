@@ -262,6 +262,41 @@ def test_search_finds_the_nearest(spark):
     assert ann_search(table.limit(0), table, k=20).count() == 0
 
 
+@pytest.mark.parametrize(("hashes", "kind"), [(1, "gauss"), (2, "gauss"), (2, "lengths"), (3, "clusters")])
+def test_search_recall_at_any_number_of_hashes(spark, hashes, kind):
+    """20,000 rows: Gaussian, of very unequal lengths, and clustered ones with a third of all rows in one spot."""
+    from variantloom.llm.ann import ann_search
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 32))
+    if kind == "lengths":
+        x *= np.exp(rng.normal(size=(20_000, 1)))
+        x[7] *= 500
+    if kind == "clusters":
+        x = rng.normal(size=(50, 32))[np.where(rng.random(20_000) < 0.33, 0, rng.integers(0, 50, 20_000))] * 3 + x * 0.5
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann_search(table, table.filter("vec_id % 400 = 0"), k=20, hashes=hashes).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, 20_000, 400):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+        assert len(got[q]) == 20
+    assert hit / (50 * 20) >= 0.9
+
+
+def test_search_falls_back_to_every_row(spark):
+    from variantloom.llm.ann import ann_search
+
+    x = np.random.default_rng(4).normal(size=(12, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann_search(table, table.filter("vec_id = 3"), k=20, tables=1, probes=1).collect()
+    s = x @ x[3]
+    assert [r["vec_id"] for r in rows] == sorted((i for i in range(12) if i != 3), key=lambda i: -s[i]) and [r["rank"] for r in rows] == list(range(1, 12))
+
+
 def test_hamming_search_is_exact(spark):
     from variantloom.llm.hamming import hamming_topk
 
