@@ -228,7 +228,7 @@ def ann_search(
     hashes: int | None = None,
     probes: int | None = None,
     recall: float = 0.96,
-    part_rows: int = 8192,
+    part_rows: int = 32_768,
     seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best found by inner product in double precision, ties to the smaller id.
@@ -239,7 +239,7 @@ def ann_search(
     an empty result.
 
     ``probes`` defaults to as many as :func:`probes_for` finds for ``recall``. ``hashes`` a
-    table defaults to one up to 40,000 rows, two while cells then hold some thousands, else
+    table defaults to one up to 4,000 rows, two while cells then hold some thousands, else
     three; ``tables`` to 6 or 14. Of rows with one and the same vector only the k + 1 smallest
     ids are indexed: under these ties no other can be returned. The cells of a table are
     dealt to parts of about ``part_rows`` rows; a part that is larger, be it one cell, is
@@ -259,7 +259,7 @@ def ann_search(
     asked = asked.filter(F.size("v") == d)
     norm = None if facts["hi"] - facts["lo"] <= 1e-5 * facts["hi"] else float(facts["hi"])
     if hashes is None:
-        hashes = 1 if n < 40_000 else 2 if n < 20_000 * (2 * d) ** 2 else 3
+        hashes = 1 if n < 4_000 else 2 if n < 20_000 * (2 * d) ** 2 else 3
     tables = tables or (6 if hashes == 1 else 14)
     model = CrossPolytope(d, tables, hashes, seed, norm)
     if probes is None:
