@@ -85,6 +85,28 @@ def test_parity_join_in_crowded_blocks(spark):
     assert got == jaccard_components(rows)
 
 
+def test_parity_join_of_long_texts(spark):
+    """Sets of 130 to 3000 shingles, where a block holds several bits: near the threshold on both sides, repeated and null ids."""
+    from variantloom.llm.parity_join import near_duplicates
+
+    rng = random.Random(6)
+    rows = []
+    for n in (140, 260, 300, 520, 900, 1500, 3000):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        rows.append((len(rows), " ".join(base)))
+        for share in (0.005, 0.02, 0.028, 0.035, 0.06):
+            words = list(base)
+            for at in rng.sample(range(n), int(n * share)):
+                words[at] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(base[: int(n * 0.8)])))
+        rows.append((len(rows), " ".join(base[: int(n * 0.7)])))
+    docs = spark.createDataFrame(rows + [rows[0], (None, rows[8][1])], "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect() if r["id"] is not None}
+    want = jaccard_components(rows)
+    assert got == want and len({c for _, c in want.values()}) < len(rows) - 14
+
+
 def test_sketches_never_rule_out_a_link():
     from variantloom.llm.parity_join import _distances, _sketches
 
@@ -272,6 +294,54 @@ def test_context_tree_counts_and_base_score(docs, empty):
     assert score_texts(empty, F.lit(True)).count() == 0
 
 
+def test_context_tree_against_a_plain_tree(spark):
+    """Every score by dictionaries of nodes, depth 2: Krichevsky-Trofimov estimates and posterior weights of all depths met."""
+    from variantloom.llm.ctw import score_texts
+
+    depth, texts = 2, ["abab abba", "Abc é", "", "zz top", "abab abba", "abba cab zed"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["score"] for r in score_texts(docs, F.col("doc_id") != 5, depth=depth).collect()}
+    ones, zeros, longer = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+
+    def places(text):
+        data = [255] * depth + list(re.sub("[A-Z]", lambda m: m.group().lower(), text).encode()) + [255]
+        for at in range(depth, len(data)):
+            context, byte = tuple(data[at - 1 - j] for j in range(depth)), data[at]
+            for i in range(8):
+                yield context, byte >> (8 - i), i, (byte >> (7 - i)) & 1
+
+    for t in texts[:5]:
+        for context, prefix, i, bit in places(t):
+            for d in range(depth + 1):
+                (ones if bit else zeros)[context[:d], i, prefix] += 1
+                if d < depth:
+                    longer[context[:d], i, prefix].add(context[: d + 1])
+
+    def estimate(node):
+        a, b = ones[node], zeros[node]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(node):
+        """(log weighted probability, share of the node's own estimate)"""
+        own = estimate(node)
+        if len(node[0]) == depth:
+            return own, 1.0
+        below = sum(weighted((c, *node[1:]))[0] for c in longer[node])
+        return float(np.logaddexp(own, below)) - math.log(2), 1 / (1 + math.exp(below - own))
+
+    for n, t in enumerate(texts):
+        score = 0.0
+        for context, prefix, i, bit in places(t):
+            p = None
+            for d in range(depth, -1, -1):
+                node = (context[:d], i, prefix)
+                if total := ones[node] + zeros[node]:
+                    kt = ((ones if bit else zeros)[node] + 0.5) / (total + 1)
+                    p = kt if p is None else (w := weighted(node)[1]) * kt + (1 - w) * p
+            score += math.log10(0.5 if p is None else p)
+        assert abs(got[n] - score) < 1e-9, (t, got[n], score)
+
+
 def test_search_finds_the_nearest(spark):
     from variantloom.llm.ann import ann_search
 
@@ -393,6 +463,28 @@ def test_language_model_on_held_out_text(spark, empty):
     assert predict_language(empty, fit_language_model(empty, "doc_id", "text", "lang")).count() == 0
 
 
+def test_language_scores_are_the_windows_mean(spark):
+    """Long, repeated and empty texts, null ids and clashing columns, beside the network applied to each window."""
+    from variantloom.llm.langid import WINDOW, ByteCNN, language_of, predict_language, windows_of
+
+    model = ByteCNN(["a", "b", "c"])
+    texts = ["short text", "x" * 255 + "é" * 900, "word " * 4000, "same", "same", None, "!!"]
+    rows = [(None if i == 3 else i, t, "clash", 1.0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double")
+
+    def plain(t):
+        data = t.encode()
+        parts = [data[i : i + WINDOW] for i in range(0, len(data), WINDOW)]
+        p = (model.predict(windows_of(parts)) * np.array([[len(x)] for x in parts])).sum(axis=0) / len(data)
+        return model.classes[int(p.argmax())], float(p.max())
+
+    got = collections.Counter((r["id"], r["lang_pred"], round(r["score"], 5)) for r in predict_language(docs, model).collect())
+    want = collections.Counter((i, *((c, round(p, 5)) if t and t != "!!" else ("und", 0.0))) for i, t, *_ in rows for c, p in [plain(t) if t else ("", 0.0)])
+    assert got == want
+    kept = language_of(docs, model)
+    assert kept.columns == ["doc_id", "text", "score", "lang_pred", "lang_score"] and kept.count() == 7
+
+
 def test_toxicity_sees_misspellings(spark, empty):
     from variantloom.llm.toxicity import fit_toxicity, score_toxicity
 
