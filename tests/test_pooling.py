@@ -53,3 +53,14 @@ def test_study_order_changes_only_the_sign(spark):
 def test_upper_median(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (4, 1, 3, 2)] + [("b", 5.0)], "g string, x double")
     assert {r["g"]: r["median"] for r in pooling.upper_median(df, "x", ["g"]).collect()} == {"a": 3.0, "b": 5.0}
+
+
+def test_a_record_disagrees_only_with_an_accepted_one(spark):
+    """The first study fails, the second has a third allele: it names the site's alleles, and the last one falls out against it."""
+    p = pooled(spark, [record(0, 1, "A", "C", 80, 19, 1, hwe=1e-9), record(1, 1, "A", "G", 180, 19, 1), record(2, 1, "A", "C", 280, 19, 1)])
+    assert (p[1]["ref"], p[1]["alt"], p[1]["direction"], p[1]["n"]) == ("A", "G", "!+!", 200)
+
+
+def test_first_record_by_line(spark):
+    s = spark.createDataFrame([(*record(0, 1, "A", "G", 10, 80, 10), 5), (*record(0, 1, "T", "C", 80, 19, 1), 2)], SCHEMA + ", line int")
+    assert pooling.first_records(s).first()["ref"] == "T"
