@@ -187,10 +187,10 @@ def gene_map_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("name", "chrom", "start", F.col("end").alias("stop"))
 
 
-@query("condition_list", BASE + "SELECT chrom, pos, ref, alt FROM var WHERE part % 10 = 3")
+@query("condition_list", BASE + "SELECT chrom, pos, ref, alt FROM var")
 def condition_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Cohort(spark, sf_dir).variants
-    lines = v.groupBy((F.col("part") % 7).alias("g")).agg(F.array_join(F.collect_list(F.when(F.col("part") % 10 == 3, F.concat_ws(":", F.concat(F.lit("chr"), "chrom"), F.col("pos").cast("string"), "ref", "alt")).otherwise("plain")), " ").alias("value")).select("value")
+    lines = v.groupBy((F.col("part") % 7).alias("g")).agg(F.array_join(F.collect_list(F.concat(F.concat_ws(":", F.concat(F.lit("chr"), "chrom"), F.col("pos").cast("string"), "ref", "alt"), F.lit("\tplain"))), " ").alias("value")).select("value")
     return readers.read_conditions(spark, _text(lines, "conditions"))
 
 
@@ -252,9 +252,9 @@ def kinship_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
-@query("variant_list_file", BASE + "SELECT chrom, pos FROM var WHERE part % 3 = 1")
+@query("variant_list_file", BASE + "SELECT chrom, pos FROM var")
 def variant_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = Cohort(spark, sf_dir).variants.filter("part % 3 = 1").orderBy("chrom", "pos")
+    v = Cohort(spark, sf_dir).variants.orderBy("chrom", "pos")
     return readers.read_variant_list(spark, _text(v.select(F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.col("pos").cast("string")).alias("value")).coalesce(1), "variants"))
 
 
@@ -266,10 +266,15 @@ def _vcf(c: Cohort, study: int) -> str:
     return path
 
 
-@query("vcf_file", BASE + "SELECT chrom, pos, ref, alt, sample::VARCHAR AS sample, dose FROM gt WHERE study = 2 AND chrom = '7'")
+@query("vcf_file", BASE + "SELECT study, chrom, pos, ref, alt, sample::VARCHAR AS sample, dose FROM gt")
 def vcf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The carriers of one chromosome of a study's VCF."""
-    return readers.read_genotypes(spark, _vcf(Cohort(spark, sf_dir), 2), region="chr7").filter("dose > 0").select("chrom", "pos", "ref", "alt", "sample", "dose")
+    """The carriers that every study's VCF names."""
+    c, out = Cohort(spark, sf_dir), None
+    for k in range(STUDIES):
+        if c.sizes[k]:
+            g = readers.read_genotypes(spark, _vcf(c, k)).filter("dose > 0").select(F.lit(k).alias("study"), "chrom", "pos", "ref", "alt", "sample", "dose")
+            out = g if out is None else out.unionByName(g)
+    return out
 
 
 @query("study_program", BASE + f""",

@@ -280,15 +280,16 @@ def group_missing_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MAP = """,
-map AS (SELECT gene AS name, chrom, min(pos) AS start, max(pos) AS stop, min(part) AS ord FROM var WHERE part % 3 = 0 GROUP BY gene, chrom)
+map AS (SELECT gene AS name, chrom, min(pos) AS start, (min(pos) + (max(pos) - min(pos)) // 3)::INTEGER AS stop, min(part) AS ord FROM var GROUP BY gene, chrom)
 """
 
 
 def _gene_map(c: Cohort) -> DataFrame:
+    """A gene holds the first third of its variants' extent, so that some variants lie in none."""
     from ..sources.readers import merge_gene_extents
 
-    rows = c.variants.filter("part % 3 = 0").select(F.col("gene").alias("name"), "chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), F.col("part").alias("no"))
-    return merge_gene_extents(rows)
+    rows = c.variants.select(F.col("gene").alias("name"), "chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), F.col("part").alias("no"))
+    return merge_gene_extents(rows).withColumn("end", (F.col("start") + F.floor((F.col("end") - F.col("start")) / 3)).cast("int"))
 
 
 @query("gene_map", BASE + MAP + "SELECT name, chrom, start, stop, ord FROM map")
@@ -421,14 +422,16 @@ pan AS (
   SELECT v.part, v.chrom, v.pos, v.ref, v.alt, s.population % 3 AS pop, sum(dose) / (2.0 * any_value(z.n)) AS af
   FROM gt JOIN var v USING (part) JOIN smp s USING (sample) JOIN (SELECT population % 3 AS pop, count(*) AS n FROM smp GROUP BY 1) z ON z.pop = s.population % 3 GROUP BY ALL),
 pw AS (
-  SELECT part, coalesce(max(af) FILTER (pop = 0), 0) AS f0, coalesce(max(af) FILTER (pop = 1), 0) AS f1, coalesce(max(af) FILTER (pop = 2), 0) AS f2 FROM pan WHERE part % 7 <> 0 GROUP BY part)
+  SELECT part, coalesce(max(af) FILTER (pop = 0), 0) AS f0, coalesce(max(af) FILTER (pop = 1), 0) AS f1, coalesce(max(af) FILTER (pop = 2), 0) AS f2 FROM pan WHERE part IN (SELECT part FROM gt GROUP BY part HAVING count(*) >= 25) GROUP BY part)
 """
 
 
 def _panel(c: Cohort) -> DataFrame:
+    """The panel has the variants with 25 carriers or more."""
     pops = c.samples.select("sample", (F.col("population") % 3).alias("pop"))
     n = pops.groupBy("pop").agg(F.count(F.lit(1)).alias("n"))
-    g = c.carriers.filter("part % 7 <> 0").join(pops, "sample").groupBy("chrom", "pos", "ref", "alt", "pop").agg(F.sum("dose").alias("g")).join(F.broadcast(n), "pop").withColumn("f", F.col("g") / (2.0 * F.col("n")))
+    often = c.carriers.groupBy("part").agg(F.count(F.lit(1)).alias("carriers")).filter("carriers >= 25")
+    g = c.carriers.join(often, "part", "left_semi").join(pops, "sample").groupBy("chrom", "pos", "ref", "alt", "pop").agg(F.sum("dose").alias("g")).join(F.broadcast(n), "pop").withColumn("f", F.col("g") / (2.0 * F.col("n")))
     f = [F.coalesce(F.max(F.when(F.col("pop") == k, F.col("f"))), F.lit(0.0)) for k in range(3)]
     return g.groupBy("chrom", "pos", "ref", "alt").agg(F.array(*f).alias("af"))
 
@@ -459,12 +462,12 @@ def panel_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("study", *[F.round(F.col("gamma")[i], 6).alias(f"g{i}") for i in range(3)])
 
 
-@query("corrected_frequencies", BASE + FIT + "SELECT m.study, chrom, pos, round(y - g0 * a - g1 * b - g2 * c, 6) AS af FROM m JOIN co USING (study)")
+@query("corrected_frequencies", BASE + FIT + "SELECT m.study, chrom, pos, round(y - g0 * a - g1 * b - g2 * c, 4) + 0.0 AS af FROM m JOIN co USING (study)")
 def corrected_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies less what the panel explains, of the sites that the panel has."""
     c = Cohort(spark, sf_dir)
     j = populations.with_panel(c.scores, _panel(c), 3, matched_only=True)
-    return populations.corrected_af(j, populations.panel_coefficients(j, 3)).select("study", "chrom", "pos", F.round("af_corrected", 6).alias("af"))
+    return populations.corrected_af(j, populations.panel_coefficients(j, 3)).select("study", "chrom", "pos", (F.round("af_corrected", 4) + F.lit(0.0)).alias("af"))
 
 
 @query("matched_by_distance", BASE + FIT + "SELECT study, chrom, pos FROM m WHERE abs(y - (a + b + c) / 3) <= 0.004 AND least(y, 1 - y) BETWEEN 0.005 AND 0.5")
