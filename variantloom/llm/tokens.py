@@ -17,7 +17,7 @@ from .words import batch_words
 #: Pieces of these characters split at letters, digits and the rest alike in any context.
 _PLAIN = re.compile(r"(?!.*<\|)[A-Za-z0-9À-ÖØ-öø-ÿĀ-įı-ž!-&(-/:-@\[-`{-~]+")
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ž]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ž0-9]+")
-KEPT = 200_000  # strings a worker keeps of each kind: some tens of MB
+KEPT = 500_000  # strings a worker keeps of each kind: some tens of MB
 
 
 class _Table:
