@@ -111,13 +111,13 @@ cvs AS (
 """
 
 
-@query("covariance_files", BASE + COV_SQL + "SELECT study, chrom, pos, pos2, round(cov, 9) AS cov FROM cvs")
+@query("covariance_files", BASE + COV_SQL + "SELECT study, chrom, pos, pos2, round(cov, 9) + 0.0 AS cov FROM cvs")
 def covariance_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covariance files of the dense, compact and six-column layouts, told apart by their headers."""
     return rounded(readers.read_cov(spark, _studies(Cohort(spark, sf_dir), True)), 9)
 
 
-@query("covariance_region", BASE + COV_SQL + "SELECT study, chrom, pos, pos2, round(cov, 9) AS cov FROM cvs WHERE chrom = '5' AND pos >= 100000 AND pos2 <= 900000")
+@query("covariance_region", BASE + COV_SQL + "SELECT study, chrom, pos, pos2, round(cov, 9) + 0.0 AS cov FROM cvs WHERE chrom = '5' AND pos >= 100000 AND pos2 <= 900000")
 def covariance_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(readers.read_cov(spark, _studies(Cohort(spark, sf_dir), True), "chr5:100000-900000"), 9)
 

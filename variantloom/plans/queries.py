@@ -80,7 +80,8 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6, but: list[str] = ()) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in but else F.col(c) for c, t in df.dtypes])
+    """Doubles to so many places, zero without a sign."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" and c not in but else F.col(c) for c, t in df.dtypes])
 
 
 def p_sql(chisq: str) -> str:
