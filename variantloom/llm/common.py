@@ -36,6 +36,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Delete the files that ``df``, a table from :func:`materialize`, reads; whatever still reads them fails."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
     """Arrow batches of at most ``mb`` MB from here on in this session, so that long texts don't fill Python workers and executors."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")

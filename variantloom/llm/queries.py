@@ -138,6 +138,46 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .part_codes import compress, with_label_errors
+
+    found = compress(read(spark, sf_dir, "embeddings"), label_col="label")
+    rows = with_label_errors(found.rows).withColumn("codebooks_sha256", F.lit(found.sha256))
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds in full, each from all rows: entries ``b``, parts told ``t``."""
+    gap = "list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    told = """
+t{n} AS MATERIALIZED (
+  SELECT x.no, x.p, arg_min(b.e, {d} * 1024 + b.e) AS e, min({d})::BIGINT AS far
+  FROM x JOIN b{n} AS b ON x.p = b.p GROUP BY x.no, x.p)"""
+    moved = """
+b{next} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{n} AS b LEFT JOIN (
+    SELECT p, e, list(mean ORDER BY i) AS v FROM (
+      SELECT x.p, t.e, u.i, floor(sum(x.v[u.i])::DOUBLE / count(*))::BIGINT AS mean
+      FROM x JOIN t{n} AS t ON x.no = t.no AND x.p = t.p CROSS JOIN (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM x))) AS i) AS u
+      GROUP BY x.p, t.e, u.i) GROUP BY p, e) AS m ON b.p = m.p AND b.e = m.e)"""
+    steps = [f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS no, vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT no, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM k CROSS JOIN (SELECT unnest(range({parts})) AS p)),
+b0 AS MATERIALIZED (SELECT p, no - 1 AS e, v FROM x WHERE no <= {entries})"""]
+    for n in range(rounds):
+        steps += [told.format(n=n, d=gap), moved.format(n=n, next=n + 1)]
+    steps.append(told.format(n=rounds, d=gap))
+    return ",".join(steps) + f""",
+c AS (
+  SELECT k.vec_id, k.label, string_agg(lpad(lower(to_hex(t.e)), 2, '0'), '' ORDER BY t.p) AS code, sum(t.far)::BIGINT AS error
+  FROM k JOIN t{rounds} AS t ON k.no = t.no GROUP BY k.no, k.vec_id, k.label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM c
+"""
+
+
 QUERIES = {
     "op3_context_tree_score": op3_context_tree_score,
     "op4_toxicity": op4_toxicity,
@@ -149,5 +189,6 @@ QUERIES = {
     "op1_cross_polytope_search": op1_cross_polytope_search,
     "op2_mix_sources": op2_mix_sources,
     "op10_hamming_topk": op10_hamming_topk,
+    "op13_part_codes": op13_part_codes,
 }
-ORACLES = {"op2_mix_sources": OP2_SQL, "op10_hamming_topk": OP10_SQL}
+ORACLES = {"op2_mix_sources": OP2_SQL, "op10_hamming_topk": OP10_SQL, "op13_part_codes": _op13_sql()}
