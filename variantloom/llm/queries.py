@@ -138,6 +138,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import find_runs
+
+    return find_runs(read(spark, sf_dir, "documents"), repeat_tails=True, texts_out=False).withColumnRenamed("id", "doc_id")
+
+
 def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .part_codes import compress, with_label_errors
 
@@ -189,6 +195,7 @@ QUERIES = {
     "op1_cross_polytope_search": op1_cross_polytope_search,
     "op2_mix_sources": op2_mix_sources,
     "op10_hamming_topk": op10_hamming_topk,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_part_codes": op13_part_codes,
 }
 ORACLES = {"op2_mix_sources": OP2_SQL, "op10_hamming_topk": OP10_SQL, "op13_part_codes": _op13_sql()}
