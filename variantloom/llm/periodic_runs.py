@@ -199,8 +199,8 @@ def _scan(shortest: int, times: int, repeat_tails: bool, texts_out: bool, at_onc
         for found in own:
             found.sort(key=lambda r: (r[0], r[2]))
         ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(words, pa.large_string()).take(pa.array(numbers[keep])))
-        return own, pc.binary_join(lists, " ").to_pylist()
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.large_string()).take(pa.array(numbers[keep])))
+        return own, pc.binary_join(lists, pa.scalar(" ", pa.large_string())).to_pylist()
 
     def run(batches):
         for batch in batches:

@@ -138,6 +138,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_edits
+
+    return fingerprint_edits(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import find_runs
 
@@ -195,6 +201,7 @@ QUERIES = {
     "op1_cross_polytope_search": op1_cross_polytope_search,
     "op2_mix_sources": op2_mix_sources,
     "op10_hamming_topk": op10_hamming_topk,
+    "op11_weighted_fingerprints": op11_weighted_fingerprints,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_part_codes": op13_part_codes,
 }

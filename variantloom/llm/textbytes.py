@@ -52,6 +52,11 @@ def chunks(data: np.ndarray, offsets: np.ndarray, depth: int, most: int):
 
 def word_hashes(x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(63-bit hashes of the words, text of each)."""
+    return spans(x, begin)[:2]
+
+
+def spans(x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(63-bit hashes of the words, text of each, first byte, byte after the last)."""
     space = _SPACE[x]
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     last = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
@@ -69,4 +74,4 @@ def word_hashes(x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
         h ^= h >> np.uint64(27)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
-    return h >> np.uint64(1), np.searchsorted(begin, first, "right") - 1
+    return h >> np.uint64(1), np.searchsorted(begin, first, "right") - 1, first, last
