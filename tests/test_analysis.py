@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from dense import SpectralModel, variance_components
 from variantloom.operators import annotate, bandjoin, conditional, genes, kinship, nullmodels
 
 
@@ -100,8 +101,8 @@ def test_mixed_models_and_logistic(spark):
     k = a @ a.T / 200
     y = np.linalg.cholesky(k + 1e-6 * np.eye(80)) @ rng.normal(size=80) + rng.normal(size=80)
     x = np.ones((80, 1))
-    m = nullmodels.SpectralModel(y, x, k).fit()
-    v = nullmodels.variance_components(y, x, [k])
+    m = SpectralModel(y, x, k).fit()
+    v = variance_components(y, x, [k])
     assert abs(m["log_likelihood"] - v["log_likelihood"]) < 1e-3
     df = spark.createDataFrame([(float(i < 30),) for i in range(100)], "y double")
     from pyspark.sql import functions as F
@@ -140,3 +141,45 @@ def test_loci_move_with_their_best(spark):
 def test_inverse_normal_ties(spark):
     r = nullmodels.inverse_normal(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", None)], "g string, y double"), "y", ["g"]).collect()
     assert sorted(x["rank_q"] for x in r if x["rank_q"]) == [0.5 / 3, 2 / 3, 2 / 3]
+
+
+def test_kinship_of_many_blocks(spark):
+    """Blocks of three samples, and several blocks of markers."""
+    rng = np.random.default_rng(7)
+    g = rng.binomial(2, 0.2, (11, 30)).astype(float)
+    p = g.mean(axis=0) / 2
+    rows = [("1", j, f"s{i}", float(g[i, j])) for i in range(11) for j in range(30) if g[i, j]]
+    markers = spark.createDataFrame([("1", j, float(p[j])) for j in range(30)], "chrom string, pos int, af double")
+    people = spark.createDataFrame([(f"s{i}",) for i in range(11)], "sample string")
+    z = (g - 2 * p) / np.sqrt(2 * p * (1 - p))
+    dense, both = z @ z.T / 30, (g > 0).astype(int) @ (g > 0).T.astype(int)
+    from variantloom.operators import tiles
+
+    for columns in (tiles.COLUMNS, 7):
+        tiles.COLUMNS, before = columns, tiles.COLUMNS
+        got = kinship.grm(spark.createDataFrame(rows, "chrom string, pos int, sample string, dose double"), markers, people, common=True, block=3).collect()
+        tiles.COLUMNS = before
+        assert sorted((r["a"], r["b"]) for r in got) == sorted((a, b) for a in (f"s{i}" for i in range(11)) for b in (f"s{i}" for i in range(11)) if a <= b)
+        for r in got:
+            i, j = int(r["a"][1:]), int(r["b"][1:])
+            assert abs(r["k"] - dense[i, j]) < 1e-9 and r["common"] == both[i, j]
+    assert kinship.grm(spark.createDataFrame(rows, "chrom string, pos int, sample string, dose double"), markers.limit(0), people).count() == 0
+
+
+def test_band_products_against_brute_force(spark):
+    from variantloom.operators import tiles
+
+    rng = np.random.default_rng(5)
+    cells = {(g, int(p), int(s)): float(rng.integers(-2, 3)) or 1.0 for g in "ab" for p in rng.integers(-50, 400, 40) for s in rng.integers(0, 25, 6)}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "g string, pos int, sample int, x double")
+    want = {}
+    for (g, p, s), v in cells.items():
+        for (h, q, t), w in cells.items():
+            if g == h and s == t and 0 <= q - p <= 60:
+                want[g, p, q] = want.get((g, p, q), 0.0) + v * w
+    for columns, chunk in ((tiles.COLUMNS, tiles.CHUNK), (5, 3)):
+        before = tiles.COLUMNS, tiles.CHUNK
+        tiles.COLUMNS, tiles.CHUNK = columns, chunk
+        got = {(r["g"], r["pos"], r["pos2"]): r["product"] for r in tiles.band_products(df, ["g"], "pos", "sample", "x", 60, 25).collect()}
+        tiles.COLUMNS, tiles.CHUNK = before
+        assert got == want

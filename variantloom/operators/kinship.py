@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tiles import pair_products
+
 
 def kinship_markers(summary: DataFrame, least_maf: float = 0.05, most_missing: float = 0.05) -> DataFrame:
     """chrom, pos, af of the variants to build from."""
@@ -12,32 +14,28 @@ def kinship_markers(summary: DataFrame, least_maf: float = 0.05, most_missing: f
     return summary.filter((maf >= least_maf) & (1 - F.col("call_rate") <= most_missing)).select("chrom", "pos", F.col("all_af").alias("af"))
 
 
-def grm(nonzero: DataFrame, markers: DataFrame, samples: DataFrame, by_variance: bool = False, shared_only: bool = False) -> DataFrame:
-    """(a, b, k), a <= b, for every pair of ``samples``: mean over markers of (x_a - 2p)(x_b - 2p) / (2p(1-p)); missing genotypes count as dose 0 rows are absent.
+def grm(nonzero: DataFrame, markers: DataFrame, samples: DataFrame, by_variance: bool = False, common: bool = False, block: int = 512) -> DataFrame:
+    """(a, b, k), a <= b, for every pair of ``samples``: mean over markers of (x_a - 2p)(x_b - 2p) / (2p(1-p)); rows of dose 0 are absent.
 
     From carriers alone: with w = 1/(2p(1-p)), the sum is S_ab - L_a - L_b + C where S sums
-    w x_a x_b over common carriers, L sums 2 p w x_a and C sums 4 p^2 w. Markers with many
-    carriers make many sample pairs, which is what a kinship matrix is; rare ones make few.
-    ``by_variance`` divides by the sample variance of the marker (X chromosome).
-    ``shared_only`` leaves out pairs without a common carrier, whose S is 0 but whose value is
-    (C - L_a - L_b) / markers, not 0.
+    w x_a x_b over common carriers, L sums 2 p w x_a and C sums 4 p^2 w. S is worked out in
+    tiles, blocks of samples by blocks of markers. ``by_variance`` divides by the marker's
+    column ``variance`` (X chromosome). A missing genotype counts as the marker's mean 2p:
+    give it that dose. ``common`` adds the number of markers that both carry. No markers give
+    no pairs.
     """
     p = F.col("af")
     var = F.col("variance") if by_variance else 2 * p * (1 - p)
     m = markers.withColumn("w", 1 / var)
-    x = nonzero.join(m, ["chrom", "pos"]).select("chrom", "pos", "sample", "dose", "af", "w")
-    facts = m.agg(F.count(F.lit(1)).alias("markers"), F.sum(4 * p * p * F.col("w")).alias("c"))
-    own = x.groupBy("sample").agg(F.sum(2 * p * F.col("w") * F.col("dose")).alias("l"))
-    own = samples.select("sample").distinct().join(own, "sample", "left").withColumn("l", F.coalesce("l", F.lit(0.0)))
-    two = x.select("chrom", "pos", F.col("sample").alias("b"), F.col("dose").alias("dose_b"))
-    s = x.withColumnRenamed("sample", "a").join(two, ["chrom", "pos"]).filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("dose") * F.col("dose_b")).alias("s"))
+    x = nonzero.join(m, ["chrom", "pos"]).select(F.concat_ws(":", "chrom", "pos").alias("marker"), "sample", (F.col("dose") * F.sqrt("w")).alias("x"), (2 * p * F.col("w") * F.col("dose")).alias("l"))
+    facts = m.agg(F.count(F.lit(1)).alias("markers"), F.coalesce(F.sum(4 * p * p * F.col("w")), F.lit(0.0)).alias("c")).first()
+    people = samples.select("sample").distinct()
+    if not facts["markers"]:
+        return people.select(F.col("sample").alias("a"), F.col("sample").alias("b"), F.lit(None).cast("double").alias("k"), *([F.lit(0).cast("long").alias("common")] if common else [])).limit(0)
+    own = people.join(x.groupBy("sample").agg(F.sum("l").alias("l")), "sample", "left").withColumn("l", F.coalesce("l", F.lit(0.0)))
+    s = pair_products(x.join(people, "sample", "left_semi"), people, "sample", "marker", "x", people.count(), facts["markers"], block)
     la, lb = own.select(F.col("sample").alias("a"), F.col("l").alias("la")), own.select(F.col("sample").alias("b"), F.col("l").alias("lb"))
-    if shared_only:
-        j = s.join(la, "a").join(lb, "b")
-    else:
-        j = la.join(lb, F.col("a") <= F.col("b")).join(s, ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    j = j.join(F.broadcast(facts), F.lit(True))
-    return j.select("a", "b", ((F.col("s") - F.col("la") - F.col("lb") + F.col("c")) / F.col("markers")).alias("k"))
+    return s.join(la, "a").join(lb, "b").select("a", "b", ((F.col("product") - F.col("la") - F.col("lb") + F.lit(facts["c"])) / F.lit(facts["markers"])).alias("k"), *(["common"] if common else []))
 
 
 def pedigree_kinship(samples: DataFrame, x_linked: bool = False, male: int = 1) -> DataFrame:

@@ -64,6 +64,41 @@ class Cohort:
         facts = s.groupBy("study").agg(F.avg("y").alias("m"), F.var_pop("y").alias("sigma2"))
         return s.join(F.broadcast(facts), "study").select("study", "sample", (F.col("y") - F.col("m")).alias("r"), "sigma2", "is_case")
 
+    @property
+    def family_samples(self) -> DataFrame:
+        """study, famid, sample, y, xs of the samples as families: sixteen customers in a row who share a study are sisters and brothers."""
+        famid = F.concat_ws("_", "study", F.floor(F.col("sample") / 16))
+        return self.samples.select("study", famid.alias("famid"), "sample", "y", F.array(F.lit(1.0)).alias("xs"))
+
+    @property
+    def family_people(self) -> DataFrame:
+        """famid, pid, father, mother, sex, zygosity: the pedigree, whose founders have neither trait nor genotypes."""
+        s = self.family_samples
+        none = F.lit(None).cast("string").alias("zygosity")
+        children = s.select("famid", F.col("sample").cast("string").alias("pid"), F.lit("father").alias("father"), F.lit("mother").alias("mother"), (1 + F.col("sample") % 2).cast("int").alias("sex"), none)
+        founders = s.select("famid").distinct().select("famid", F.explode(F.array(*[F.struct(F.lit(n).alias("pid"), F.lit(x).alias("sex")) for n, x in (("father", 1), ("mother", 2))])).alias("p"))
+        return children.unionByName(founders.select("famid", "p.pid", F.lit("0").alias("father"), F.lit("0").alias("mother"), "p.sex", none))
+
+    def family_kinship(self, x_linked: bool = False) -> DataFrame:
+        """study, famid, a, b, k of the samples, from the pedigree."""
+        from ..operators.families import with_blocks
+        from ..operators.kinship import pedigree_kinship
+
+        k = pedigree_kinship(self.family_people, x_linked).select(F.element_at(F.split("famid", "_"), 1).cast("int").alias("study"), "famid", F.col("a").try_cast("long").alias("a"), F.col("b").try_cast("long").alias("b"), "k")
+        return with_blocks(self.family_samples, k.filter("a is not null and b is not null"), ["study"])
+
+    @cached_property
+    def family_rotation(self) -> DataFrame:
+        from ..operators.families import rotations
+
+        return written(rotations(self.family_kinship(), ["study"]), "rotation")
+
+    @cached_property
+    def family_fit(self) -> DataFrame:
+        from ..operators.families import fit_mixed, rotated
+
+        return fit_mixed(rotated(self.family_rotation, self.family_samples, 1, ["study"]), 1, ["study"])
+
     @staticmethod
     def turned() -> Column:
         return (F.col("part") + F.col("study")) % 5 == 0
@@ -121,6 +156,14 @@ class Cohort:
         facts = self.residuals.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.max("sigma2").alias("sigma2"))
         return written(ld_covariance(self.carriers.select("study", "sample", "chrom", "pos", "dose"), facts, ["study"]), "covariance")
 
+    @cached_property
+    def kept_covariance(self) -> DataFrame:
+        """The covariances of the genes' variants alone."""
+        from ..operators.genotypes import ld_covariance
+
+        facts = self.residuals.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.max("sigma2").alias("sigma2"))
+        return ld_covariance(self.carriers.select("study", "sample", "chrom", "pos", "dose"), facts, ["study"], only=self.kept)
+
     @property
     def decisions(self) -> DataFrame:
         """study, chrom, pos, sign of records that entered with statistics."""
@@ -144,4 +187,4 @@ class Cohort:
     def gene_cov(self) -> DataFrame:
         from ..operators.genes import gene_covariance
 
-        return written(gene_covariance(self.kept, self.covariance, self.oriented, dict(enumerate(self.sizes))), "gene-cov")
+        return written(gene_covariance(self.kept, self.kept_covariance, self.oriented, dict(enumerate(self.sizes))), "gene-cov")

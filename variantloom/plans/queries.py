@@ -395,8 +395,8 @@ l AS (SELECT sample, sum(2 * p * w * dose) AS l FROM x GROUP BY sample)
 SELECT a.sample AS a, b.sample AS b, round((sum(a.w * a.dose * b.dose) - any_value(la.l) - any_value(lb.l) + (SELECT sum(4 * p * p * w) FROM m2)) / (SELECT count(*) FROM m2), 9) AS k
 FROM x a JOIN x b ON a.part = b.part AND a.sample <= b.sample JOIN l la ON la.sample = a.sample JOIN l lb ON lb.sample = b.sample GROUP BY a.sample, b.sample""")
 def kinship_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with a common carrier, as the SQL has them; kinship_matrix has all."""
-    return _kinship(spark, sf_dir, True)
+    """The pairs with a common carrier: close relatives and those alike by a rare variant are among them; kinship_matrix has all."""
+    return _kinship(Cohort(spark, sf_dir), True).filter("common > 0").drop("common")
 
 
 @query("kinship_matrix", BASE + """,
@@ -408,14 +408,13 @@ s AS (SELECT a.sample AS a, b.sample AS b, sum(a.w * a.dose * b.dose) AS s FROM
 SELECT la.sample AS a, lb.sample AS b, round((coalesce(s.s, 0) - la.l - lb.l + (SELECT sum(4 * p * p * w) FROM m2)) / (SELECT count(*) FROM m2), 9) AS k
 FROM l la JOIN l lb ON la.sample <= lb.sample LEFT JOIN s ON s.a = la.sample AND s.b = lb.sample""")
 def kinship_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kinship(spark, sf_dir, False)
+    return _kinship(Cohort(spark, sf_dir))
 
 
-def _kinship(spark: SparkSession, sf_dir: str, shared_only: bool) -> DataFrame:
-    c = Cohort(spark, sf_dir)
+def _kinship(c: Cohort, common: bool = False) -> DataFrame:
     total = float(max(1, sum(c.sizes)))
     af = c.carriers.groupBy("chrom", "pos").agg((F.sum("dose") / (2 * total)).alias("all_af")).withColumn("call_rate", F.lit(1.0))
-    return rounded(kinship.grm(c.carriers, kinship.kinship_markers(af, 0.005), c.samples, shared_only=shared_only), 9)
+    return rounded(kinship.grm(c.carriers, kinship.kinship_markers(af, 0.005), c.samples, common=common), 9)
 
 
 PANEL = """,
