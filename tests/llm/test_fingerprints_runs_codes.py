@@ -163,7 +163,7 @@ def test_samples_are_those_of_every_word_by_itself():
         best = None
         for w, weight in weights(text).items():
             r, log_c, b = (x[0] for x in draws(np.array([hashes[w]]), k))
-            t = math.floor(math.log(weight) / r + b)
+            t = math.floor(np.float32(math.log(weight)) / r + b)
             value = log_c - r * (t - b) - r
             if best is None or value < best[0]:
                 best = value, w, weight

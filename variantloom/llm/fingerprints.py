@@ -25,13 +25,14 @@ from .textbytes import bytes_of, chunks, spans
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_HALF = np.uint64(0xFFFFFFFF)
-_SIGN = np.uint64(1 << 63)
+_BITS = np.uint64((1 << 24) - 1)
 _CODE = np.uint64(0xFFFF)
+_RUN = 1 << 14  # words whose draws are worked out at once: they stay in the processor's cache
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(30))
+    """The hashes mixed, in place."""
+    h ^= h >> np.uint64(30)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
@@ -39,20 +40,49 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers in (0, 1] of each hash."""
-    return ((h >> np.uint64(32)).astype(np.float64) + 1.0) * 2.0**-32, ((h & _HALF).astype(np.float64) + 1.0) * 2.0**-32
+def _logs(h: np.ndarray) -> np.ndarray:
+    """-ln(u v), Gamma(2, 1), of two numbers in (0, 1] of 24 bits each."""
+    u = (h & _BITS).astype(np.float32)
+    u += np.float32(1)
+    v = ((h >> np.uint64(24)) & _BITS).astype(np.float32)
+    v += np.float32(1)
+    u *= v
+    u *= np.float32(2.0**-48)
+    np.log(u, out=u)
+    return np.maximum(np.negative(u, out=u), np.float32(1e-7), out=u)
 
 
 def draws(words: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(r, ln c, b) that each word (a hash) draws for ``sample``."""
+    """(r, ln c, b) that each word (a hash) draws for ``sample``, in single precision."""
     with np.errstate(over="ignore"):
-        base = words + _SEED * np.uint64(3 * sample + 1)
-        u1, u2 = _halves(_mixed(base))
-        u3, u4 = _halves(_mixed(base + _STEP))
-        b = (_mixed(base + _STEP + _STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-    r = -np.log(u1 * u2)
-    return np.maximum(r, 1e-12), np.log(np.maximum(-np.log(u3 * u4), 1e-300)), b
+        one = _mixed(words + _SEED * np.uint64(2 * sample + 1))
+        two = _mixed(words + (_SEED * np.uint64(2 * sample + 1) ^ _STEP))
+    b = (((one >> np.uint64(48)) << np.uint64(8)) | (two >> np.uint64(56))).astype(np.float32)
+    b *= np.float32(2.0**-24)
+    log_c = _logs(two)
+    return _logs(one), np.log(log_c, out=log_c), b
+
+
+def _ranked(words: np.ndarray, log_w: np.ndarray, sample: int) -> np.ndarray:
+    """For words of given log weights a number each, in the order of ln a, whose low 16 bits tell (word, t)."""
+    r, value, b = draws(words, sample)
+    t = log_w / r
+    t += b
+    np.floor(t, out=t)
+    value -= r
+    np.subtract(t, b, out=b)
+    b *= r
+    value -= b
+    with np.errstate(over="ignore"):
+        code = t.astype(np.int64).view(np.uint64)
+        code *= _STEP
+        code += np.uint64(sample)
+        code ^= words
+        code = _mixed(code) >> np.uint64(48)
+    bits = value.view(np.int32)
+    bits ^= (bits >> np.int32(31)) & np.int32(0x7FFFFFFF)  # in the order of the floats
+    order = (bits.astype(np.int64) + (1 << 31)).view(np.uint64)
+    return (order << np.uint64(16)) | code
 
 
 def sampled(owner: np.ndarray, words: np.ndarray, amount: np.ndarray, owners: int, samples: int) -> np.ndarray:
@@ -68,19 +98,16 @@ def sampled(owner: np.ndarray, words: np.ndarray, amount: np.ndarray, owners: in
     doc, term = each // len(kinds), each % len(kinds)
     weight = counts * size[term]
     # words of equal weight have equal values: those are worked out once
-    pair, inverse = np.unique(term * (int(weight.max()) + 1) + weight, return_inverse=True)
-    pair_term, log_w = pair // (int(weight.max()) + 1), np.log(pair % (int(weight.max()) + 1))
+    most = int(weight.max()) + 1
+    pair, inverse = np.unique(term * most + weight, return_inverse=True)
+    pair_word, log_w = kinds[pair // most], np.log(pair % most).astype(np.float32)
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    pair_word = kinds[pair_term]
+    own = doc[first]
+    key = np.zeros(len(pair), dtype=np.uint64)
     for k in range(samples):
-        r, log_c, b = (x[pair_term] for x in draws(kinds, k))
-        t = np.floor(log_w / r + b)
-        value = (log_c - r * (t - b) - r).view(np.uint64)
-        value = np.where(value & _SIGN, ~value, value | _SIGN)  # in the order of the floats
-        with np.errstate(over="ignore"):
-            code = _mixed(pair_word ^ (t.astype(np.int64).view(np.uint64) * _STEP + np.uint64(k))) >> np.uint64(48)
-        key = (value & ~_CODE) | code
-        out[doc[first], k] = (np.minimum.reduceat(key[inverse], first) & _CODE).astype(np.uint16)
+        for a in range(0, len(pair), _RUN):
+            key[a : a + _RUN] = _ranked(pair_word[a : a + _RUN], log_w[a : a + _RUN], k)
+        out[own, k] = (np.minimum.reduceat(key[inverse], first) & _CODE).astype(np.uint16)
     return out
 
 
@@ -104,22 +131,23 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
-_COLUMNS = "id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_COLUMNS = "id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
-def _rows(ids, own, texts, others, samples):
-    """The result's columns for documents and the documents after them."""
+def _rows(ids, texts, changed, own, after, both):
+    """The result's columns: documents, their texts, edited texts, fingerprints, those of the documents after them and of the edited texts."""
     import pyarrow as pa
 
-    changed = [edited(t, o) for t, o in zip(texts, others)]
-    both = fingerprints_of(changed, samples)
-    return own, both, [
+    share = lambda x, y: pa.array((x == y).mean(axis=1) if len(x) else [], pa.float64())
+    flat = lambda x: pa.array([f.tobytes() for f in x], pa.binary())
+    return [
         pa.array(ids, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
-        pa.array([f.tobytes() for f in own], pa.binary()),
-        pa.array([f.tobytes() for f in both], pa.binary()),
-        pa.array((own == both).mean(axis=1) if len(own) else [], pa.float64()),
+        pa.array([hashlib.sha256(t.encode()).digest() for t in changed], pa.binary()),
+        flat(own),
+        flat(both),
+        share(own, both),
+        share(own, after),
     ]
 
 
@@ -137,8 +165,9 @@ def _in_order(samples: int, at_once: int = 1 << 22):
         held = None  # the last row so far: id, text, fingerprint
 
         def end(place, row):
-            n = pa.nulls(1, pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.nulls(1, pa.int64()), n, pa.array([row[2].tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([row[1]], pa.string())], names)
+            none = lambda kind: pa.nulls(1, kind)
+            told = [pa.array([row[0]], pa.int64()), none(pa.int64()), none(pa.binary()), pa.array([row[2].tobytes()], pa.binary()), none(pa.binary()), none(pa.float64()), none(pa.float64())]
+            return pa.RecordBatch.from_arrays([*told, pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([row[1]], pa.string())], names)
 
         for batch in batches:
             group = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // at_once
@@ -147,17 +176,19 @@ def _in_order(samples: int, at_once: int = 1 << 22):
                 if a == b:
                     continue
                 ids, texts = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
-                prints = fingerprints_of(texts, samples)
+                fresh, every = len(texts), texts if held is None else [held[1], *texts]
+                changed = [edited(t, o) for t, o in zip(every[:-1], every[1:])]
+                found = fingerprints_of(texts + changed, samples)  # both at once: they share most words
+                prints, both = found[:fresh], found[fresh:]
                 if held is None:
                     yield end(0, (ids[0], texts[0], prints[0]))
                 else:
-                    ids, texts, prints = [held[0], *ids], [held[1], *texts], np.concatenate([held[2][None], prints])
-                held = ids[-1], texts[-1], prints[-1]
-                if len(ids) > 1:
-                    own, _, columns = _rows(ids[:-1], prints[:-1], texts[:-1], texts[1:], samples)
-                    near = pa.array((own == prints[1:]).mean(axis=1), pa.float64())
-                    n = len(ids) - 1
-                    yield pa.RecordBatch.from_arrays([*columns, near, pa.array([part] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names)
+                    ids, prints = [held[0], *ids], np.concatenate([held[2][None], prints])
+                held = ids[-1], every[-1], prints[-1]
+                n = len(ids) - 1
+                if n:
+                    columns = _rows(ids[:-1], every[:-1], changed, prints[:-1], prints[1:], both)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names)
         if held is not None:
             yield end(1, held)
 
@@ -174,8 +205,8 @@ def _ends(samples: int):
         for batch in batches:
             ids, texts, own, others, nexts = (c.to_pylist() for c in batch.columns)
             array = lambda x: np.frombuffer(b"".join(x), dtype=np.uint16).reshape(len(x), samples)
-            _, _, columns = _rows(ids, array(own), texts, others, samples)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array((array(own) == array(nexts)).mean(axis=1) if len(ids) else [], pa.float64())], names)
+            changed = [edited(t, o) for t, o in zip(texts, others)]
+            yield pa.RecordBatch.from_arrays(_rows(ids, texts, changed, array(own), array(nexts), fingerprints_of(changed, samples)), names)
 
     return run
 
@@ -222,4 +253,4 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         tails = found.filter("place = 1").select("id", "text", "fingerprint", "part").join(F.broadcast(after), "part").join(heads, "next_part")
         done = done.unionByName(tails.select("id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(_ends(samples), _COLUMNS))
     text = lambda c: F.lower(F.hex(c)).alias(c)
-    return done.select("id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
+    return done.select("id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
