@@ -102,6 +102,7 @@ class WorkerOptions:
     kin_save: bool = False
     kin_maf: float = 0.05
     kin_miss: float = 0.05
+    kin_least: float = 0.0
     x_label: str = "X"
     x_start: int = 2_699_520
     x_end: int = 154_931_044
@@ -130,6 +131,15 @@ class WorkerOptions:
             raise OptionError("one source of kinship at most")
         if (self.vc_x or self.separate_x) and not (self.kin_pedigree or self.kin_geno or self.kin_file):
             raise OptionError("a variance component of the X needs kinship")
+        if self.kin_file and (self.vc_x or self.separate_x) and not self.kinx_file:
+            raise OptionError("a kinship file needs kinx_file for the X")
+        if self.kinx_file and not self.kin_file:
+            raise OptionError("kinx_file goes with kin_file")
+        if (self.kin_save or self.kin_only) and not (self.kin_geno and self.prefix):
+            raise OptionError("kin_save and kin_only need kin_geno, whose matrix they write, and a prefix")
+        unheeded = [n for n in ("zip", "thin", "label_hits", "gene_map", "split_uv", "new_format", "debug") if getattr(self, n)]
+        if unheeded or self.cpu != 1:
+            raise OptionError(f"not rebuilt: {', '.join(unheeded) or 'cpu'} (compression, plots and threads are the cluster's and the caller's)")
         if self.recessive and self.dominant:
             raise OptionError("recessive and dominant exclude each other")
         if self.x_start > self.x_end or self.male_label == self.female_label or self.ld_window < 0:

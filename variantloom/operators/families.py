@@ -39,6 +39,25 @@ def with_blocks(samples: DataFrame, kinship: DataFrame, by: list[str], block: st
     return inside.unionByName(lone.select(*by, block, F.col("sample").alias("a"), F.col("sample").alias("b"), F.lit(0.5).alias("k")))
 
 
+def relative_blocks(samples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sample, famid): ``samples`` grouped by chains of ``pairs`` (a, b); a block is named by its smallest member.
+
+    Every round a sample takes the smallest name among its own, its relatives' and that name's
+    own name, so that names travel twice as far each time.
+    """
+    edges = pairs.filter("a <> b").select("a", "b")
+    edges = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "relatives")
+    named = written(samples.select("sample", F.col("sample").alias("famid")).distinct(), "blocks")
+    while True:
+        near = edges.join(named.select(F.col("sample").alias("b"), "famid"), "b").groupBy(F.col("a").alias("sample")).agg(F.min("famid").alias("near"))
+        least = named.join(near, "sample", "left").select("sample", F.col("famid").alias("old"), F.least("famid", "near").alias("name"))
+        above = named.select(F.col("sample").alias("name"), F.col("famid").alias("above"))
+        told = written(least.join(above, "name", "left").select("sample", "old", F.least("name", "above").alias("famid")), "blocks")
+        named = told.select("sample", "famid")
+        if told.filter("old <> famid").isEmpty():
+            return named
+
+
 def rotations(kinship: DataFrame, by: list[str], block: str = "famid", most: int = 5000) -> DataFrame:
     """by, block, i, sample, d, u: the eigenvectors u of twice the kinship of each block and their eigenvalues d.
 

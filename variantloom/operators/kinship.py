@@ -5,13 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .tiles import pair_products
 
 
-def kinship_markers(summary: DataFrame, least_maf: float = 0.05, most_missing: float = 0.05) -> DataFrame:
-    """chrom, pos, af of the variants to build from."""
+def kinship_markers(summary: DataFrame, least_maf: float = 0.05, most_missing: float = 0.05, x_label: str = "X", on_x: bool = False) -> DataFrame:
+    """chrom, pos, af of the variants to build from: common enough, called enough, on the X or off it, and their place's only variant.
+
+    On the X the marker's variance (column ``variance`` of ``summary``) comes along, and markers
+    that don't vary fall out.
+    """
     maf = F.least("all_af", 1 - F.col("all_af"))
-    return summary.filter((maf >= least_maf) & (1 - F.col("call_rate") <= most_missing)).select("chrom", "pos", F.col("all_af").alias("af"))
+    place = (F.col("chrom") == x_label) if on_x else (F.col("chrom") != x_label)
+    found = summary.filter((maf >= least_maf) & (1 - F.col("call_rate") <= most_missing) & place)
+    if "alt" in summary.columns:
+        found = found.join(summary.groupBy("chrom", "pos").agg(F.count(F.lit(1)).alias("here")).filter("here = 1").drop("here"), ["chrom", "pos"], "left_semi")
+    found = found.select("chrom", "pos", F.col("all_af").alias("af"), *(["variance"] if on_x else []))
+    return found.filter("variance > 0") if on_x else found
+
+
+def marker_summary(calls: DataFrame) -> DataFrame:
+    """chrom, pos, ref, alt, all_af, call_rate, variance of ``calls`` (a row for every sample; null dose is missing)."""
+    return calls.groupBy("chrom", "pos", "ref", "alt").agg((F.avg("dose") / 2).alias("all_af"), (F.count("dose") / F.count(F.lit(1))).alias("call_rate"), F.var_pop("dose").alias("variance"))
+
+
+def empirical_kinship(calls: DataFrame, samples: DataFrame, least_maf: float = 0.05, most_missing: float = 0.05, x_label: str = "X", on_x: bool = False) -> DataFrame:
+    """(a, b, k), a <= b, from the genotypes of ``calls``; on the X, where males count 0 or 2, divided by each marker's own variance.
+
+    Missing genotypes count as the marker's mean. No marker that qualifies raises.
+    """
+    markers = written(kinship_markers(marker_summary(calls), least_maf, most_missing, x_label, on_x), "kinship-markers")
+    if markers.isEmpty():
+        raise ValueError(f"no marker qualifies for the kinship matrix{' of the X' if on_x else ''}")
+    filled = calls.join(markers.select("chrom", "pos", "af"), ["chrom", "pos"]).withColumn("dose", F.coalesce("dose", 2 * F.col("af"))).filter("dose > 0")
+    return grm(filled.select("chrom", "pos", "sample", "dose"), markers, samples, by_variance=on_x)
 
 
 def grm(nonzero: DataFrame, markers: DataFrame, samples: DataFrame, by_variance: bool = False, common: bool = False, block: int = 512) -> DataFrame:

@@ -11,8 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import MetaOptions, OptionError, WorkerOptions
-from ..operators import annotate, conditional, genes, genotypes, nullmodels, pooling, populations
+from ..config import MetaOptions, WorkerOptions
+from ..operators import annotate, conditional, families, genes, genotypes, kinship, nullmodels, pooling, populations
 from ..operators import samples as people_of
 from ..sources import readers, writers
 from ..sources.shared import written
@@ -32,6 +32,7 @@ class StudyRun:
     summary: dict
     beta: list[float]
     sigma2: float
+    variances: dict = field(default_factory=dict)
 
 
 def _study_genotypes(spark: SparkSession, o: WorkerOptions, people: DataFrame) -> DataFrame:
@@ -50,18 +51,22 @@ def _study_genotypes(spark: SparkSession, o: WorkerOptions, people: DataFrame) -
 
 
 def study_runs(spark: SparkSession, options: WorkerOptions) -> list[StudyRun]:
-    """A run per trait of a study of unrelated samples: screening, null model, score test and covariances within the window.
+    """A run per trait of a study: screening, null model, score test and covariances within the window.
 
-    Kinship options raise: the mixed models of operators.nullmodels are fitted on given matrices.
+    Without kinship the samples count as unrelated. With it (from the pedigree, the genotypes or
+    a file) a mixed model is fitted on the rotation of its blocks; variants of the X have a model
+    of their own if a component of the X is asked for.
     """
     o = options.checked()
-    if o.kin_pedigree or o.kin_geno or o.kin_file:
-        raise OptionError("runs from files are for unrelated samples; see nullmodels.SpectralModel and related_scores")
     people = readers.read_pedigree(spark, o.ped, o.dat)
     calls = written(_study_genotypes(spark, o, people), "calls")
+    related = _kinship(spark, o, people, calls)
+    if o.kin_only:
+        return []
     if o.variant_list:
         calls = readers.look_up(calls, readers.read_variant_list(spark, o.variant_list))
-    screened = people_of.screened(people, calls.select("sample").distinct(), None, o.merged_vcf_id)
+    known = related.auto.select("a", "b") if related and not o.kin_pedigree else None
+    screened = people_of.screened(people, calls.select("sample").distinct(), known, o.merged_vcf_id)
     covariates = [name for kind, name in readers.read_dat(spark, o.dat) if kind == "C"] if o.use_covariates else []
     runs = []
     for trait in readers.trait_names(spark, people, o.trait_name):
@@ -80,11 +85,133 @@ def study_runs(spark: SparkSession, options: WorkerOptions) -> list[StudyRun]:
             r = r.join(F.broadcast(r.groupBy("study").agg(F.var_pop("r").alias("sigma2"))), "study")
         r = written(r.select("study", "sample", "r", "sigma2", "y", (F.col("father") == "0").alias("founder")), "residuals")
         facts = fit.first()
-        runs.append(_one_trait(o, trait, calls, s, r, facts))
+        model = _mixed_model(o, related, s, r) if related else None
+        runs.append(_one_trait(o, trait, calls, s, r, facts, model))
     return runs
 
 
-def _one_trait(o: WorkerOptions, trait: str, calls: DataFrame, s: DataFrame, r: DataFrame, facts) -> StudyRun:
+@dataclass
+class Relatives:
+    """Blocks of relatives (sample, famid) and, within them, half of the covariance matrices (famid, a, b, k): of the autosomes, of the X."""
+
+    blocks: DataFrame
+    auto: DataFrame
+    x: DataFrame | None = None
+
+
+def _kinship(spark: SparkSession, o: WorkerOptions, people: DataFrame, calls: DataFrame) -> Relatives | None:
+    """Kinship by the options: of pedigrees by families; of genotypes or a file by chains of pairs of ``kin_least`` or more, or in one block."""
+    on_x = o.vc_x or o.separate_x
+    if o.kin_pedigree:
+        name = lambda c: F.concat_ws("_", "famid", c) if o.merged_vcf_id else F.col(c)
+        adopted = people.filter("zygosity = '999'").select("famid", "pid")
+        own = lambda c: adopted.withColumnRenamed("pid", c)
+
+        def table(x_linked: bool) -> DataFrame:
+            k = kinship.pedigree_kinship(people, x_linked, o.male_label)
+            apart = k.filter("a <> b").join(own("a"), ["famid", "a"], "left_anti").join(own("b"), ["famid", "b"], "left_anti")
+            return written(k.filter("a = b").unionByName(apart).select("famid", name("a").alias("a"), name("b").alias("b"), "k"), "kinship")
+
+        blocks = people.select(people_of.sample_id(o.merged_vcf_id).alias("sample"), "famid")
+        return Relatives(blocks, table(False), table(True) if on_x else None)
+    if not (o.kin_geno or o.kin_file):
+        return None
+    genotyped = calls.select("sample").distinct()
+
+    def matrix(path: str | None, x: bool) -> DataFrame:
+        if path:
+            return written(readers.read_kinship(spark, path), "kinship")
+        low = written(kinship.empirical_kinship(calls, genotyped, o.kin_maf, o.kin_miss, o.x_label, x), "kinship")
+        if o.kin_save or o.kin_only:
+            names = [r["sample"] for r in genotyped.orderBy("sample").collect()]
+            writers.write_kinship(low.select(F.col("b").alias("a"), F.col("a").alias("b"), "k"), names, f"{o.prefix}.Empirical.{'KinshipX' if x else 'Kinship'}")
+        return low.unionByName(low.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "k"))
+
+    whole = {x: matrix(o.kinx_file if x else o.kin_file, x) for x in ([False, True] if on_x else [False])}
+    if o.kin_least > 0:
+        near = None
+        for k in whole.values():
+            near = k.filter(F.abs("k") >= o.kin_least) if near is None else near.unionByName(k.filter(F.abs("k") >= o.kin_least))
+        blocks = families.relative_blocks(whole[False].select(F.col("a").alias("sample")).distinct(), near)
+    else:
+        blocks = whole[False].select(F.col("a").alias("sample"), F.lit("all").alias("famid")).distinct()
+    blocks = written(blocks, "blocks")
+
+    def inside(k: DataFrame) -> DataFrame:
+        a, b = blocks.withColumnRenamed("sample", "a"), blocks.select(F.col("sample").alias("b"), "famid")
+        return written(k.join(a, "a").join(b, ["b", "famid"]).select("famid", "a", "b", (F.col("k") / 2).alias("k")), "kinship")
+
+    return Relatives(blocks, inside(whole[False]), inside(whole[True]) if on_x else None)
+
+
+@dataclass
+class MixedModel:
+    """Whitening and samples (see operators.families) of the autosomes and, if it has its own model, of the X; the estimates."""
+
+    white: DataFrame
+    people: DataFrame
+    white_x: DataFrame | None
+    people_x: DataFrame | None
+    beta: list[float]
+    variances: dict
+
+
+def _mixed_model(o: WorkerOptions, related: Relatives, s: DataFrame, r: DataFrame) -> MixedModel:
+    by = ["study"]
+    own = s.join(related.blocks, "sample")
+    if o.make_residuals:  # the residuals are the trait
+        own = own.drop("y").join(r.select("sample", F.col("r").alias("y")), "sample").withColumn("xs", F.array(F.lit(1.0)))
+    else:
+        own = own.withColumn("xs", F.concat(F.array(F.lit(1.0)), F.col("xs")))
+    own = written(own.select("study", "famid", "sample", "y", "xs"), "family-samples")
+    first = own.first()
+    k = len(first["xs"]) if first else 1
+    table = lambda x: families.with_blocks(own, x.withColumn("study", F.lit(0)), by)
+
+    def spectral(x: DataFrame):
+        rotation = written(families.rotations(table(x), by), "rotation")
+        fit = families.fit_mixed(families.rotated(rotation, own, k, by), k, by)
+        return families.whitening(rotation, fit, by), fit
+
+    white, fit = spectral(related.auto)
+    facts = fit.first()
+    told = {"Sigma_g2_Hat": facts["s2g"], "Sigma_e2_Hat": facts["s2e"]} if facts else {}
+    white, people = written(white, "white"), written(families.whitened_samples(white, own, fit, by), "white-samples")
+    white_x = people_x = None
+    if related.x is not None:
+        if o.separate_x:
+            white_x, fit_x = spectral(related.x)
+            f = fit_x.first()
+            told |= {"Xheritability": f["h2"]} if f else {}
+        else:
+            tables = [table(related.auto), table(related.x)]
+            fit_x = written(families.variance_components(own, tables, k, by), "components")
+            white_x = families.component_whitening(own, tables, fit_x, by)
+            f = fit_x.first()
+            total = sum(f["variances"]) if f else 0.0
+            told |= {"AutosomalHeritability": f["variances"][0] / total, "Xheritability": f["variances"][1] / total} if total else {}
+        white_x, people_x = written(white_x, "white-x"), written(families.whitened_samples(white_x, own, fit_x, by), "white-x-samples")
+    return MixedModel(white, people, white_x, people_x, [float(b) for b in facts["beta"]] if facts else [], told)
+
+
+def _related_statistics(o: WorkerOptions, filled: DataFrame, m: MixedModel) -> tuple[DataFrame, DataFrame]:
+    """Scores and covariances of related samples, the X's by its own model if there is one."""
+    by, found = ["study"], []
+    sets = [(filled, m.white, m.people)]
+    if m.white_x is not None:
+        on_x = F.col("chrom") == o.x_label
+        sets = [(filled.filter(~on_x), m.white, m.people), (filled.filter(on_x), m.white_x, m.people_x)]
+    for own, white, people in sets:
+        cells = written(families.whitened_genotypes(own, white, by), "white-genotypes")
+        scores = written(families.related_scores(own, white, people, by, cells=cells), "related-scores")
+        found.append((scores, families.related_covariance(cells, scores, people, by, o.ld_window)))
+    scores, cov = found[0]
+    for s, c in found[1:]:
+        scores, cov = scores.unionByName(s), cov.unionByName(c)
+    return scores, cov
+
+
+def _one_trait(o: WorkerOptions, trait: str, calls: DataFrame, s: DataFrame, r: DataFrame, facts, mixed: MixedModel | None = None) -> StudyRun:
     n = int(facts["n"]) if facts else 0
     sigma2 = float(r.agg(F.max("sigma2")).first()[0] or 0.0)
     own = calls.join(r.select("study", "sample", "founder"), "sample")
@@ -95,7 +222,13 @@ def _one_trait(o: WorkerOptions, trait: str, calls: DataFrame, s: DataFrame, r:
     # a missing genotype is its variant's mean, which is 0 once centred
     filled = coded.join(mean, ["study", *genotypes.SITE]).withColumn("dose", F.coalesce("dose", "mean")).filter("dose > 0").select("study", *genotypes.SITE, "sample", "dose")
     filled = written(filled, "nonzero")
-    u = genotypes.score_table(genotypes.sparse_scores(filled, r, ["study"])).select("study", *genotypes.SITE, "u", "sqrt_v", "effect", "chisq")
+    if mixed:
+        stats, cov = _related_statistics(o, filled, mixed)
+    else:
+        stats = genotypes.sparse_scores(filled, r, ["study"])
+        groups = r.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.max("sigma2").alias("sigma2"))
+        cov = genotypes.ld_covariance(filled.select("study", "sample", "chrom", "pos", "dose"), groups, ["study"], o.ld_window)
+    u = genotypes.score_table(stats).select("study", *genotypes.SITE, "u", "sqrt_v", "effect", "chisq")
     case = None
     if o.print_case_ac:
         case = own.join(r.select("sample", "y"), "sample").groupBy("study", *genotypes.SITE).agg(F.sum(F.when(F.col("y") == 1, F.col("dose"))).cast("int").alias("case_ac"), F.sum(F.when(F.col("y") == 0, F.col("dose"))).cast("int").alias("control_ac"))
@@ -109,17 +242,16 @@ def _one_trait(o: WorkerOptions, trait: str, calls: DataFrame, s: DataFrame, r:
         "study", *genotypes.SITE, F.col("n").cast("int").alias("n_informative"), "founder_af", "all_af", "alt_ac", "call_rate", "hwe_p", *[F.col(c).cast("int").alias(c) for c in ("n_ref", "n_het", "n_alt")],
         fill("u"), fill("sqrt_v"), "effect", chi2_p(F.col("chisq")).alias("p"), *(["case_ac", "control_ac"] if case is not None else []),
     )
-    groups = r.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.max("sigma2").alias("sigma2"))
-    cov = genotypes.ld_covariance(filled.select("study", "sample", "chrom", "pos", "dose"), groups, ["study"], o.ld_window)
     five = nullmodels.five_numbers(s, "y", ["study"]).first()
     five = five.asDict() if five else dict.fromkeys(("min", "q25", "median", "q75", "max", "mean", "variance"), 0.0)
-    return StudyRun(trait, scores, cov, n, five, [float(b) for b in facts["beta"]] if facts else [], sigma2)
+    beta = mixed.beta if mixed else [float(b) for b in facts["beta"]] if facts else []
+    return StudyRun(trait, scores, cov, n, five, beta, sigma2, mixed.variances if mixed else {})
 
 
 def write_study(run: StudyRun, path: str, layout: str = "native", cov_layout: str = "dense", digits: int = 6) -> tuple[str, str]:
     """(score path, covariance path) of a run's files."""
     scores, cov = f"{path}.{run.trait}.singlevar.score.txt", f"{path}.{run.trait}.singlevar.cov.txt"
-    writers.write_scores(run.scores, scores, run.samples, run.trait, run.summary, layout, digits)
+    writers.write_scores(run.scores, scores, run.samples, run.trait, run.summary, layout, digits, run.variances)
     writers.write_cov(run.covariance.drop("study"), cov, cov_layout)
     return scores, cov
 

@@ -84,9 +84,11 @@ SCORE_NAMES = ["CHROM", "POS", "REF", "ALT", "N_INFORMATIVE", "FOUNDER_AF", "ALL
 CASE_NAMES = ["caseAC", "controlAC"]
 
 
-def write_scores(scores: DataFrame, path: str, samples: int, trait: str, summary: dict, layout: str = "native", digits: int = 6) -> None:
+def write_scores(scores: DataFrame, path: str, samples: int, trait: str, summary: dict, layout: str = "native", digits: int = 6, variances: dict | None = None) -> None:
     """A study's score file: preface with the trait's five numbers, mean and variance, column names, records in chromosome order.
 
+    ``variances`` (name to value) of a mixed model get a preface line each.
+
     ``scores`` has the columns of the native layout (see readers.NATIVE_SCORE), and case_ac and
     control_ac if they are known; the rvtests layout has no preface and one frequency.
     """
@@ -99,6 +101,7 @@ def write_scores(scores: DataFrame, path: str, samples: int, trait: str, summary
     keys = ("min", "q25", "median", "q75", "max", "mean", "variance")
     row = "\t".join([trait, *(f"{summary[k]:.{digits}g}" for k in keys)])
     head = [f"AnalyzedSamples={samples}", "TraitSummaries\tmin\t25th\tmedian\t75th\tmax\tmean\tvariance", row]
+    head += [f"{name}\t{value:.{digits}g}" for name, value in (variances or {}).items()]
     body = scores.select(*columns)
     order = [*chrom_order(), "pos"]
     if layout == "native":
