@@ -161,10 +161,45 @@ def hwe_exact(hets, hom1, hom2) -> np.ndarray:
     return np.array(out)
 
 
+def _mixture_far_tail(q: float, w: np.ndarray) -> float:
+    """P(sum of w * chi-square(1) > q) for q above the mean, with a small relative error however small it is.
+
+    The tail is the integral of exp(K(s) - s q) / s, K the cumulant function, along any line
+    that crosses the real axis between 0 and K's first singularity 1 / (2 max w). It is taken
+    through the saddle point K'(s) = q, where nothing cancels, and along a parabola that bends
+    round the cut to the right, where exp(-s q) makes it fall off; the trapezoid rule then
+    converges exponentially.
+    """
+    edge = 0.5 / w.max()
+    low, high = 0.0, edge * (1 - 1e-15)
+    for _ in range(200):
+        mid = 0.5 * (low + high)
+        if (w / (1 - 2 * w * mid)).sum() < q:
+            low = mid
+        else:
+            high = mid
+    # not too near the pole at 0, which the steps must not feel either
+    at = max(0.5 * (low + high), min(0.2 * edge, 2 / math.sqrt(2 * (w * w).sum())))
+    gap = edge - at
+    bend, step = 0.25 / gap, min(gap / 24, at / 5, 0.25 / math.sqrt(2 * (w * w / (1 - 2 * w * at) ** 2).sum()))
+    peak = -0.5 * np.log1p(-2 * w * at).sum() - at * q
+    total, size = 0.0, 512
+    for a in range(0, 200_000, size):
+        u = (np.arange(a, a + size) + 0.5) * step
+        s = at + bend * u * u + 1j * u
+        k = -0.5 * np.log(1 - 2 * s[:, None] * w[None]).sum(axis=1) - s * q - peak
+        part = (np.exp(k) / s * (2 * bend * u + 1j)).imag
+        total += float(part.sum())
+        if np.abs(part[-64:]).max() * size < 1e-17 * abs(total):
+            break
+    return math.exp(peak) * total * step / math.pi
+
+
 def chi2_mixture_tail(q: float, weights, accuracy: float = 1e-6, most: int = 4_000_000) -> float:
     """P(sum of weights * chi-square(1) > q) by numerical inversion of the characteristic function.
 
-    Midpoint sums: the step keeps the aliased tail small; they end where what is left of the
+    Above the mean by :func:`_mixture_far_tail`, to about ten digits at any depth (down to the
+    smallest double). Below it by midpoint sums: the step keeps the aliased tail small; they end where what is left of the
     integral is below ``accuracy``. There the c weights with w u > 1 each make the integrand
     fall at least by the fourth root of u, so the rest is below 4 / (pi c damp).
     """
@@ -176,6 +211,8 @@ def chi2_mixture_tail(q: float, weights, accuracy: float = 1e-6, most: int = 4_0
     w, q = w / w.max(), q / w.max()
     if len(w) == 1:
         return float(chi2_tail_1(q)[0])
+    if q > w.sum():
+        return _mixture_far_tail(q, w)
     mean, sd = w.sum(), math.sqrt(2 * (w**2).sum())
     step = 2 * math.pi / (q + mean + 8 * sd + 40)
     total, size = 0.0, 1024
@@ -257,30 +294,93 @@ def normal_quantile_fast(p: np.ndarray) -> np.ndarray:
     return x
 
 
-def mvn_box(limit: np.ndarray, r: np.ndarray, points: int = 50_000, shifts: int = 10, seed: int = 1) -> float:
-    """P(|Z_i| <= limit_i for all i) for correlation ``r``: separated variables over a shifted lattice."""
-    r, n = nearest_correlation(np.asarray(r, dtype=np.float64)), len(limit)
-    limit = np.asarray(limit, dtype=np.float64)
+def _root(r: np.ndarray) -> np.ndarray:
+    """A lower triangular square root; ``r`` may be singular."""
     value, vector = np.linalg.eigh(r)
-    root = np.linalg.qr(((vector * np.sqrt(np.maximum(value, 0))).T))[1].T
-    m = max(100, points // shifts // min(20, max(1, n)))
-    lattice = np.arange(1, m + 1)[:, None] * np.sqrt(_primes(n))[None]
-    rng = np.random.default_rng(seed)
-    u = np.abs(2 * ((lattice[None] + rng.random((shifts, 1, n))) % 1) - 1).reshape(shifts * m, n)
-    p, y = np.ones(len(u)), np.zeros((len(u), n))
-    for i in range(n):
-        ahead, scale = y[:, :i] @ root[i, :i], root[i, i]
-        if abs(scale) < 1e-10:
-            p = p * (np.abs(ahead) <= limit[i] + 1e-9)
-            continue
-        low, high = normal_cdf((-limit[i] - ahead) / abs(scale)), normal_cdf((limit[i] - ahead) / abs(scale))
-        p = p * np.maximum(high - low, 0)
-        y[:, i] = np.sign(scale) * normal_quantile_fast(np.clip(low + u[:, i] * (high - low), 1e-300, 1 - 1e-16))
-    return float(p.mean())
+    return np.linalg.qr((vector * np.sqrt(np.maximum(value, 0))).T)[1].T
+
+
+def mvn_box_error(limit: np.ndarray, r: np.ndarray, accuracy: float = 5e-5, relative: float = 2e-3, most: int = 1_000_000, shifts: int = 10, seed: int = 1) -> tuple[float, float]:
+    """(P(|Z_i| <= limit_i for all i), error) for correlation ``r``: separated variables over a shifted lattice.
+
+    The error is three standard errors over the shifts. Points are doubled until it is below
+    ``accuracy`` or below ``relative`` times the complement; past ``most`` points what is reached is told.
+    """
+    limit, n = np.asarray(limit, dtype=np.float64), len(limit)
+    root = _root(nearest_correlation(np.asarray(r, dtype=np.float64)))
+    primes, rng = np.sqrt(_primes(n)), np.random.default_rng(seed)
+    start = rng.random((shifts, 1, n))
+    sums, done, m = np.zeros(shifts), 0, 500
+    while True:
+        for a in range(done, m, 4000):
+            b = min(m, a + 4000)
+            lattice = np.arange(a + 1, b + 1)[:, None] * primes[None]
+            u = np.abs(2 * ((lattice[None] + start) % 1) - 1).reshape(shifts * (b - a), n)
+            p, y = np.ones(len(u)), np.zeros((len(u), n))
+            for i in range(n):
+                ahead, scale = y[:, :i] @ root[i, :i], root[i, i]
+                if abs(scale) < 1e-10:
+                    p = p * (np.abs(ahead) <= limit[i] + 1e-9)
+                    continue
+                low, high = normal_cdf((-limit[i] - ahead) / abs(scale)), normal_cdf((limit[i] - ahead) / abs(scale))
+                p = p * np.maximum(high - low, 0)
+                y[:, i] = np.sign(scale) * normal_quantile_fast(np.clip(low + u[:, i] * (high - low), 1e-300, 1 - 1e-16))
+            sums += p.reshape(shifts, b - a).sum(axis=1)
+        done = m
+        value = sums / m
+        error = 3 * float(value.std(ddof=1)) / math.sqrt(shifts)
+        if error <= max(accuracy, relative * (1 - value.mean())) or shifts * m >= most:
+            return float(value.mean()), error
+        m *= 2
+
+
+def mvn_box(limit: np.ndarray, r: np.ndarray, **settings) -> float:
+    """P(|Z_i| <= limit_i for all i); see :func:`mvn_box_error`."""
+    return mvn_box_error(limit, r, **settings)[0]
+
+
+def mvn_any(limit: float, r: np.ndarray, relative: float = 3e-3, most: int = 1_000_000, seed: int = 1) -> tuple[float, float]:
+    """(P(|Z_i| >= limit for any i), error) for correlation ``r``, with a small relative error however small it is.
+
+    Importance sampling over the union: one i is picked, Z is drawn given |Z_i| >= limit, and
+    counts n p1 / (how many exceed the limit), which lies between p1, the chance of one, and
+    n p1. The error is three standard errors; draws are doubled until it is below ``relative``
+    times the probability.
+    """
+    r = nearest_correlation(np.asarray(r, dtype=np.float64))
+    n, single = len(r), float(chi2_tail_1(limit * limit)[0])
+    if n == 1 or single == 0.0:
+        return single, 0.0
+    root, rng = _root(r), np.random.default_rng(seed)
+    count, first, second, m = 0, 0.0, 0.0, 8192
+    while True:
+        pick = np.arange(m) % n
+        one = np.sqrt(chi2_quantile_1_upper(single * (1 - rng.random(m))))
+        z = rng.normal(size=(m, n)) @ root.T
+        z += (one - z[np.arange(m), pick])[:, None] * r[pick]
+        z[np.arange(m), pick] = np.maximum(one, limit)
+        share = 1.0 / (np.abs(z) >= limit * (1 - 1e-12)).sum(axis=1)
+        count, first, second = count + m, first + share.sum(), second + (share * share).sum()
+        mean = first / count
+        error = 3 * math.sqrt(max(second / count - mean * mean, 0.0) / count) + 1.5 / count  # the last for what no draw has met
+        if error <= relative * mean or count >= most:
+            return min(1.0, n * single * mean), n * single * error
+        m = count
+
+
+def _square(x) -> np.ndarray:
+    x = np.asarray(x, dtype=np.float64)
+    return x.reshape(math.isqrt(len(x)), -1)
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions chi2_p, chi2_underflow, normal_quantile, chi2_upper_quantile, hwe_exact, mixture_p, liu_p, odds_ratio_factor."""
+    """SQL functions of this module.
+
+    chi2_p, chi2_underflow, chi2_upper_quantile, chi2_df_p(x, df), noncentral_chi2_p(x, df, shift),
+    normal_quantile, normal_cdf, beta_pdf(x, a, b), beta_cdf(x, a, b), beta_upto(p, a, b) (its quantile), hwe_exact,
+    mixture_p(q, weights), liu_p(q, weights), box_p(limits, correlations by rows), any_p(limit, correlations by rows),
+    sigmoid, odds_ratio(effect, mean).
+    """
     def udf(name: str, kind: str, f) -> None:
         spark.udf.register(name, F.pandas_udf(f, kind))
 
@@ -305,6 +405,44 @@ def register(spark: SparkSession) -> None:
     def liu(q: pd.Series, w: pd.Series) -> pd.Series:
         return pd.Series([liu_tail(a, b) for a, b in zip(q, w)])
 
+    def each(f):
+        """``f`` by rows; null where an argument is."""
+        def run(*columns: pd.Series) -> pd.Series:
+            return pd.Series([None if any(v is None or (isinstance(v, float) and math.isnan(v)) for v in row) else float(f(*row)) for row in zip(*columns)], dtype="float64")
+
+        return run
+
+    one, two, three = each(lambda x: normal_cdf(np.array([x]))[0]), {}, {}
+    two["chi2_df_p"], two["box_p"], two["any_p"] = each(chi2_tail), each(lambda x, r: mvn_box(np.asarray(x), _square(r))), each(lambda t, r: mvn_any(t, _square(r))[0])
+    two["odds_ratio"] = each(lambda b, m: math.exp(b / (m * (1 - m))))
+    three["noncentral_chi2_p"], three["beta_cdf"], three["beta_upto"] = each(noncentral_chi2_tail), each(beta_cdf), each(beta_quantile)
+    three["beta_pdf"] = each(lambda x, a, b: math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) * x ** (a - 1) * (1 - x) ** (b - 1))
+    one_more = each(lambda x: 1 / (1 + math.exp(-x)) if x > -700 else 0.0)
+
+    def unary(f):
+        def run(x: pd.Series) -> pd.Series:
+            return f(x)
+
+        return run
+
+    def binary(f):
+        def run(x: pd.Series, y: pd.Series) -> pd.Series:
+            return f(x, y)
+
+        return run
+
+    def ternary(f):
+        def run(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+            return f(x, y, z)
+
+        return run
+
+    udf("normal_cdf", "double", unary(one))
+    udf("sigmoid", "double", unary(one_more))
+    for name, f in two.items():
+        udf(name, "double", binary(f))
+    for name, f in three.items():
+        udf(name, "double", ternary(f))
     for name, kind, f in (("chi2_p", "double", chi2_p), ("chi2_underflow", "boolean", under), ("normal_quantile", "double", quantile), ("chi2_upper_quantile", "double", upper), ("hwe_exact", "double", hwe), ("mixture_p", "double", mixture), ("liu_p", "double", liu)):
         udf(name, kind, f)
 
