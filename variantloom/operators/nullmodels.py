@@ -10,9 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import element, value_ranks
+
 
 def inverse_normal(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """rank_q: (mean rank from 0 + 0.5) / n, and z: its normal quantile; ties share their mean rank. Null values have neither."""
@@ -27,20 +29,21 @@ def inverse_normal(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def rank_quantile(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    group = Window.partitionBy(*by)
-    ties = F.count(value).over(Window.partitionBy(*by, value))
-    rank = F.rank().over(group.orderBy(F.col(value).asc_nulls_last())) - 1
-    mean_rank = rank + (ties - 1) / 2.0
-    return df.withColumn("rank_q", F.when(F.col(value).isNotNull(), (mean_rank + 0.5) / F.count(value).over(group)))
+    r = value_ranks(df, value, by)
+    told = r.select(*[F.col(c).alias(f"rank_{c}") for c in by], F.col(value).alias("rank_value"), ((F.col("before") + (F.col("ties") - 1) / 2.0 + 0.5) / F.col("total")).alias("rank_q"))
+    same = F.col(value) == F.col("rank_value")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"rank_{c}"))
+    return df.join(told, same, "left").drop("rank_value", *[f"rank_{c}" for c in by])
 
 
 def five_numbers(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """by, n, min, q25, median, q75, max, mean, variance; quartiles are the elements n div 4, n div 2 and 3 (n div 4) of the sorted values."""
-    w = Window.partitionBy(*by)
-    r = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("x"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    quarter = F.floor(F.col("n") / 4)
-    at = lambda k: F.max(F.when(F.col("i") == k, F.col("x")))
-    return r.groupBy(*by).agg(F.max("n").alias("n"), F.min("x").alias("min"), at(quarter).alias("q25"), at(F.floor(F.col("n") / 2)).alias("median"), at(3 * quarter).alias("q75"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.variance("x").alias("variance"))
+    n = F.col("total")
+    quarter = F.floor(n / 4)
+    places = element(df, value, by, {"q25": quarter, "median": F.floor(n / 2), "q75": 3 * quarter}).drop("total")
+    rest = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.variance(value).alias("variance"))
+    return rest.join(places, by).select(*by, "n", "min", "q25", "median", "q75", "max", "mean", "variance")
 
 
 def gram(df: DataFrame, y: Column, xs: list[Column], by: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import element
+
 #: Reasons of exclusion.
 QC, ALLELES_MISSING, ALLELES_MISMATCH = 0, 1, 2
 
@@ -222,14 +224,9 @@ def study_chisq(sites: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """``by``, n, median: the element n div 2 (from 0) of the sorted values.
-
-    Found by rank, so no group is collected; a group is sorted by one task, which for a few
-    statistics per site and study stays far below a partition's size.
-    """
-    w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("x"), F.row_number().over(w.orderBy(value)).alias("nth"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.filter(F.col("nth") == F.floor(F.col("n") / 2) + 1).select(*by, "n", F.col("x").alias("median"))
+    """``by``, n, median: the element n div 2 (from 0) of the sorted values, by ranks of the distinct ones."""
+    m = element(df, value, by, {"median": F.floor(F.col("total") / 2)})
+    return m.select(*by, F.col("total").alias("n"), "median")
 
 
 GC_MEDIAN = 0.456

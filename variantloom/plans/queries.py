@@ -329,7 +329,7 @@ s AS ({STATS}), r AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom O
 SELECT chrom, pos, round(chisq, 6) AS chisq, rank::INTEGER AS rank, round((rank - 0.5) / n, 9) AS expected FROM r""")
 def qq_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = annotate.qq_points(pooling.single_variant(Cohort(spark, sf_dir).pooled).select("chrom", F.col("pos"), "chisq"), by=["chrom"])
-    return q.toDF("chrom", "chrom_2", "pos", "chisq", "rank", "expected").select("chrom", "pos", F.round("chisq", 6).alias("chisq"), "rank", F.round("expected", 9).alias("expected"))
+    return q.select("chrom", "pos", F.round("chisq", 6).alias("chisq"), F.col("rank").cast("int").alias("rank"), F.round("expected", 9).alias("expected"))
 
 
 @query("manhattan_points", BASE + f""",

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running
+
 MISSING = ("NA", "na", "NaN", "nan", ".", "x", "X", "")
 
 #: Columns of a native score file, in order; rvtests files hold one AF column in place of two.
@@ -162,8 +164,8 @@ def parse_compact_cov(lines: DataFrame, order_col: str) -> DataFrame:
     """
     keys = [c for c in lines.columns if c not in ("value", order_col)]
     t = lines.filter(~F.col("value").startswith("#") & ~F.upper("value").startswith("CHROM")).withColumn("t", tokens("value"))
-    at = Window.partitionBy(*keys, "chrom").orderBy(order_col)
-    rows = t.select(*keys, order_col, chrom_name(F.get("t", 0)).alias("chrom"), F.get("t", 1).cast("int").alias("pos"), F.get("t", 2).cast("int").alias("e"), F.get("t", 3).alias("v")).withColumn("row", F.row_number().over(at))
+    rows = t.select(*keys, order_col, chrom_name(F.get("t", 0)).alias("chrom"), F.get("t", 1).cast("int").alias("pos"), F.get("t", 2).cast("int").alias("e"), F.get("t", 3).alias("v"))
+    rows = running(rows, [*keys, "chrom"], [order_col], before="row").drop("total")
     parts = rows.select(*keys, "chrom", "pos", "row", "e", F.posexplode(F.filter(F.split("v", ","), lambda x: x != "")).alias("nth", "token"))
     told = F.get(F.split("token", ":"), 1).try_cast("int")
     run = Window.partitionBy(*keys, "chrom", "pos", "row").orderBy("nth")

@@ -181,7 +181,9 @@ def compact_cov_rows(cov: DataFrame, digits: int = 3, floor: float = 0.01) -> Da
     """chrom, current_pos, exp, cov_matrices: mantissas of one shared exponent; those under ``floor`` of the row's largest are left out and the next one tells its offset."""
     from pyspark.sql import Window
 
-    row = cov.select("chrom", "pos").distinct().withColumn("row", F.row_number().over(Window.partitionBy("chrom").orderBy("pos")))
+    from ..operators.ranks import running
+
+    row = running(cov.select("chrom", "pos").distinct(), ["chrom"], ["pos"], before="row").drop("total")
     partner = row.select("chrom", F.col("pos").alias("pos2"), F.col("row").alias("row2"))
     x = cov.join(row, ["chrom", "pos"]).join(partner, ["chrom", "pos2"]).withColumn("offset", F.col("row2") - F.col("row"))
     top = F.max(F.abs("cov")).over(Window.partitionBy("chrom", "pos"))
