@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MetaOptions, WorkerOptions
 from ..operators import nullmodels, pooling
-from ..sources import readers, writers
+from ..sources import readers, store, writers
 from ..sources.shared import fresh_path
 from . import programs
 from .adapter import STUDIES, Cohort
@@ -277,6 +277,33 @@ def vcf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("score_store_region", BASE + """
+SELECT study, chrom, pos, round(CASE WHEN turned THEN -u ELSE u END, 6) AS u, round(sqrt(v), 6) AS sqrt_v FROM sco
+WHERE (chrom = '5' AND pos BETWEEN 100000 AND 900000) OR (chrom = '6' AND pos BETWEEN 1 AND 50000)""")
+def score_store_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two regions of all studies' records, kept as a store; only files that can hold them are opened."""
+    path = fresh_path(spark, "score-store")
+    store.write_store(readers.read_scores(spark, _studies(Cohort(spark, sf_dir))), path, 2000)
+    return rounded(store.read_region(spark, path, "5:100000-900000", "chr6:1-50000").select("study", "chrom", "pos", "u", "sqrt_v"))
+
+
+@query("score_store_sites", BASE + "SELECT study, chrom, pos, round(CASE WHEN turned THEN -u ELSE u END, 6) AS u FROM sco WHERE part IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7)")
+def score_store_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites of every order's seventh item, looked up in a store."""
+    c, path = Cohort(spark, sf_dir), fresh_path(spark, "score-store")
+    store.write_store(readers.read_scores(spark, _studies(c)), path, 2000)
+    sites = c.table("lineitem").filter("l_linenumber = 7").select(F.col("l_partkey").alias("part")).distinct().join(c.variants, "part").select("chrom", "pos")
+    return rounded(store.read_sites(spark, path, sites).select("study", "chrom", "pos", "u"))
+
+
+@query("covariance_store_region", BASE + COV_SQL + "SELECT study, chrom, pos, pos2, round(cov, 9) + 0.0 AS cov FROM cvs WHERE chrom = '5' AND pos >= 100000 AND pos <= 900000")
+def covariance_store_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of all studies' covariances, kept as a store."""
+    path = fresh_path(spark, "cov-store")
+    store.write_store(readers.read_cov(spark, _studies(Cohort(spark, sf_dir), True)), path, 20_000)
+    return rounded(store.read_region(spark, path, "5:100000-900000"), 9)
+
+
 @query("study_program", BASE + f""",
 s2 AS (SELECT * FROM smp WHERE study = 1 AND sample % 11 <> 0 AND sample IN (SELECT sample FROM gt)),
 f2 AS (SELECT count(*) AS n, avg(y) AS m, var_pop(y) AS sigma2 FROM s2),

@@ -362,7 +362,7 @@ def write_meta(run: MetaRun, options: MetaOptions) -> list[str]:
     control = {r["stratum"]: r["gc"] for r in run.control.collect()}
     footer = [f"Genomic Control for {k} is: {v:g}" for k, v in sorted(control.items())]
     path = f"{o.prefix}.meta.singlevar.results"
-    writers.write_table(run.single.select(*columns), path, writers.single_variant_header(len(run.sizes), sum(run.sizes)), footer, [names[c] for c in columns], order=order)
+    writers.write_table(run.single.select(*columns), path, writers.single_variant_header(len(run.sizes), sum(run.sizes)), footer, [names[c] for c in columns], order=order, single=False)
     out.append(path)
     if o.write_vcf:
         writers.write_vcf(run.pooled, f"{o.prefix}.pooled.variants.vcf")
@@ -372,10 +372,10 @@ def write_meta(run: MetaRun, options: MetaOptions) -> list[str]:
             continue
         rows, heads, end = writers.gene_table(result, run.summary, method, o.long_output)
         path = f"{o.prefix}.meta.{method}{'_' if method in ('VT', 'SKAT') else ''}.results"
-        writers.write_table(rows, path, writers.group_header(), names=heads, end=end, order=["gene"])
+        writers.write_table(rows, path, writers.group_header(), names=heads, end=end, order=["gene"], single=False)
         out.append(path)
         if o.tabulate_hits:
             rows, heads = writers.hit_table(result, run.summary, method, o.hits_cutoff, o.maf)
-            writers.write_table(rows, f"{o.prefix}.meta.tophits.{method}.tbl", names=heads, order=["gene"])
+            writers.write_table(rows, f"{o.prefix}.meta.tophits.{method}.tbl", names=heads, order=["gene"], single=False)
             out.append(f"{o.prefix}.meta.tophits.{method}.tbl")
     return out

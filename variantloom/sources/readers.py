@@ -25,8 +25,8 @@ def _text(spark: SparkSession, path) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line): lines with a struct that sorts as they stand in the file, whatever the splits it is read in."""
-    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("line"))
+    """(value, line): lines with a struct that sorts as they stand in the file, or the files of a folder by name, whatever the splits it is read in."""
+    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("line"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -242,7 +242,7 @@ def read_annotated_groups(spark: SparkSession, path: str, functions: list[str] |
 
 def read_gene_map(spark: SparkSession, path: str) -> DataFrame:
     """(name, chrom, start, end, ord) of a refFlat table: a gene stays on the chromosome of its first line; the extent covers all its lines there."""
-    t = _lines(spark, path).select("no", F.split("value", "\t").alias("t")).filter("size(t) > 5 and not startswith(t[0], '#')")
+    t = _numbered(spark, path).select(F.col("line").alias("no"), F.split("value", "\t").alias("t")).filter("size(t) > 5 and not startswith(t[0], '#')")
     rows = t.select("no", F.get("t", 0).alias("name"), chrom_name(F.get("t", 2)).alias("chrom"), F.get("t", 4).try_cast("int").alias("start"), F.get("t", 5).try_cast("int").alias("end")).filter(~F.col("chrom").startswith("Un"))
     return merge_gene_extents(rows)
 
@@ -320,9 +320,11 @@ def read_genotypes(spark: SparkSession, path: str, field: str = "GT", region: st
 
 def read_kinship(spark: SparkSession, path: str) -> DataFrame:
     """(a, b, k), both triangles, of a kinship file: sample ids, then the lower triangle by rows; ``nan`` raises."""
-    t = _lines(spark, path).filter("trim(value) <> ''").select("no", tokens("value").alias("t"))
-    ids = t.filter("no = 0").first()["t"]
-    rows = t.filter("no > 0").select(F.col("no").alias("row"), F.posexplode("t").alias("col", "x")).filter("col < row")
+    t = _numbered(spark, path).filter("trim(value) <> ''").select("line", tokens("value").alias("t"))
+    first = t.orderBy("line").first()
+    ids = first["t"]
+    # a row of the triangle is as long as its number
+    rows = t.filter(F.col("line") != F.struct(*[F.lit(v).alias(n) for n, v in first["line"].asDict().items()])).select(F.size("t").alias("row"), F.posexplode("t").alias("col", "x"))
     if not rows.filter("lower(x) = 'nan'").isEmpty():
         raise ValueError(f"{path} holds nan")
     names = F.array(*[F.lit(i) for i in ids])
@@ -332,9 +334,9 @@ def read_kinship(spark: SparkSession, path: str) -> DataFrame:
 
 def read_variant_list(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos) of a list that must ascend within each chromosome."""
-    rows = _lines(spark, path).select("no", tokens("value").alias("t")).filter("size(t) >= 2").select("no", chrom_name(F.get("t", 0)).alias("chrom"), F.get("t", 1).cast("int").alias("pos"))
-    back = rows.withColumn("prior", F.lag("pos").over(Window.partitionBy("chrom").orderBy("no"))).filter("prior > pos")
-    if not back.isEmpty():
+    rows = _numbered(spark, path).select("line", tokens("value").alias("t")).filter("size(t) >= 2").select("line", chrom_name(F.get("t", 0)).alias("chrom"), F.get("t", 1).cast("int").alias("pos"))
+    placed = running(running(rows, ["chrom"], ["line"], before="stands"), ["chrom"], ["pos", "line"], before="belongs")
+    if not placed.filter("stands <> belongs").isEmpty():
         raise ValueError(f"{path} isn't sorted by position within its chromosomes")
     return rows.select("chrom", "pos")
 

@@ -42,24 +42,47 @@ def text_rows(df: DataFrame, end: str = "", digits: int = 6) -> DataFrame:
     return df.select(F.concat(F.concat_ws("\t", *cols), F.lit(end)).alias("value"))
 
 
+def write_lines(body: DataFrame, path: str, head: list[str] = (), foot: list[str] = (), compression: str | None = None) -> None:
+    """A folder of text files which read in the order of their names are ``head``, the rows of ``body`` (column ``value``) as they stand, and ``foot``.
+
+    ``body`` is written by all its tasks; only head and foot, a few lines, are files of their own.
+    """
+    spark = body.sparkSession
+    packed = (lambda w: w.option("compression", compression)) if compression else (lambda w: w)
+    packed(body.write).text(path)
+    for lines, name in ((head, "0-head"), (foot, "z-foot")):
+        if lines:
+            aside = f"{path}.{name}"
+            packed(spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write).text(aside)
+            _move_part(spark, aside, f"{path}/{name}")
+
+
+def _move_part(spark, folder: str, to: str) -> None:
+    """The only text file of ``folder`` becomes ``to`` (with its ending); the folder goes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    ending = part.getName().partition(".")[2]
+    fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(f"{to}.{ending}"))
+    fs.delete(at, True)
+
+
 def write_table(df: DataFrame, path: str, header: list[str] = (), footer: list[str] = (), names: list[str] | None = None, end: str = "", order: list | None = None, single: bool = True, digits: int = 6) -> None:
-    """A text table: ``##`` header lines, a ``#`` line of column names, the rows, ``#`` footer lines.
+    """A text table: ``##`` header lines, a ``#`` line of column names, the rows in ``order``, ``#`` footer lines.
 
-    ``single`` makes one file, which is what the tools that read these tables expect; without
-    it the rows are range-sorted over many part files and header and footer lie beside them.
+    ``single`` makes one file, for short tables; without it the rows are sorted by ranges and
+    written by all tasks (see :func:`write_lines`), as the programs do.
     """
-    spark = df.sparkSession
     rows = df.orderBy(*order) if order else df
     body = text_rows(rows, end, digits)
     head = [f"##{x}" for x in header] + ["#" + "\t".join(names or df.columns) + end]
-    tail = [f"#{x}" for x in footer]
-    lines = lambda x: spark.createDataFrame([(v,) for v in x], "value string").coalesce(1)
+    foot = [f"#{x}" for x in footer]
     if single:
+        lines = lambda x: df.sparkSession.createDataFrame([(v,) for v in x], "value string").coalesce(1)
         whole = lines(head).union(body.coalesce(1))
-        (whole.union(lines(tail)) if tail else whole).coalesce(1).write.text(path)
+        (whole.union(lines(foot)) if foot else whole).coalesce(1).write.text(path)
     else:
-        body.write.text(path)
-        lines(head + tail).write.text(f"{path}.header")
+        write_lines(body, path, head, foot)
 
 
 def single_variant_header(studies: int, samples: int) -> list[str]:
@@ -76,8 +99,7 @@ def write_vcf(pooled: DataFrame, path: str) -> None:
     info = F.concat(F.lit("N="), F.col("n"), F.lit(";AF="), short_number(F.col("af")), F.lit(";DIRECTION="), F.col("direction"))
     rows = pooled.select("chrom", F.col("pos").cast("string"), F.lit(".").alias("id"), "ref", "alt", F.lit(".").alias("qual"), F.lit(".").alias("filter"), info.alias("info"))
     head = ["##fileformat=VCFv4.1", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
-    lines = pooled.sparkSession.createDataFrame([(x,) for x in head], "value string").coalesce(1)
-    lines.union(rows.select(F.concat_ws("\t", *rows.columns).alias("value")).coalesce(1)).coalesce(1).write.text(path)
+    write_lines(rows.select(F.concat_ws("\t", *rows.columns).alias("value")), path, head)
 
 
 SCORE_NAMES = ["CHROM", "POS", "REF", "ALT", "N_INFORMATIVE", "FOUNDER_AF", "ALL_AF", "INFORMATIVE_ALT_AC", "CALL_RATE", "HWE_PVALUE", "N_REF", "N_HET", "N_ALT", "U_STAT", "SQRT_V_STAT", "ALT_EFFSIZE", "PVALUE"]
@@ -105,10 +127,9 @@ def write_scores(scores: DataFrame, path: str, samples: int, trait: str, summary
     body = scores.select(*columns)
     order = [*chrom_order(), "pos"]
     if layout == "native":
-        write_table(body, path, head, names=names, order=order, digits=digits)
+        write_table(body, path, head, names=names, order=order, single=False, digits=digits)
     else:
-        lines = body.sparkSession.createDataFrame([("\t".join(names),)], "value string").coalesce(1)
-        lines.union(text_rows(body.orderBy(*order), digits=digits).coalesce(1)).coalesce(1).write.text(path)
+        write_lines(text_rows(body.orderBy(*order), digits=digits), path, ["\t".join(names)])
 
 
 def write_cov(cov: DataFrame, path: str, layout: str = "dense") -> None:
@@ -123,7 +144,7 @@ def write_cov(cov: DataFrame, path: str, layout: str = "dense") -> None:
         partners = F.split(F.regexp_replace("markers_in_window", ",$", ""), ",")
         rows = rows.select("chrom", "current_pos", F.element_at(partners, -1).alias("end"), F.size(partners).alias("n"), "markers_in_window", "cov_matrices")
         names = ["CHROM", "START_POS", "END_POS", "NUM_MARKER", "MARKER_POS", "COV"]
-    write_table(rows, path, names=names, order=[*chrom_order(), "current_pos"])
+    write_table(rows, path, names=names, order=[*chrom_order(), "current_pos"], single=False)
 
 
 def write_genotypes(genotypes: DataFrame, samples: list[str], path: str) -> None:
@@ -136,7 +157,7 @@ def write_genotypes(genotypes: DataFrame, samples: list[str], path: str) -> None
     fixed = [F.col("chrom"), F.col("pos").cast("string"), F.lit("."), F.col("ref"), F.col("alt"), F.lit("."), F.lit("."), F.lit("."), F.lit("GT")]
     body = rows.orderBy(*chrom_order(), "pos").select(F.concat_ws("\t", *fixed, every).alias("value"))
     head = ["##fileformat=VCFv4.1", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
-    genotypes.sparkSession.createDataFrame([(x,) for x in head], "value string").coalesce(1).union(body.coalesce(1)).coalesce(1).write.text(path)
+    write_lines(body, path, head)
 
 
 GENE_NAMES = ["GROUPNAME", "NUM_VAR", "VARs", "MAFs", "SINGLEVAR_EFFECTs", "SINGLEVAR_PVALUEs", "AVG_AF", "MIN_AF", "MAX_AF"]
@@ -208,8 +229,7 @@ def write_kinship(kinship: DataFrame, samples: list[str], path: str) -> None:
     a, b = order.toDF("ia", "a"), order.toDF("ib", "b")
     rows = kinship.join(a, "a").join(b, "b").filter("ib <= ia").groupBy("ia").agg(F.array_sort(F.collect_list(F.struct("ib", "k"))).alias("x"))
     body = rows.orderBy("ia").select(F.array_join(F.transform("x", lambda v: v["k"].cast("string")), " ").alias("value"))
-    head = spark.createDataFrame([(" ".join(samples),)], "value string").coalesce(1)
-    head.union(body.coalesce(1)).coalesce(1).write.option("compression", "gzip").text(path)
+    write_lines(body, path, [" ".join(samples)], compression="gzip")
 
 
 def write_groups(groups: DataFrame, path: str) -> None:
