@@ -349,6 +349,25 @@ def gene_burden_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("gene", "num_var", F.round("wu", 4).alias("wu"), F.round("wvw", 3).alias("wvw"))
 
 
+@query("gene_files_conditional", GENES + COND + f""",
+t AS (SELECT gene, count(*) AS num_var, sum(u) AS wu FROM kep GROUP BY gene), b AS (SELECT gene, sum(CASE WHEN i = j THEN 1 ELSE 2 END * cov) AS wvw FROM cov GROUP BY gene),
+tc AS (SELECT gene, sum(uc) AS wu FROM kc GROUP BY gene), bc AS (SELECT gene, sum(CASE WHEN i = j THEN 1 ELSE 2 END * cov) AS wvw FROM cc GROUP BY gene)
+SELECT replace(t.gene, ' ', '~') AS gene, num_var::INTEGER AS num_var, round(t.wu / b.wvw, 6) + 0.0 AS effect, round({p_sql("t.wu * t.wu / b.wvw")}, 6) AS p,
+       round(tc.wu / bc.wvw, 6) + 0.0 AS cond_effect, round({p_sql("tc.wu * tc.wu / bc.wvw")}, 6) AS cond_p
+FROM t JOIN b ON b.gene = t.gene JOIN tc ON tc.gene = t.gene JOIN bc ON bc.gene = t.gene WHERE t.gene <> (SELECT gene FROM var WHERE part = (SELECT part FROM cm))""")
+def gene_files_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The burden file of a conditional run, its values read back; the gene of the condition variant itself is left out."""
+    c = Cohort(spark, sf_dir)
+    first = c.pooled.join(c.variants.select("chrom", "pos", "part", "gene", F.col("ref").alias("r"), F.col("alt").alias("a")), ["chrom", "pos"]).filter("part % 22 = 1 and v > 0").orderBy("part").limit(1)
+    lines = first.select(F.concat_ws(":", "chrom", F.col("pos").cast("string"), "r", "a").alias("value"))
+    o = MetaOptions(**_lists(c, True), group_file=_text(_group_lines(c), "groups"), condition=_text(lines, "condition"), burden=True, prefix=fresh_path(spark, "meta"))
+    path = next(p for p in programs.write_meta(programs.meta_run(spark, o), o, digits=17) if p.endswith("burden.results"))
+    t = spark.read.text(path).filter("not startswith(value, '#')").select(F.split("value", "\t").alias("t"))
+    value = lambda i: F.round(F.get("t", i).cast("double"), 6) + F.lit(0.0)
+    rows = t.select(F.get("t", 0).alias("gene"), F.get("t", 1).cast("int").alias("num_var"), value(6).alias("effect"), value(7).alias("p"), value(8).alias("cond_effect"), value(9).alias("cond_p"))
+    return rows.join(first.select(F.regexp_replace("gene", " ", "~").alias("gene")), "gene", "left_anti")
+
+
 @query("gene_burden_exact", GENES + EXACT + """,
 nf AS (SELECT s.part, s.study, s.n, CASE WHEN s.bad OR s.poor THEN (CASE WHEN s.turned THEN 1 - g / (2 * s.n) ELSE g / (2 * s.n) END) WHEN f.site_turned THEN 1 - g / (2 * s.n) ELSE g / (2 * s.n) END AS f FROM sco s JOIN fst f USING (part)),
 xk AS (

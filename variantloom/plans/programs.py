@@ -353,8 +353,8 @@ def _exact_terms(sites: DataFrame, pooled: DataFrame, headers: list[dict]) -> di
     return {"af": af, "pooled": pooled, "variance": [h["trait_variance"] or 0.0 for h in headers]}
 
 
-def write_meta(run: MetaRun, options: MetaOptions) -> list[str]:
-    """Paths of the text files written under ``options.prefix``."""
+def write_meta(run: MetaRun, options: MetaOptions, digits: int = 6) -> list[str]:
+    """Paths of the text files written under ``options.prefix``: results, top hits, the records left out."""
     o, out = options, []
     order = [*pooling.chrom_order(), "pos"]
     names = {"chrom": "CHROM", "pos": "POS", "ref": "REF", "alt": "ALT", "n": "N", "af": "POOLED_ALT_AF", "direction": "DIRECTION_BY_STUDY", "effect": "EFFECT_SIZE", "effect_se": "EFFECT_SIZE_SD", "h2": "H2", "p": "PVALUE", "effect_cond": "COND_EFFSIZE", "p_cond": "COND_PVALUE", "sumcase": "sumCaseAC", "sumcontrol": "sumControlAC", "gene": "GENE"}
@@ -362,7 +362,7 @@ def write_meta(run: MetaRun, options: MetaOptions) -> list[str]:
     control = {r["stratum"]: r["gc"] for r in run.control.collect()}
     footer = [f"Genomic Control for {k} is: {v:g}" for k, v in sorted(control.items())]
     path = f"{o.prefix}.meta.singlevar.results"
-    writers.write_table(run.single.select(*columns), path, writers.single_variant_header(len(run.sizes), sum(run.sizes)), footer, [names[c] for c in columns], order=order, single=False)
+    writers.write_table(run.single.select(*columns), path, writers.single_variant_header(len(run.sizes), sum(run.sizes)), footer, [names[c] for c in columns], order=order, single=False, digits=digits)
     out.append(path)
     if o.write_vcf:
         writers.write_vcf(run.pooled, f"{o.prefix}.pooled.variants.vcf")
@@ -370,12 +370,17 @@ def write_meta(run: MetaRun, options: MetaOptions) -> list[str]:
     for method, result in run.tests.items():
         if method.endswith("conditional"):
             continue
-        rows, heads, end = writers.gene_table(result, run.summary, method, o.long_output)
+        rows, heads, end = writers.gene_table(result, run.summary, method, o.long_output, run.tests.get(f"{method} conditional"))
         path = f"{o.prefix}.meta.{method}{'_' if method in ('VT', 'SKAT') else ''}.results"
-        writers.write_table(rows, path, writers.group_header(), names=heads, end=end, order=["gene"], single=False)
+        writers.write_table(rows, path, writers.group_header(), names=heads, end=end, order=["gene"], single=False, digits=digits)
         out.append(path)
         if o.tabulate_hits:
             rows, heads = writers.hit_table(result, run.summary, method, o.hits_cutoff, o.maf)
             writers.write_table(rows, f"{o.prefix}.meta.tophits.{method}.tbl", names=heads, order=["gene"], single=False)
             out.append(f"{o.prefix}.meta.tophits.{method}.tbl")
+    path = f"{o.prefix}.meta.excluded.txt"
+    reason = F.element_at(F.array(*[F.lit(x) for x in ("call rate or HWE", "an allele is missing", "alleles don't match")]), F.col("reason") + 1)
+    excluded = run.excluded.select("study", "chrom", "pos", "ref", "alt", reason.alias("reason"))
+    writers.write_table(excluded, path, names=["STUDY", "CHROM", "POS", "REF", "ALT", "REASON"], order=["study", *order], single=False)
+    out.append(path)
     return out

@@ -163,8 +163,8 @@ def write_genotypes(genotypes: DataFrame, samples: list[str], path: str) -> None
 GENE_NAMES = ["GROUPNAME", "NUM_VAR", "VARs", "MAFs", "SINGLEVAR_EFFECTs", "SINGLEVAR_PVALUEs", "AVG_AF", "MIN_AF", "MAX_AF"]
 
 
-def gene_table(result: DataFrame, summary: DataFrame, method: str, long_output: bool = False) -> tuple[DataFrame, list[str], str]:
-    """(rows, column names, line end) of a gene test's result file.
+def gene_table(result: DataFrame, summary: DataFrame, method: str, long_output: bool = False, given: DataFrame | None = None) -> tuple[DataFrame, list[str], str]:
+    """(rows, column names, line end) of a gene test's result file; ``given``, the test given the condition variants, adds its columns.
 
     ``summary`` is genes.gene_summary with the single variants' p-values as ``pvalues``. Short
     files leave out the variants' frequencies, effects and p-values; VT lines end in a tab.
@@ -173,9 +173,14 @@ def gene_table(result: DataFrame, summary: DataFrame, method: str, long_output:
     r = result.withColumnRenamed("gene", "r_gene")
     own = {"VT": [("vt_effect", "EFFECT_SIZE"), ("vt_cutoff", "MAF_CUTOFF"), ("vt_p", "PVALUE")], "SKAT": [("q", "STATISTICS"), ("p_davies", "PVALUE_DAVIES"), ("p_liu", "PVALUE_LIU")]}.get(method, [("effect", "EFFECT_SIZE"), ("p", "PVALUE")])
     j = s.join(r.select("r_gene", *[c for c, _ in own]), F.col("gene") == F.col("r_gene"))
+    more = []
+    if given is not None:
+        told = {"VT": ["EFFECT_SIZE", "MAF_CUTOFF", "COND_PVALUE"], "SKAT": ["COND_STATISTICS", "COND_PVALUE_DAVIES", "COND_PVALUE_LIU"]}.get(method, ["COND_EFFSIZE", "COND_PVALUE"])
+        more = [(f"given_{c}", n) for (c, _), n in zip(own, told)]
+        j = j.join(given.select(F.col("gene").alias("given_gene"), *[F.col(c).alias(f"given_{c}") for c, _ in own]), F.col("gene") == F.col("given_gene"), "left")
     first = s.columns if long_output else [c for c in s.columns if c not in ("mafs", "effects", "pvalues")]
     names = GENE_NAMES if long_output else [n for n in GENE_NAMES if n not in ("MAFs", "SINGLEVAR_EFFECTs", "SINGLEVAR_PVALUEs")]
-    return j.select(*first, *[c for c, _ in own]), [*names, *[n for _, n in own]], "\t" if method == "VT" else ""
+    return j.select(*first, *[c for c, _ in own + more]), [*names, *[n for _, n in own + more]], "\t" if method == "VT" and not more else ""
 
 
 HIT_NAMES = ["GENE", "METHOD", "GENE_PVALUE", "MAF_CUTOFF", "ACTUAL_CUTOFF", "VARS", "MAFS", "EFFSIZES", "PVALUES"]
