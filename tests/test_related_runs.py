@@ -96,6 +96,10 @@ def test_pedigree_kinship_with_a_model_of_the_x(spark, files):
         inverse, f = spectral(files, pedigree_matrix(spark, files, x_linked))
         check(files, run, chrom, inverse, f["beta"])
     inverse, f = spectral(files, pedigree_matrix(spark, files, False))
+    untold = {p[1] for p in files["people"]} - set(files["names"])
+    assert {r["sample"]: r["reason"] for r in run.left_out.collect()} == dict.fromkeys(untold, "no trait")
+    scores, _ = programs.write_study(run, f"{files['at']}/written")
+    assert spark.read.text(f"{files['at']}/written.QT.left_out.txt").count() == len(untold) + 1 and spark.read.text(scores).filter("value like '##Sigma_g2_Hat%'").count() == 1
     assert abs(run.variances["Sigma_g2_Hat"] - f["s2g"]) < 1e-3 and np.allclose(run.beta, f["beta"], atol=1e-4)
 
 

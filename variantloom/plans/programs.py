@@ -33,6 +33,7 @@ class StudyRun:
     beta: list[float]
     sigma2: float
     variances: dict = field(default_factory=dict)
+    left_out: DataFrame | None = None
 
 
 def _study_genotypes(spark: SparkSession, o: WorkerOptions, people: DataFrame) -> DataFrame:
@@ -68,6 +69,7 @@ def study_runs(spark: SparkSession, options: WorkerOptions) -> list[StudyRun]:
     known = related.auto.select("a", "b") if related and not o.kin_pedigree else None
     screened = people_of.screened(people, calls.select("sample").distinct(), known, o.merged_vcf_id)
     covariates = [name for kind, name in readers.read_dat(spark, o.dat) if kind == "C"] if o.use_covariates else []
+    left_out = people_of.missing_from(people, calls.select("sample").distinct(), o.merged_vcf_id)
     runs = []
     for trait in readers.trait_names(spark, people, o.trait_name):
         s = people_of.for_trait(screened, trait, covariates).withColumn("study", F.lit(0))
@@ -87,6 +89,7 @@ def study_runs(spark: SparkSession, options: WorkerOptions) -> list[StudyRun]:
         facts = fit.first()
         model = _mixed_model(o, related, s, r) if related else None
         runs.append(_one_trait(o, trait, calls, s, r, facts, model))
+        runs[-1].left_out = left_out
     return runs
 
 
@@ -249,10 +252,12 @@ def _one_trait(o: WorkerOptions, trait: str, calls: DataFrame, s: DataFrame, r:
 
 
 def write_study(run: StudyRun, path: str, layout: str = "native", cov_layout: str = "dense", digits: int = 6) -> tuple[str, str]:
-    """(score path, covariance path) of a run's files."""
+    """(score path, covariance path) of a run's files; a third one lists the people left out and why."""
     scores, cov = f"{path}.{run.trait}.singlevar.score.txt", f"{path}.{run.trait}.singlevar.cov.txt"
     writers.write_scores(run.scores, scores, run.samples, run.trait, run.summary, layout, digits, run.variances)
     writers.write_cov(run.covariance.drop("study"), cov, cov_layout)
+    if run.left_out is not None:
+        writers.write_table(run.left_out, f"{path}.{run.trait}.left_out.txt", names=["SAMPLE", "REASON"], order=["sample"], single=False)
     return scores, cov
 
 
