@@ -119,3 +119,26 @@ def test_more_sql_functions(spark):
     assert abs(row["b"] - 0.579825) < 1e-6 and abs(row["bq"] - 0.3) < 1e-5 and abs(row["bp"] - 1.5) < 1e-12 and abs(row["o"] - math.exp(0.4)) < 1e-12
     one = math.erfc(3 / math.sqrt(2))
     assert abs(row["box"] - 0.6826895) < 1e-3 and abs(row["u"] - (2 * one - one * one)) < 1e-5 and row["none"] is None
+
+
+def test_box_beside_its_chain():
+    """A chain's box is known; boxes near one have a small error, boxes far from one a true one; equal normals, unlike limits."""
+    rng = np.random.default_rng(4)
+    steps = rng.random(40)
+    var = np.cumsum(steps)
+    r = np.sqrt(np.minimum.outer(var, var) / np.maximum.outer(var, var))
+    known = d.chain_box(np.full(40, 2.0), d.chain_links(np.full(40, 2.0), r))
+    walk = np.abs((rng.normal(size=(200_000, 40)) * np.sqrt(steps)).cumsum(axis=1) / np.sqrt(var)).max(axis=1)
+    assert abs((walk <= 2.0).mean() - known) < 5e-3
+    value, error = d.mvn_box_error(np.full(40, 2.0), r)
+    assert abs(value - known) < 1e-3 and error < 1e-3
+    noise = rng.normal(size=(400, 40)) * 0.1
+    near = r + noise.T @ noise / 40
+    near /= np.sqrt(np.outer(np.diag(near), np.diag(near)))
+    few, many = (d.mvn_box_error(np.full(40, 2.0), near, accuracy=0, relative=0, most=m, seed=s) for m, s in ((5000, 1), (80_000, 2)))
+    assert abs(few[0] - many[0]) < few[1] + many[1] and many[1] < few[1] < 3e-3
+    unlike = np.array([1.0, 2.0, 1.5])
+    assert abs(d.mvn_box(unlike, np.eye(3)) - math.prod(1 - float(d.chi2_tail_1(x * x)[0]) for x in unlike)) < 1e-9
+    assert abs(d.mvn_box(unlike, np.ones((3, 3))) - (1 - float(d.chi2_tail_1(1.0)[0]))) < 1e-9
+    turned = np.array([[1.0, -1.0], [-1.0, 1.0]])
+    assert abs(d.mvn_box(unlike[:2], turned) - (1 - float(d.chi2_tail_1(1.0)[0]))) < 1e-9
