@@ -183,3 +183,38 @@ def test_band_products_against_brute_force(spark):
         got = {(r["g"], r["pos"], r["pos2"]): r["product"] for r in tiles.band_products(df, ["g"], "pos", "sample", "x", 60, 25).collect()}
         tiles.COLUMNS, tiles.CHUNK = before
         assert got == want
+
+
+def test_tiles_of_labelled_rows(spark):
+    """Products within labels alone: a place under two labels, no label in common, no rows."""
+    from pyspark.sql import functions as F
+
+    from variantloom.operators import genotypes, tiles
+
+    rng = np.random.default_rng(6)
+    cells = {(str(rng.choice(list("xyz"))), int(p), int(s)): float(rng.integers(1, 3)) for p in rng.integers(0, 300, 60) for s in rng.integers(0, 20, 6)}
+    df = spark.createDataFrame([("a", *k, v) for k, v in cells.items()], "g string, gene string, pos int, sample int, x double")
+    want = {}
+    for (a, p, s), v in cells.items():
+        for (b, q, t), w in cells.items():
+            if a == b and s == t and 0 <= q - p <= 60:
+                want[a, p, q] = want.get((a, p, q), 0.0) + v * w
+    for columns, chunk in ((tiles.COLUMNS, tiles.CHUNK), (5, 3)):
+        before = tiles.COLUMNS, tiles.CHUNK
+        tiles.COLUMNS, tiles.CHUNK = columns, chunk
+        got = {(r["gene"], r["pos"], r["pos2"]): r["product"] for r in tiles.band_products(df, ["g"], "pos", "sample", "x", 60, 20, "gene").collect()}
+        tiles.COLUMNS, tiles.CHUNK = before
+        assert got == want
+    assert tiles.band_products(df.filter("false"), ["g"], "pos", "sample", "x", 60, 20, "gene").count() == 0
+
+    # covariances within genes are those of all variants that lie in one gene
+    nonzero = df.groupBy(F.lit(1).alias("study"), F.lit("7").alias("chrom"), "pos", "sample").agg(F.max("x").alias("dose"))
+    groups = spark.createDataFrame([(1, 20, 1.5)], "study int, n long, sigma2 double")
+    genes = df.select("gene", F.lit("7").alias("chrom"), "pos").distinct()
+    every = {(r["pos"], r["pos2"]): r["cov"] for r in genotypes.ld_covariance(nonzero, groups, ["study"], 60).collect()}
+    of = {}
+    for r in genes.collect():
+        of.setdefault(r["gene"], set()).add(r["pos"])
+    own = {(r["gene"], r["pos"], r["pos2"]): r["cov"] for r in genotypes.ld_covariance(nonzero, groups, ["study"], 60, genes).collect()}
+    assert set(own) == {(g, p, q) for g, at in of.items() for p in at for q in at if 0 <= q - p <= 60}
+    assert all(abs(v - every[k[1:]]) < 1e-12 for k, v in own.items())

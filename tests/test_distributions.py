@@ -132,7 +132,7 @@ def test_box_beside_its_chain():
     assert abs((walk <= 2.0).mean() - known) < 5e-3
     value, error = d.mvn_box_error(np.full(40, 2.0), r)
     assert abs(value - known) < 1e-3 and error < 1e-3
-    noise = rng.normal(size=(400, 40)) * 0.1
+    noise = rng.normal(size=(400, 40)) * 0.03
     near = r + noise.T @ noise / 40
     near /= np.sqrt(np.outer(np.diag(near), np.diag(near)))
     few, many = (d.mvn_box_error(np.full(40, 2.0), near, accuracy=0, relative=0, most=m, seed=s) for m, s in ((5000, 1), (80_000, 2)))

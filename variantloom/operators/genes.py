@@ -46,7 +46,8 @@ def missing_variants(groups: DataFrame, kept: DataFrame) -> DataFrame:
 def gene_covariance(kept: DataFrame, cov: DataFrame, decisions: DataFrame | None = None, sizes: dict[int, int] | None = None, region: tuple[str, int, int] | None = None, exact: dict | None = None) -> DataFrame:
     """gene, i, j (ord, i <= j), cov: studies' covariances summed over each gene's variant pairs.
 
-    ``cov``: study, chrom, pos, pos2, cov (per sample); the study's size multiplies it.
+    ``cov``: study, chrom, pos, pos2, cov (per sample); the study's size multiplies it. If it
+    has a column gene, its rows count for that gene alone.
     ``decisions``: study, chrom, pos, sign of records that entered; a pair counts for a study
     only if both did, and signs multiply. Covariance rows are cut to the genes' positions by
     a semi-join before they meet pairs. ``region`` bounds the rows read. ``exact`` (af:
@@ -69,11 +70,12 @@ def gene_covariance(kept: DataFrame, cov: DataFrame, decisions: DataFrame | None
         c = c.join(a, ["study", "chrom", "pos"]).join(b, ["study", "chrom", "pos2"]).withColumn("cov", F.col("cov") * F.col("sign_a") * F.col("sign_b"))
     if exact:
         c = _exact_adjusted(c, exact, decisions)
-    c = c.groupBy("chrom", "pos", "pos2").agg(F.sum("cov").alias("cov"))
+    own = ["gene"] if "gene" in c.columns else []
+    c = c.groupBy(*own, "chrom", "pos", "pos2").agg(F.sum("cov").alias("cov"))
     one = kept.select("gene", "chrom", "pos", F.col("ord").alias("i"), F.col("sign").alias("sign_i"))
     two = kept.select("gene", "chrom", F.col("pos").alias("pos2"), F.col("ord").alias("j"), F.col("sign").alias("sign_j"))
     pairs = one.join(two, ["gene", "chrom"]).filter("i <= j and pos <= pos2")
-    return pairs.join(c, ["chrom", "pos", "pos2"]).select("gene", "i", "j", (F.col("cov") * F.col("sign_i") * F.col("sign_j")).alias("cov"))
+    return pairs.join(c, [*own, "chrom", "pos", "pos2"]).select("gene", "i", "j", (F.col("cov") * F.col("sign_i") * F.col("sign_j")).alias("cov"))
 
 
 def _exact_adjusted(c: DataFrame, exact: dict, decisions: DataFrame | None) -> DataFrame:
@@ -87,7 +89,7 @@ def _exact_adjusted(c: DataFrame, exact: dict, decisions: DataFrame | None) -> D
     j = c.join(first, ["study", "chrom", "pos"]).join(second, ["study", "chrom", "pos2"]).join(m, ["chrom", "pos"]).join(m.select("chrom", F.col("pos").alias("pos2"), F.col("mean").alias("mean2")), ["chrom", "pos2"])
     sigma2 = F.get(F.array(*[F.lit(float(v)) for v in exact["variance"]]), F.col("study"))
     own = F.col("cov") * sigma2 + 4 * F.col("n") * (F.col("af") * F.col("af2") - F.col("mean") * F.col("mean2"))
-    return j.select("study", "chrom", "pos", "pos2", (F.col("scale") * own).alias("cov"))
+    return j.select("study", *(["gene"] if "gene" in c.columns else []), "chrom", "pos", "pos2", (F.col("scale") * own).alias("cov"))
 
 
 def weight(method: str, af: Column | str = "af") -> Column:

@@ -97,32 +97,36 @@ def score_table(stats: DataFrame) -> DataFrame:
     return stats.withColumn("sqrt_v", F.sqrt("v")).withColumn("effect", F.when(some, F.col("u") / F.col("v"))).withColumn("chisq", F.when(some, F.col("u") * F.col("u") / F.col("v")))
 
 
-def ld_covariance(nonzero: DataFrame, groups: DataFrame, by: list[str], window: int = 1_000_000, only: DataFrame | None = None) -> DataFrame:
-    """by, chrom, pos, pos2, cov: sum of centred products over sigma2 n, of all variants up to ``window`` downstream.
+def ld_covariance(nonzero: DataFrame, groups: DataFrame, by: list[str], window: int = 1_000_000, within: DataFrame | None = None) -> DataFrame:
+    """by, (gene,) chrom, pos, pos2, cov: sum of centred products over sigma2 n, of all variants up to ``window`` downstream.
 
     ``groups``: by, n, sigma2. Variant pairs are found on one row per variant, by a bucketed
     band join; products are summed in tiles of variants by samples. Pairs without a common
-    carrier still have the covariance of their means. ``only`` (chrom, pos) restricts the
-    variants before any pair is made.
+    carrier still have the covariance of their means. ``within`` (gene, chrom, pos) restricts
+    the pairs to those of a gene before any is made.
     """
-    if only is not None:
-        nonzero = nonzero.join(only.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
-    sites = nonzero.groupBy(*by, "chrom", "pos").agg(F.sum("dose").alias("g"))
-    sites = sites.join(groups, by).select(*by, "chrom", "pos", (F.col("g") / F.col("n")).alias("mean"), (F.col("g") / F.col("sigma2")).alias("along"))
-    cells = nonzero.join(groups.select(*by, F.sqrt("sigma2").alias("sigma")), by).select(*by, "chrom", "pos", "sample", (F.col("dose") / F.col("sigma")).alias("x"))
-    return centred_products(cells, "sample", sites, groups.select(*by, "n", (F.col("n") / F.col("sigma2")).alias("ones")), by, window)
+    label = None
+    if within is not None:
+        label = "gene"
+        nonzero = nonzero.join(within.select("gene", "chrom", "pos").distinct(), ["chrom", "pos"])
+    at = [*by, *([label] if label else []), "chrom", "pos"]
+    sites = nonzero.groupBy(*at).agg(F.sum("dose").alias("g"))
+    sites = sites.join(groups, by).select(*at, (F.col("g") / F.col("n")).alias("mean"), (F.col("g") / F.col("sigma2")).alias("along"))
+    cells = nonzero.join(groups.select(*by, F.sqrt("sigma2").alias("sigma")), by).select(*at, "sample", (F.col("dose") / F.col("sigma")).alias("x"))
+    return centred_products(cells, "sample", sites, groups.select(*by, "n", (F.col("n") / F.col("sigma2")).alias("ones")), by, window, label)
 
 
-def centred_products(cells: DataFrame, column: str, sites: DataFrame, groups: DataFrame, by: list[str], window: int) -> DataFrame:
-    """by, chrom, pos, pos2, cov = (x x2 - mean along2 - mean2 along + mean mean2 ones) / n.
+def centred_products(cells: DataFrame, column: str, sites: DataFrame, groups: DataFrame, by: list[str], window: int, label: str | None = None) -> DataFrame:
+    """by, (label,) chrom, pos, pos2, cov = (x x2 - mean along2 - mean2 along + mean mean2 ones) / n.
 
     ``cells``: by, chrom, pos, ``column``, x (standardised genotypes); ``sites``: by, chrom, pos,
     mean, along (the product with the standardised vector of ones); ``groups``: by, n, ones
-    (that vector's square).
+    (that vector's square). With ``label``, a column of both, only pairs of one label count.
     """
     most = groups.agg(F.max("n")).first()[0] or 0
-    products = band_products(cells, [*by, "chrom"], "pos", column, "x", window, int(most))
-    pairs = band_pairs(sites, [*by, "chrom"], "pos", window)
-    j = pairs.join(products, [*by, "chrom", "pos", "pos2"], "left").join(groups, by)
+    products = band_products(cells, [*by, "chrom"], "pos", column, "x", window, int(most), label)
+    at = [*by, *([label] if label else []), "chrom"]
+    pairs = band_pairs(sites, at, "pos", window)
+    j = pairs.join(products, [*at, "pos", "pos2"], "left").join(groups, by)
     total = F.coalesce(F.col("product"), F.lit(0.0)) - F.col("mean") * F.col("along2") - F.col("mean2") * F.col("along") + F.col("mean") * F.col("mean2") * F.col("ones")
-    return j.select(*by, "chrom", "pos", "pos2", (total / F.col("n")).alias("cov"))
+    return j.select(*at, "pos", "pos2", (total / F.col("n")).alias("cov"))

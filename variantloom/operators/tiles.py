@@ -36,10 +36,11 @@ def _dense(rows: np.ndarray, low: int, high: int, column: np.ndarray, value: np.
     return out
 
 
-def band_products(cells: DataFrame, by: list[str], row: str, column: str, value: str, reach: int, columns: int) -> DataFrame:
-    """by, row, row2, product: sum over columns of value * value of all rows 0 to ``reach`` apart that share a column.
+def band_products(cells: DataFrame, by: list[str], row: str, column: str, value: str, reach: int, columns: int, label: str | None = None) -> DataFrame:
+    """by, (label,) row, row2, product: sum over columns of value * value of all rows 0 to ``reach`` apart that share a column.
 
-    ``row`` is an integer place. Cells of one place and column must be one; ``columns`` is about how
+    ``row`` is an integer place. With ``label`` a row is a place and a label, and only rows of
+    one label have a product. Cells of one row and column must be one; ``columns`` is about how
     many distinct columns there are, which sets the number of column blocks. Rows lie in
     buckets of ``reach`` + 1 places, so a row's partners are in its own bucket or the next, and a
     cell travels twice. Rows without a common column have no result.
@@ -47,19 +48,23 @@ def band_products(cells: DataFrame, by: list[str], row: str, column: str, value:
     import pyarrow as pa
 
     bucket = F.floor(F.col(row) / (reach + 1)).cast("long")
-    dealt = cells.select(*by, F.col(row).cast("long").alias("row"), F.col(column).alias("column"), F.col(value).cast("double").alias("value"), bucket.alias("own"), _column_blocks(F.col(column), columns).alias("block"))
+    dealt = cells.select(*by, *([label] if label else []), F.col(row).cast("long").alias("row"), F.col(column).alias("column"), F.col(value).cast("double").alias("value"), bucket.alias("own"), _column_blocks(F.col(column), columns).alias("block"))
     dealt = dealt.withColumn("bucket", F.explode(F.array(F.col("own") - 1, F.col("own"))))
     keys = [*by, "bucket", "block"]
 
     def multiply(key, table):
         place = np.asarray(table.column("row").combine_chunks())
-        order = np.argsort(place, kind="stable")
+        label_no, labels = _codes(table, label) if label else (np.zeros(len(place), np.int64), 1)
+        order = np.lexsort((label_no, place))
         column_no, width = _codes(table, "column")
         column_no, val = column_no[order], np.asarray(table.column("value").combine_chunks())[order]
         left = np.asarray(table.column("own").combine_chunks())[order] == key[len(by)].as_py()
-        places, rows = np.unique(place[order], return_inverse=True)
+        place, label_no = place[order], label_no[order]
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = (place[1:] != place[:-1]) | (label_no[1:] != label_no[:-1])
+        rows, places, own_label = np.cumsum(new) - 1, place[new], label_no[new]
         last = int(rows[left].max()) + 1 if left.any() else 0
-        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
         for a in range(0, last, CHUNK):
             b = min(last, a + CHUNK)
             one = _dense(rows, a, b, column_no, val, width)
@@ -71,17 +76,19 @@ def band_products(cells: DataFrame, by: list[str], row: str, column: str, value:
                 met = ((one != 0).astype(np.float32) @ (two != 0).astype(np.float32).T) > 0
                 i, j = np.nonzero(met)
                 gap = places[c + j] - places[a + i]
-                fits = (gap >= 0) & (gap <= reach)
+                fits = (gap >= 0) & (gap <= reach) & (own_label[c + j] == own_label[a + i])
                 i, j = i[fits], j[fits]
-                found.append((places[a + i], places[c + j], p[i, j]))
-        x, y, p = (np.concatenate(z) for z in zip(*found))
+                found.append((places[a + i], places[c + j], p[i, j], own_label[a + i]))
+        x, y, p, of = (np.concatenate(z) for z in zip(*found))
         same = [pa.array([k.as_py()] * len(x), table.schema.field(n).type) for n, k in zip(by, key)]
-        return pa.Table.from_arrays([*same, pa.array(x), pa.array(y), pa.array(p)], [*by, row, f"{row}2", "product"])
+        if label:
+            same.append(table.column(label).combine_chunks().dictionary_encode().dictionary.take(pa.array(of)))
+        return pa.Table.from_arrays([*same, pa.array(x), pa.array(y), pa.array(p)], [*out, row, f"{row}2", "product"])
 
-    types = dict(cells.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), f"`{row}` long, `{row}2` long, product double"])
+    types, out = dict(cells.dtypes), [*by, *([label] if label else [])]
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in out), f"`{row}` long, `{row}2` long, product double"])
     parts = dealt.groupBy(*keys).applyInArrow(multiply, schema)
-    return parts.groupBy(*by, row, f"{row}2").agg(F.sum("product").alias("product")).withColumn(row, F.col(row).cast(types[row])).withColumn(f"{row}2", F.col(f"{row}2").cast(types[row]))
+    return parts.groupBy(*out, row, f"{row}2").agg(F.sum("product").alias("product")).withColumn(row, F.col(row).cast(types[row])).withColumn(f"{row}2", F.col(f"{row}2").cast(types[row]))
 
 
 def pair_products(cells: DataFrame, items: DataFrame, item: str, column: str, value: str, count: int, columns: int, size: int = 512) -> DataFrame:

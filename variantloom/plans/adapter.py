@@ -158,11 +158,11 @@ class Cohort:
 
     @cached_property
     def kept_covariance(self) -> DataFrame:
-        """The covariances of the genes' variants alone."""
+        """gene, study, chrom, pos, pos2, cov of the genes' own pairs alone."""
         from ..operators.genotypes import ld_covariance
 
         facts = self.residuals.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.max("sigma2").alias("sigma2"))
-        return ld_covariance(self.carriers.select("study", "sample", "chrom", "pos", "dose"), facts, ["study"], only=self.kept)
+        return ld_covariance(self.carriers.select("study", "sample", "chrom", "pos", "dose"), facts, ["study"], within=self.kept)
 
     @property
     def decisions(self) -> DataFrame:
