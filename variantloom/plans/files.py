@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MetaOptions, WorkerOptions
 from ..operators import nullmodels, pooling
-from ..sources import readers, store, writers
+from ..sources import bcf, readers, store, writers
 from ..sources.shared import fresh_path
 from . import programs
 from .adapter import STUDIES, Cohort
@@ -277,6 +277,19 @@ def vcf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("bcf_file", BASE + "SELECT study, chrom, pos, ref, alt, sample::VARCHAR AS sample, dose FROM gt")
+def bcf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The carriers that every study's BCF files name."""
+    c, out = Cohort(spark, sf_dir), None
+    for k in range(STUDIES):
+        if c.sizes[k]:
+            path = f"{fresh_path(spark, f'study{k}')}.bcf"
+            bcf.write_bcf(spark, _vcf(c, k), path)
+            g = readers.read_genotypes(spark, path).filter("dose > 0").select(F.lit(k).alias("study"), "chrom", "pos", "ref", "alt", "sample", "dose")
+            out = g if out is None else out.unionByName(g)
+    return out
+
+
 @query("score_store_region", BASE + """
 SELECT study, chrom, pos, round(CASE WHEN turned THEN -u ELSE u END, 6) AS u, round(sqrt(v), 6) AS sqrt_v FROM sco
 WHERE (chrom = '5' AND pos BETWEEN 100000 AND 900000) OR (chrom = '6' AND pos BETWEEN 1 AND 50000)""")

@@ -303,8 +303,13 @@ def read_genotypes(spark: SparkSession, path: str, field: str = "GT", region: st
     """(chrom, pos, ref, alt, sample, dose) of a VCF, long: the count of alternative alleles, or the DS value; null if missing.
 
     Of several alternative alleles the first counts. ``region`` (``chr:start-end``) is applied
-    to lines before their calls are taken apart.
+    to lines before their calls are taken apart. A path that ends in ``.bcf`` is read as
+    BCF, whether a file or a folder of files (:func:`..bcf.read_bcf`).
     """
+    if path.rstrip("/").endswith(".bcf"):
+        from .bcf import read_bcf
+
+        return read_bcf(spark, path, field, region)
     names = vcf_samples(spark, path)
     v = read_vcf_lines(spark, path).filter(in_region(region)).withColumn("at", F.array_position(F.split("format", ":"), field).cast("int") - 1).filter("at >= 0")
     sample = F.array(*[F.lit(n) for n in names])
