@@ -282,15 +282,15 @@ def _piecewise(percent: int, forest: bool):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_in: int = 16, most_common: int = 1 << 20, small: int = 64, piece: int = 512, forests: int = 1, broadcast_rows: int = 200_000) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) per row.
+    """(id, n_shingles, component_id) per row.
 
     A set holds the distinct ``words``-word shingles of the text in lower case (A-Z); a text
     with fewer words is one shingle, one without words (or null) has an empty set and is its
     own component. Sets link when 100 * intersection >= percent * union. ``component_id`` is
     the smallest id reachable by links; rows with equal sets are linked; a null id never
-    names a component unless no other does. ``n_links``: links of the row's set that were
-    verified to connect its component (not all that exist). Shingles are told apart by 56-bit
-    hashes within pairs that meet. An empty table gives an empty result.
+    names a component unless no other does. Pairs whose ends
+    other links connect already aren't verified one by one, so links are not counted. Shingles
+    are told apart by 56-bit hashes within pairs that meet. An empty table gives an empty result.
 
     ``common_in``: a block that so many distinct sets of one batch have counts as common and
     is used last; at most ``most_common`` are known to all tasks (8 MB), any choice of them
@@ -322,8 +322,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first_pairs = met.filter("before is not null").select(partner.alias("x"), "node", "size").filter(near).select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b")).distinct()
     first_pairs = materialize(first_pairs, "parity-pairs")
 
-    def verify(pairs: DataFrame, links: DataFrame | None, label: DataFrame | None, nearest_first: int) -> tuple[DataFrame, DataFrame]:
-        """Links and labels (node, component) after those of ``pairs`` (a, b) that are needed to connect what links connect.
+    def verify(pairs: DataFrame, label: DataFrame | None, nearest_first: int) -> DataFrame:
+        """Labels (node, component) after those of ``pairs`` (a, b) that are needed to connect what links connect.
 
         Sketches thin the pairs out. Before all that are left are verified, each of
         ``nearest_first`` rounds takes the nearest pair of every node whose ends aren't
@@ -350,14 +350,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pair = tried.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(found.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
             shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
             linked = materialize(pair.filter(100 * shared >= percent * (F.col("size_a") + F.col("size_b") - shared)).select("a", "b"), "parity-links")
-            links = linked if links is None else links.unionByName(linked)
             if not last:
                 fit = fit.join(tried.select("a", "b"), ["a", "b"], "left_anti")
             edges = linked if label is None else linked.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
             label = materialize(components(edges), "parity-labels")
-        return links, label
+        return label
 
-    links, label = verify(first_pairs, None, None, 1)
+    label = verify(first_pairs, None, 1)
     tried = first_pairs
 
     def still_open() -> DataFrame:
@@ -392,18 +391,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "parity-pairs")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
-            links, label = verify(pairs, links, label, 0)
+            label = verify(pairs, label, 0)
         if forest is not None:
             open_ = still_open()
         pairs = None
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", F.col("id").alias("least_id")).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_node = named.select("node", "component").join(names, "component").join(ends, "node", "left").select("node", "component_id", "n_links")
-    in_sets = sets.filter("node is not null").join(of_node, "node").select("id", "size", "component_id", "n_links")
-    empty = sets.filter("node is null").select("id", "size", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("n_links"))
-    return in_sets.unionByName(empty).select("id", F.col("size").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    of_node = named.select("node", "component").join(names, "component").select("node", "component_id")
+    in_sets = sets.filter("node is not null").join(of_node, "node").select("id", "size", "component_id")
+    empty = sets.filter("node is null").select("id", "size", F.col("id").alias("component_id"))
+    return in_sets.unionByName(empty).select("id", F.col("size").alias("n_shingles"), "component_id")
 
 
 def _near(percent: int):
