@@ -497,3 +497,28 @@ def test_toxicity_sees_misspellings(spark, empty):
     got = {r["id"]: r["score"] for r in score_toxicity(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
     assert got[2] > 0.5 > got[1] and all(0 <= s <= 1 for s in got.values())
     assert score_toxicity(empty, model).count() == 0
+
+
+def test_parity_pieces_meet_by_squares(monkeypatch):
+    """A large piece, compared square by square, gives the pairs of one comparison; a forest stays below the number of nodes."""
+    import numpy as np
+    import pandas as pd
+
+    from variantloom.llm import parity_join
+
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 256, (6, 128), dtype=np.uint8)
+    rows = []
+    for i in range(90):
+        bits = base[i % 6].copy()
+        bits[draw.integers(0, 128)] ^= 1 << int(draw.integers(0, 8))
+        rows.append((7, i // 2 % 2, i, 100, i // 3, bits.tobytes(), [7] if i % 5 else [3, 7]))
+    for p, q in ((0, 0), (0, 1)):
+        pdf = pd.DataFrame([(r[0], p, q, *r[1:]) for r in rows if r[1] in (p, q)], columns=["key", "p", "q", "piece", "node", "size", "component", "sketch", "keys"])
+        for forest in (True, False):
+            found = []
+            for square in (5, 1000):
+                monkeypatch.setattr(parity_join, "SQUARE", square)
+                found.append(set(parity_join._piecewise(75, forest)(pdf).itertuples(index=False, name=None)))
+            assert found[0] == found[1] and found[0]
+            assert not forest or len(found[0]) < len(pdf)

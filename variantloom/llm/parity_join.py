@@ -35,6 +35,7 @@ SKETCH = 1024  # least bits of the dense sketch; larger sets have the next power
 TEXTS = 256  # texts that share one sort: their number takes the upper 8 bits
 SINGLE = 256  # up to this size each bit is a block
 KEY_BITS = 55
+SQUARE = 512  # nodes of a piece compared with as many at once
 _LOW56 = np.uint64((1 << 56) - 1)
 _FACTORS = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -252,36 +253,43 @@ def _piecewise(percent: int, forest: bool):
                 fit = (far * (100 + percent) <= (nb + n) * (100 - percent)) & (cb != row.component) & (100 * np.minimum(nb, n) >= percent * np.maximum(nb, n)) & (kb != row.node)
                 yield from zip(far[fit].tolist(), [row.at] * int(fit.sum()), at[fit].tolist())
 
+    def connecting(pairs, of):
+        """The nearest of ``pairs`` that connect components: a spanning forest, which a later one of more pairs can start from."""
+        root, kept = {}, []
+
+        def find(c):
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for pair in sorted(pairs):
+            x, y = find(of[pair[1]]), find(of[pair[2]])
+            if x != y:
+                root[x] = y
+                kept.append(pair)
+        return kept
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(at=np.arange(len(pdf)))
         one, two = pdf[pdf["piece"] == pdf["p"]], pdf[pdf["piece"] == pdf["q"]]
-        found = []
-        if len(one) and len(two):
-            node, key = pdf["node"].tolist(), pdf["key"].iloc[0]
-            pairs = {(far, *sorted((i, j))) for far, i, j in fits(one, two)}
-            if forest:
-                root = {c: c for c in pdf["component"].tolist()}
-                of = pdf["component"].tolist()
-
-                def find(c):
-                    while root[c] != c:
-                        root[c] = c = root[root[c]]
-                    return c
-
-                for _, i, j in sorted(pairs):
-                    x, y = find(of[i]), find(of[j])
-                    if x != y:
-                        root[x] = y
-                        found.append((min(node[i], node[j]), max(node[i], node[j])))
-            else:
-                keys = {i: frozenset(k) for i, k in enumerate(pdf["keys"])}
-                found = [(min(node[i], node[j]), max(node[i], node[j])) for _, i, j in pairs if min(keys[i] & keys[j]) == key]
+        kept: list[tuple] = []
+        node, of = pdf["node"].tolist(), pdf["component"].tolist()
+        keys = None if forest else [frozenset(k) for k in pdf["keys"]]
+        # pieces meet by squares, so that few pairs are held at once
+        for i in range(0, len(one), SQUARE):
+            for j in range(i if len(one) and pdf["p"].iloc[0] == pdf["q"].iloc[0] else 0, len(two), SQUARE):
+                pairs = {(far, *sorted(ends)) for far, *ends in fits(one[i : i + SQUARE], two[j : j + SQUARE])}
+                if forest:
+                    kept = connecting(pairs.union(kept), of)
+                else:
+                    kept += [x for x in pairs if min(keys[x[1]] & keys[x[2]]) == pdf["key"].iloc[0]]
+        found = [(min(node[i], node[j]), max(node[i], node[j])) for _, i, j in kept]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_in: int = 16, most_common: int = 1 << 20, small: int = 64, piece: int = 512, forests: int = 1, broadcast_rows: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_in: int = 16, most_common: int = 1 << 20, small: int = 64, piece: int = 4096, forests: int = 1, broadcast_rows: int = 200_000) -> DataFrame:
     """(id, n_shingles, component_id) per row.
 
     A set holds the distinct ``words``-word shingles of the text in lower case (A-Z); a text
