@@ -176,3 +176,49 @@ def test_variance_components(spark, study, three):
 def test_large_blocks_raise(study):
     with pytest.raises(Exception, match="related samples"):
         families.rotations(study["auto"], BY, most=2).count()
+
+
+@pytest.mark.parametrize("small", [2, 32])
+def test_a_carrier_of_a_small_family_is_one_row(spark, study, rotation, fit, monkeypatch, small):
+    monkeypatch.setattr(families, "SMALL", small)
+    dense, nonzero = genotypes_of(spark, study, 11)
+    white = families.whitening(rotation, fit, BY)
+    people = families.whitened_samples(white, study["samples"], fit, BY).persist()
+    cells = families.whitened_genotypes(nonzero, white, BY)
+    if small == 32:
+        assert cells.count() == nonzero.count()
+    told = {r["study"]: r for r in fit.collect()}
+    codings = {"additive": lambda d: d, "recessive": lambda d: F.when(d == 2, 1.0).otherwise(0.0)}
+    for r in families.related_scores(nonzero, white, people, BY, codings=codings).collect():
+        k, t = r["study"], study["told"][r["study"]]
+        g = dense[k][r["pos"] // 1000]
+        g = g if r["model"] == "additive" else (g == 2).astype(float)
+        inverse = np.linalg.inv(told[k]["s2g"] * t["k"] + told[k]["s2e"] * np.eye(len(t["y"])))
+        assert g.any() and abs(r["v"] - (g - g.mean()) @ inverse @ (g - g.mean())) < 1e-8
+    scores = families.related_scores(nonzero, white, people, BY, cells=cells)
+    inverse = lambda k: np.linalg.inv(told[k]["s2g"] * study["told"][k]["k"] + told[k]["s2e"] * np.eye(len(study["told"][k]["y"])))
+    check_scores(study, dense, scores, families.related_covariance(cells, scores, people, BY, 3000), inverse, lambda k: np.array(told[k]["beta"]), 3000)
+
+
+def test_neighbours_of_a_flat_minimum_are_told_apart(spark):
+    rng = np.random.default_rng(4)
+    d, y = rng.uniform(0.5, 9, 1500), rng.normal(size=1500)
+    rows = spark.createDataFrame([(0, float(a), float(b), [1.0]) for a, b in zip(d, y)], "study int, d double, y double, x array<double>")
+    points = [6.5 + 2e-6 * i for i in range(8)]
+    got = {r["log_delta"]: r for r in families.profile(rows, 1, BY, spark.createDataFrame([(0, p) for p in points], "study int, log_delta double")).collect()}
+    value = [np.longdouble(got[p]["nll"]) + np.longdouble(got[p]["nll_rest"]) for p in points]
+    steps = np.diff(np.array(value)).astype(float)
+    assert np.allclose(steps, steps.mean(), rtol=1e-2) and steps.all()  # an even slope, which rounding to doubles would make ragged
+
+
+def test_blocks_reach_the_work_whole(spark):
+    from variantloom.operators.bandjoin import by_blocks
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.createDataFrame([(b, i) for b in range(40) for i in range(b % 11 + 1)] + [(99, i) for i in range(30)], "b int, i int")
+        sizes = lambda pdf: pdf.groupby("b", as_index=False).agg(n=("i", "size"))
+        got = sorted(tuple(r) for r in by_blocks(df, ["b"], sizes, "b int, n long").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted([(b, b % 11 + 1) for b in range(40)] + [(99, 30)])
