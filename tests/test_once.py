@@ -43,3 +43,16 @@ def test_tiles_are_not_dealt_by_study_alone(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "FlatMapGroupsInArrow" in plan
     assert not re.search(r"SortMergeJoin \[study#\d+\]", plan)
+
+
+def test_variants_meet_their_genes_in_tasks_of_bounded_number(spark, monkeypatch):
+    from variantloom.operators import annotate
+
+    v = spark.range(900).selectExpr("'1' as chrom", "cast(id * 5000 as int) as pos", "'A' as ref", "'C' as alt")
+    g = spark.range(40).selectExpr("concat('g', id) as name", "'1' as chrom", "cast(id * 110000 as int) as start", "cast(id * 110000 + 60000 as int) as end", "id as ord")
+    want = {tuple(r) for r in annotate.genes_of(v, g).collect()}
+    monkeypatch.setattr(annotate, "PLACED", 100)
+    df = annotate.genes_of(v, g)
+    assert {tuple(r) for r in df.collect()} == want and len(want) == 900
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and re.search(r"RepartitionByExpression .*, 9\b", plan)
